@@ -436,8 +436,8 @@ def _(spark, sf):
 @query(
     "quoted_split",
     # Outside-quote separators are found by cutting at quotes, in SQL as in Spark, but by different functions.
-    "select page_id, list_sum(list_transform(string_split(html,'\"'), lambda p, i:"
-    " case when i % 2 = 1 then length(p) - length(replace(p, ';', '')) else 0 end)) + 1 as fields from pages",
+    "select page_id, cast(list_sum(list_transform(string_split(html,'\"'), lambda p, i:"
+    " case when i % 2 = 1 then length(p) - length(replace(p, ';', '')) else 0 end)) + 1 as bigint) as fields from pages",
 )
 def _(spark, sf):
     fields = F.size(quoting.quoted_split(F.col("html"), ";"))

@@ -1,0 +1,145 @@
+"""Physical lines with their place in the input, and records made of several lines."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.sources.files import InputFile, literal_path
+
+# One-byte charsets: decoded as Latin-1, then the upper half is mapped.
+_ONE_BYTE = {"cp1251": "cp1251", "windows-1251": "cp1251", "cp1252": "cp1252", "latin-1": None, "iso-8859-1": None}
+
+# Above this many bytes of path names the file table is not broadcast.
+_FILE_TABLE_LIMIT = 256 * 1024 * 1024
+
+
+def decode_line(raw: Column, encoding: str) -> Column:
+    """Raw line bytes (as the text source hands them over) to text."""
+    if encoding.lower() in ("utf-8", "utf-8-sig", "utf8"):
+        return raw
+    return remap_latin(F.decode(raw.cast("binary"), "ISO-8859-1"), encoding)
+
+
+def remap_latin(latin: Column, encoding: str) -> Column:
+    """Text decoded as Latin-1 to the one-byte charset it is really in; other text is left alone."""
+    name = encoding.lower()
+    if name in ("utf-8", "utf-8-sig", "utf8"):
+        return latin
+    if name not in _ONE_BYTE:
+        raise ValueError(f"unsupported encoding {encoding!r}")
+    if _ONE_BYTE[name] is None:
+        return latin
+    upper = [(chr(b), bytes([b]).decode(_ONE_BYTE[name], errors="ignore")) for b in range(128, 256)]
+    mapped = [(a, b) for a, b in upper if b]
+    return F.translate(latin, "".join(a for a, _ in mapped), "".join(b for _, b in mapped))
+
+
+def scan_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str, first_lines: dict[str, str] | None = None) -> DataFrame:
+    """``(src, block, seq, value, first_line)``: ordered by ``(src, block, seq)`` these are the files' lines.
+
+    ``block`` is the byte offset of the input split, ``seq`` rises within it. Splits
+    of one file may be read by any tasks in any order.
+    """
+    raw = spark.read.text([literal_path(f.path) for f in files]).select(
+        decode_line(F.col("value"), encoding).alias("value"),
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+    )
+    firsts = first_lines or {}
+    if len(files) == 1:
+        f = files[0]
+        placed = raw.withColumns({"src": F.lit(f.src), "first_line": F.lit(firsts.get(f.path, ""))})
+    else:
+        table = [(f.uri, f.src, firsts.get(f.path, "")) for f in files]
+        known = spark.createDataFrame(table, "uri string, src int, first_line string")
+        # The table is made from a list this driver already holds; its size is known.
+        if sum(len(u) + len(x) + 16 for u, _, x in table) < _FILE_TABLE_LIMIT:
+            known = F.broadcast(known)
+        placed = raw.join(known, "uri")
+    return placed.select("src", "block", "seq", "value", "first_line")
+
+
+def _running_state(df: DataFrame, group: Sequence[str], order: str, out: str, into: str) -> DataFrame:
+    """Quote state after each row, for a group that starts outside (``after0``) and inside (``after1``) quotes.
+
+    ``out`` and ``into`` tell the state after the row alone, started outside and
+    inside. A row either settles the state or keeps/flips it, so the running state
+    is the last settled one, flipped by the flips since.
+    """
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    settles = F.col(out) == F.col(into)
+    flips = F.sum(F.when(settles, 0).otherwise(F.col(out).cast("int"))).over(w)
+    df = df.withColumn("__flips", flips)
+    last = F.last(F.when(settles, F.struct(F.col(out).alias("state"), F.col("__flips").alias("flips"))), ignorenulls=True)
+    df = df.withColumn("__last", last.over(w))
+    odd = (F.col("__flips") - F.coalesce(F.col("__last.flips"), F.lit(0))) % 2 == 1
+
+    def after(start: bool) -> Column:
+        return F.coalesce(F.col("__last.state"), F.lit(start)) != odd
+
+    return df.withColumns({"after0": after(False), "after1": after(True)}).drop("__flips", "__last")
+
+
+def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Column | None = None) -> DataFrame:
+    """Join the physical lines of each record: ``(src, block, seq, value, is_first)``.
+
+    Works split by split: each split is summarised for both possible start states,
+    the summaries (one row per split) are chained per file, and only then are lines
+    given their state. No task sees a whole file. ``is_first`` marks the first
+    record of a file (the first one that is not blank, where ``skip_blank`` tells
+    blank lines).
+    """
+    split = ["src", "block"]
+    by_split = Window.partitionBy(*split).orderBy("seq")
+    marked = lines.withColumns({"out": out, "into": into})
+
+    def with_before(df: DataFrame) -> DataFrame:
+        df = _running_state(df, split, "seq", "out", "into")
+        return df.withColumns({
+            "before0": F.lag("after0", 1, False).over(by_split), "before1": F.lag("after1", 1, True).over(by_split),
+        })
+
+    # Narrow pass: what each split does to the state, and where its last record opens.
+    narrow = with_before(marked.select(*split, "seq", "out", "into"))
+    splits = narrow.groupBy(*split).agg(
+        F.max_by("after0", "seq").alias("out"), F.max_by("after1", "seq").alias("into"),
+        F.max(F.when(~F.col("before0") & F.col("after0"), F.col("seq"))).alias("opener0"),
+        F.max(F.when(~F.col("before1") & F.col("after1"), F.col("seq"))).alias("opener1"),
+    )
+    by_file = Window.partitionBy("src").orderBy("block")
+    chained = _running_state(splits, ["src"], "block", "out", "into").withColumn(
+        "start", F.lag("after0", 1, False).over(by_file)
+    )
+    opener = F.when(F.col("start"), F.col("opener1")).otherwise(F.col("opener0"))
+    carried = F.last(F.when(opener.isNotNull(), F.struct("block", opener.alias("seq"))), ignorenulls=True)
+    starts = chained.select(
+        *split, "start", carried.over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried")
+    )
+
+    filled = F.lit(True) if skip_blank is None else ~skip_blank
+    staged = with_before(marked.withColumn("filled", filled)).join(starts, split)
+    staged = staged.withColumns({
+        "before": F.when(F.col("start"), F.col("before1")).otherwise(F.col("before0")),
+        "after": F.when(F.col("start"), F.col("after1")).otherwise(F.col("after0")),
+    })
+    to_here = by_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = F.when(~F.col("before") & F.col("after"), F.struct("block", "seq"))
+    staged = staged.withColumns({
+        "record": F.coalesce(F.last(opens, ignorenulls=True).over(to_here), F.col("carried")),
+        "is_first": (F.col("block") == 0) & F.col("filled") & (F.count_if(F.col("filled")).over(to_here) == 1),
+    })
+    whole = staged.where(~F.col("before") & ~F.col("after")).select(*split, "seq", "value", "is_first")
+    parts = staged.where(F.col("before") | F.col("after"))
+    joined = (
+        parts.groupBy("src", "record")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("lines"), F.max("is_first").alias("is_first"))
+        .select(
+            "src", F.col("record.block").alias("block"), F.col("record.seq").alias("seq"),
+            F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"), "is_first",
+        )
+    )
+    return whole.union(joined)
