@@ -15,7 +15,7 @@ from gridloom.functions.text import strip
 from gridloom.functions.years import year_in_name
 from gridloom.operators.union import union_exact
 from gridloom.sources.files import InputFile, list_files, literal_path
-from gridloom.sources.lines import assemble_records, remap_latin, scan_lines
+from gridloom.sources.lines import remap_latin, scan_records
 from gridloom.sources.sniff import sniff
 
 # Cell texts read as missing.
@@ -121,32 +121,16 @@ def _read_exact(
     spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]], na_tokens: Sequence[str] | None
 ) -> DataFrame:
     sep = layout.sep
-    files = [f for f, _ in members]
-    firsts = {f.path: first for f, first in members}
-    value = F.col("value")
-    blank = (strip(value) == "") & ~F.contains(value, F.lit(sep))
-    in_head = (F.col("block") == 0) & (value == F.col("first_line"))
-
-    # The counting pass: one row per file comes back.
-    facts = (
-        scan_lines(spark, files, layout.encoding, firsts)
-        .groupBy("src").agg(F.max(open_after(value, sep)).alias("opens"), F.count_if(in_head).alias("headers"))
-        .collect()
+
+    def blank(c: Column) -> Column:
+        return (strip(c) == "") & ~F.contains(c, F.lit(sep))
+
+    rows = scan_records(
+        spark, [f for f, _ in members], layout.encoding, {f.path: first for f, first in members},
+        lambda c: open_after(c, sep), lambda c: open_after_inside(c, sep), blank,
     )
-    plain = {r.src for r in facts if not r.opens and r.headers == 1}
-    records = []
-    flat = [f for f in files if f.src in plain]
-    if flat:
-        lines = scan_lines(spark, flat, layout.encoding, firsts)
-        records.append(lines.where(~in_head).select("src", "block", "seq", "value"))
-    rest = [f for f in files if f.src not in plain]
-    if rest:
-        lines = scan_lines(spark, rest, layout.encoding, firsts)
-        joined = assemble_records(lines, open_after(value, sep), open_after_inside(value, sep), blank)
-        records.append(joined.where(~F.col("is_first")).select("src", "block", "seq", "value"))
-    rows = records[0] if len(records) == 1 else records[0].union(records[1])
-    rows = rows.where(~blank & (field_count(value, sep) <= len(layout.header)))
-    return _parse(rows, layout, na_tokens)
+    value = F.col("value")
+    return _parse(rows.where(~blank(value) & (field_count(value, sep) <= len(layout.header))), layout, na_tokens)
 
 
 def _parse(rows: DataFrame, layout: Layout, na_tokens: Sequence[str] | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,3 +143,35 @@ def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Co
         )
     )
     return whole.union(joined)
+
+
+def scan_records(
+    spark: SparkSession, files: Sequence[InputFile], encoding: str, first_lines: Mapping[str, str],
+    out: Callable[[Column], Column], into: Callable[[Column], Column],
+    blank: Callable[[Column], Column] | None = None, repair: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Data records ``(src, block, seq, value)`` of files with a header record, which is left out.
+
+    A counting pass (one row per file comes back) finds the files where a quote stays
+    open over a line end or the header line repeats. Only those are assembled, at the
+    price of a shuffle; every line of the others is a record and is read in place.
+    """
+    repair = repair or (lambda c: c)
+    value = F.col("value")
+    in_head = (F.col("block") == 0) & (value == F.col("first_line"))
+    facts = (
+        scan_lines(spark, files, encoding, first_lines)
+        .groupBy("src").agg(F.max(out(repair(value))).alias("opens"), F.count_if(in_head).alias("headers"))
+        .collect()
+    )
+    plain = {r.src for r in facts if not r.opens and r.headers == 1}
+    flat, rest = [f for f in files if f.src in plain], [f for f in files if f.src not in plain]
+    parts = []
+    if flat:
+        lines = scan_lines(spark, flat, encoding, first_lines)
+        parts.append(lines.where(~in_head).select("src", "block", "seq", repair(value).alias("value")))
+    if rest:
+        lines = scan_lines(spark, rest, encoding, first_lines).withColumn("value", repair(value))
+        joined = assemble_records(lines, out(value), into(value), blank(value) if blank else None)
+        parts.append(joined.where(~F.col("is_first")).select("src", "block", "seq", "value"))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])

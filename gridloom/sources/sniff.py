@@ -97,7 +97,11 @@ def _read_head(path: str, encoding: str | None, sep: str | None, dirty: bool, ap
             size *= 4
             head += f.read(size - len(head))
     bom = text.startswith("﻿") or head.startswith(codecs.BOM_UTF8)
-    return name, delimiter, bom, fields, first, first_dirty_record(text, delimiter, apostrophe) if dirty else None
+    if not dirty:
+        return name, delimiter, bom, fields, first, None
+    # Here a blank first line is a record too.
+    first = text.splitlines()[0] if text else ""
+    return name, delimiter, bom, fields, first, first_dirty_record(text, delimiter, apostrophe)
 
 
 def sniff(
