@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import names, numbers, quoting, text
 from gridloom.operators import columns, dedup, membership, profile, summarize, union
+from gridloom.operators.ordering import number_rows, split_sheets
 from gridloom.operators.predicates import Filter, apply_filters
+from gridloom.plans import file_jobs, group_summary, merge, yearly
+from gridloom.session import new_dataset_path
+from gridloom.sinks import csv_files as csv_sink
+from gridloom.sinks import sheets as sheet_sink
+from gridloom.sinks import workbook as workbook_sink
+from gridloom.sources import csv_files, files, semicolon, sniff, workbook
+from gridloom.streaming import file_drop
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -502,6 +510,423 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("url", year_in(F.col("url")).alias("year"))
 
 
+# --- row numbers and sheets ---------------------------------------------------
+
+_SHEETS_SQL = (
+    "select yr, cast(floor((rn-1)/1000) as int)+1 as sheet_no, count(*) as cnt, min(o_orderkey) as first_key from (select"
+    " cast(year(o_orderdate) as int) as yr, o_orderkey, row_number() over (partition by year(o_orderdate) order by o_orderkey) as rn"
+    " from orders) t group by 1,2"
+)
+
+
+def _orders_by_year(spark, sf):
+    return table(spark, sf, "orders").select(F.year("o_orderdate").alias("yr"), "o_orderkey", "o_orderstatus")
+
+
+def _sheet_counts(split, group):
+    return split.groupBy(F.col(group).cast("int").alias("yr"), "sheet_no").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(F.col("o_orderkey").cast("long")).alias("first_key")
+    )
+
+
+@query("sheet_split", _SHEETS_SQL)
+def _(spark, sf):
+    return _sheet_counts(split_sheets(_orders_by_year(spark, sf), "yr", 1000, "o_orderkey"), "yr")
+
+
+@query(
+    "row_numbers",
+    "select l_orderkey, l_returnflag, cast(sum(rn) as bigint) as rn_sum, count(*) as n from (select l_orderkey, l_returnflag,"
+    " row_number() over (partition by l_returnflag order by l_orderkey) as rn from lineitem) t group by 1,2",
+)
+def _(spark, sf):
+    # Ties (lines of one order) may be numbered in any order; their sum may not differ.
+    lines = table(spark, sf, "lineitem")
+    return (
+        number_rows(lines, ["l_returnflag"], "l_orderkey", "rn").groupBy("l_orderkey", "l_returnflag")
+        .agg(F.sum("rn").alias("rn_sum"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+# --- files: each query writes its table as files and reads those back ----------
+
+
+def _orders_text(spark, sf):
+    return table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+_ORDERS_TEXT = (
+    "select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus,"
+    " o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders"
+)
+
+
+@query("csv_round_trip", _ORDERS_TEXT)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "orders-csv")
+    csv_sink.write_csv(_orders_text(spark, sf), folder)
+    return csv_files.read_csv(spark, folder).withColumn("o_totalprice", numbers.to_numeric(F.col("o_totalprice")))
+
+
+@query("csv_round_trip_fast", _ORDERS_TEXT)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "orders-csv")
+    csv_sink.write_csv(_orders_text(spark, sf), folder, sep="|")
+    back = csv_files.read_csv(spark, folder, mode="fast")
+    return back.withColumn("o_totalprice", numbers.to_numeric(F.col("o_totalprice")))
+
+
+@query("csv_quoted_line_breaks", "select cast(doc_id as varchar) as doc_id, text, lang from documents")
+def _(spark, sf):
+    folder = new_dataset_path(spark, "documents-csv")
+    csv_sink.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang"), folder)
+    return csv_files.read_csv(spark, folder, sep=",")
+
+
+@query(
+    "csv_ragged",
+    # Every third line is one field short, every seventh one too long: the short ones stay, the long ones go.
+    "select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber,"
+    " case when l_orderkey % 3 <> 0 then l_returnflag end as l_returnflag from lineitem where l_orderkey % 7 <> 0 or l_orderkey % 3 = 0",
+)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "lineitem-ragged")
+    key = F.col("l_orderkey")
+    rest = F.when(key % 3 == 0, "").when(key % 7 == 0, F.concat(F.lit(","), "l_returnflag", F.lit(","))).otherwise(
+        F.concat(F.lit(","), "l_returnflag")
+    )
+    lines = table(spark, sf, "lineitem").select(F.concat_ws(",", key.cast("string"), F.concat("l_linenumber", rest)).alias("value"))
+    header = spark.createDataFrame([("l_orderkey,l_linenumber,l_returnflag",)], "value string")
+    # One file per task, each with its header line first.
+    parts = lines.withColumn("p", F.spark_partition_id())
+    heads = parts.select("p").distinct().crossJoin(F.broadcast(header)).withColumn("o", F.lit(0))
+    both = parts.withColumn("o", F.lit(1)).unionByName(heads)
+    both.repartition("p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(folder)
+    return csv_files.read_csv(spark, folder, sep=",")
+
+
+@query("csv_cp1251", "select 'Країна ' || n_name as \"назва\", cast(n_nationkey as varchar) as \"код\" from nation")
+def _(spark, sf):
+    folder = new_dataset_path(spark, "nation-cp1251")
+    named = table(spark, sf, "nation").select(
+        F.concat(F.lit("Країна "), "n_name").alias("назва"), F.col("n_nationkey").alias("код")
+    )
+    csv_sink.write_csv(named, folder, sep=";", encoding="cp1251")
+    return csv_files.read_csv(spark, folder)
+
+
+@query(
+    "sniff",
+    "select distinct 'cp1251' as encoding, ';' as sep, 'назва|баланс|сегмент' as header from customer",
+)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "customer-cp1251")
+    shown = table(spark, sf, "customer").selectExpr(
+        "concat('Клієнт ', c_name) as `назва`", "c_acctbal as `баланс`", "c_mktsegment as `сегмент`"
+    )
+    csv_sink.write_csv(shown, folder, sep=";", encoding="cp1251")
+    return sniff.sniff(spark, files.list_files(spark, folder)).select("encoding", "sep", F.array_join("header", "|").alias("header")).distinct()
+
+
+@query("csv_null_tokens", "select cast(e.event_id as varchar) as event_id, case when event_type not in ('error') then event_type end as event_type from events e")
+def _(spark, sf):
+    folder = new_dataset_path(spark, "events-csv")
+    marked = F.when(F.col("event_type") == "error", "N/A").otherwise(F.col("event_type"))
+    csv_sink.write_csv(table(spark, sf, "events").select("event_id", marked.alias("event_type")), folder, sep="\t")
+    return csv_files.read_csv(spark, folder)
+
+
+def _year_files(spark, sf, label):
+    """Orders as CSV files by year, and the year of each file."""
+    folder = new_dataset_path(spark, label)
+    csv_sink.write_csv(_orders_by_year(spark, sf).orderBy("o_orderkey"), folder, partition_by=["yr"])
+    listed = files.list_files(spark, folder)
+    return [f.path for f in listed], {f.path: int(f.path.split("/yr=")[1].split("/")[0]) for f in listed}
+
+
+@query(
+    "yearly_rows",
+    "select cast(o_orderkey as varchar) as o_orderkey, o_orderstatus, cast(year(o_orderdate) as int) as _year from orders where o_orderstatus in ('F','O')",
+)
+def _(spark, sf):
+    paths, years = _year_files(spark, sf, "orders-yearly")
+    spec = {"mode": "3", "column": "O_ORDERSTATUS", "values": ["f", "o"]}
+    return yearly.yearly_rows(spark, paths, [spec], years).drop("_ord")
+
+
+@query("yearly_sheets", _SHEETS_SQL)
+def _(spark, sf):
+    paths, years = _year_files(spark, sf, "orders-sheets")
+    return _sheet_counts(yearly.yearly_sheets(spark, paths, None, years, cap=1000), "_year")
+
+
+@query(
+    "file_drop_stream",
+    "select cast(o_orderkey as varchar) as o_orderkey, o_orderstatus from orders where contains(lower(o_orderstatus), 'p')",
+)
+def _(spark, sf):
+    paths, _years = _year_files(spark, sf, "orders-drop")
+    root = new_dataset_path(spark, "orders-streamed")
+    arriving = file_drop.stream_csv(spark, paths[0].split("/yr=")[0] + "/*", ["o_orderkey", "o_orderstatus"], files_per_batch=4)
+    kept = file_drop.filter_stream(arriving, [{"mode": "2", "column": "o_orderstatus", "value": "P"}])
+    file_drop.write_stream(kept, f"{root}/rows", f"{root}/checkpoint", partition_by=()).awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("o_orderkey", "o_orderstatus")
+
+
+_CLEAN = "translate(translate(text, '“”„‟«»\"\\', ''), chr(13), '')"
+
+
+@query(
+    "semicolon_repair",
+    f"select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, 'a;' || {_CLEAN} || '\"' as text from conversations",
+)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "conversations-dirty")
+    clean = F.translate("text", "“”„‟«»\"\\\r", "")
+    line = F.concat(F.col("conv_id").cast("string"), F.lit(";"), F.col("turn").cast("string"), F.lit(";«a;"), clean, F.lit('\\"”'))
+    lines = table(spark, sf, "conversations").select(line.alias("value"), F.spark_partition_id().alias("p"))
+    heads = lines.select("p").distinct().select(F.lit("conv_id;turn;text").alias("value"), "p", F.lit(0).alias("o"))
+    both = lines.withColumn("o", F.lit(1)).unionByName(heads)
+    both.repartition("p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(folder)
+    return semicolon.read_semicolon(spark, folder).drop("_extra")
+
+
+@query(
+    "semicolon_typed_cells",
+    "select event_id::double as event_id, value from events",
+)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "events-semicolon")
+    shown = table(spark, sf, "events").select("event_id", F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("value"))
+    csv_sink.write_csv(shown, folder, sep=";")
+    typed = semicolon.type_cells(semicolon.read_semicolon(spark, folder))
+    return typed.select(F.col("event_id.num").alias("event_id"), F.col("value.num").alias("value"))
+
+
+# --- workbooks ----------------------------------------------------------------
+
+
+def _customer_book(spark, sf):
+    folder = new_dataset_path(spark, "customer-xlsx")
+    workbook_sink.write_workbooks(table(spark, sf, "customer"), folder, "Customers", ["c_custkey"])
+    return folder
+
+
+def _supplier_book(spark, sf):
+    folder = new_dataset_path(spark, "supplier-xlsx")
+    shown = table(spark, sf, "supplier").select(
+        F.col("s_name").alias(" C-NAME "), F.col("s_suppkey").alias("s_suppkey"), F.col("s_acctbal").alias("C ACCTBAL")
+    )
+    workbook_sink.write_workbooks(shown, folder, "Suppliers")
+    return folder
+
+
+@query(
+    "workbook_round_trip",
+    "select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, c_acctbal, c_mktsegment from customer",
+)
+def _(spark, sf):
+    back = workbook.read_sheet(spark, _customer_book(spark, sf))
+    return back.withColumn("c_acctbal", numbers.to_numeric(F.col("c_acctbal")))
+
+
+@query(
+    "workbook_text",
+    "select cast(doc_id as varchar) as doc_id, text from (select doc_id, unnest(string_split(text, E'\\n')) as text from documents) where length(text) <= 32767 and text <> ''",
+)
+def _(spark, sf):
+    # Lines of documents: every one fits a cell, whatever its characters.
+    folder = new_dataset_path(spark, "documents-xlsx")
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    lines = lines.where((F.length("text") <= 32767) & (F.col("text") != ""))
+    workbook_sink.write_workbooks(lines.repartition(8), folder)
+    return workbook.read_sheet(spark, folder, na_tokens=None)
+
+
+@query("sheet_catalog", "select distinct 'Customers' as sheet, 0 as position from customer")
+def _(spark, sf):
+    return workbook.sheet_catalog(spark, _customer_book(spark, sf)).select("sheet", "position").distinct()
+
+
+@query(
+    "unite_sheets",
+    "select c_name, c_acctbal, c_mktsegment, null::varchar as s_suppkey from customer"
+    " union all select s_name, s_acctbal, null, cast(s_suppkey as varchar) from supplier",
+)
+def _(spark, sf):
+    united = workbook.unite_sheets(spark, [_customer_book(spark, sf), _supplier_book(spark, sf)])
+    return united.select("c_name", numbers.to_numeric(F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment", "s_suppkey")
+
+
+@query(
+    "merge_sheets",
+    "select upper(c_name) as c_name, c_acctbal from (select c_name, c_acctbal from customer union all select s_name, s_acctbal from supplier)"
+    " where c_acctbal >= 100 and c_name is not null",
+)
+def _(spark, sf):
+    merged = merge.merge_sheets(
+        spark, [_customer_book(spark, sf), _supplier_book(spark, sf)], None, [{"mode": "5", "column": "c_acctbal", "min": "100"}], ["C_NAME"]
+    )
+    return merged.select("c_name", numbers.to_numeric(F.col("c_acctbal")).alias("c_acctbal"))
+
+
+@query(
+    "unify_unique",
+    "select c_mktsegment, min(c_custkey)::varchar as c_custkey from (select c_custkey, c_mktsegment from customer where c_acctbal between -500.5 and 5000) group by 1",
+)
+def _(spark, sf):
+    spec = {"mode": "5", "column": "C_ACCTBAL", "min": "-500,5", "max": "5000"}
+    unique = merge.unify_unique(spark, _customer_book(spark, sf), ["C_MKTSEGMENT"], [spec], drop_spaces=True)
+    return unique.select("c_mktsegment", "c_custkey")
+
+
+@query("sheet_export_workbook", "select cast(year(o_orderdate) as int)::varchar as sheet, count(*) as cnt, min(o_orderkey)::varchar as first_key from orders group by 1")
+def _(spark, sf):
+    folder = new_dataset_path(spark, "orders-sheets-xlsx")
+    split = split_sheets(_orders_by_year(spark, sf), "yr", order_by="o_orderkey")
+    sheet_sink.export_sheets(split, folder, "workbook")
+    back = workbook.unite_sheets(spark, folder, with_order=True, with_sheet=True)
+    firsts = F.min_by("o_orderkey", "_ord").alias("first_key")
+    return back.groupBy(F.col("_sheet").alias("sheet")).agg(F.count(F.lit(1)).alias("cnt"), firsts)
+
+
+@query("append_sheet", "select n_name, sheet from nation, (select unnest(['NATIONS', 'NATIONS (2)']) as sheet)")
+def _(spark, sf):
+    folder = new_dataset_path(spark, "nation-sheets")
+    nations = table(spark, sf, "nation").select("n_name")
+    for _i in range(2):
+        sheet_sink.append_sheet(nations, folder, "NATIONS")
+    return spark.read.parquet(folder)
+
+
+# --- jobs ---------------------------------------------------------------------
+
+
+@query(
+    "merge_files",
+    "select upper(trim(c_name)) as c_name, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment, null::varchar as s_suppkey from customer where c_acctbal >= 0"
+    " union all select upper(s_name), cast(s_acctbal as varchar), null, cast(s_suppkey as varchar) from supplier where s_acctbal >= 0",
+)
+def _(spark, sf):
+    customers, suppliers = new_dataset_path(spark, "customers-csv"), new_dataset_path(spark, "suppliers-csv")
+    csv_sink.write_csv(table(spark, sf, "customer").select("c_name", "c_acctbal", "c_mktsegment"), customers)
+    shown = table(spark, sf, "supplier").selectExpr("s_suppkey", "s_name as c_name", "s_acctbal as c_acctbal")
+    # The same suppliers twice: the second copy goes.
+    csv_sink.write_csv(shown.union(shown), suppliers, sep=";")
+    return merge.merge_files(spark, [customers, suppliers], [{"mode": "5", "column": "acctbal", "min": "0"}], ["c_name"])
+
+
+@query(
+    "unify_tables",
+    "select o_orderkey, o_orderpriority, 0 as src from orders where o_totalprice >= 1000.5"
+    " qualify row_number() over (partition by upper(replace(o_orderpriority, '-', '')) order by o_orderkey) = 1",
+)
+def _(spark, sf):
+    orders = merge.with_order(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey")
+    again = merge.with_order(orders.drop("_ord").withColumnRenamed("o_orderpriority", "O-ORDERPRIORITY"), "o_orderkey", src=1)
+    spec = {"mode": "5", "column": "o_totalprice", "min": "1000,5"}
+    unique = merge.unify_tables([orders, again], ["o_orderpriority"], [spec], drop_dashes=True)
+    return unique.select("o_orderkey", "o_orderpriority", F.col("_ord.src").alias("src"))
+
+
+_SUMMARY_BLOCKS = (
+    "with cells as (select 0 as block_no, 'customer — C' as block, cast(c_nationkey as varchar) as value from customer where c_acctbal >= 0"
+    " union all select 1, 'supplier — C', cast(s_nationkey as varchar) from supplier where s_acctbal >= 0),"
+    " per_sheet as (select block_no, block, value, count(*) as cnt from cells group by all) "
+)
+
+
+@query(
+    "group_summary",
+    _SUMMARY_BLOCKS + "select * from per_sheet union all select 2, 'ЗАГАЛОМ — підсумок', value, count(*) from per_sheet group by value",
+)
+def _(spark, sf):
+    sheets = {n: table(spark, sf, n) for n in ("customer", "supplier")}
+    return group_summary.group_summary(sheets, "C", filters=[{"type": 5, "col_token": "acctbal", "num_min": 0, "num_max": 1e9}])
+
+
+@query(
+    "group_summary_unique",
+    _SUMMARY_BLOCKS + "select block_no, block, value, null::bigint as cnt from per_sheet"
+    " union all select distinct 2, 'ЗАГАЛОМ — унікальні', value, null::bigint from per_sheet",
+)
+def _(spark, sf):
+    sheets = {n: table(spark, sf, n) for n in ("customer", "supplier")}
+    spec = [{"type": 5, "col_token": "acctbal", "num_min": 0, "num_max": 1e9}]
+    return group_summary.group_summary(sheets, "C", "unique", filters=spec)
+
+
+@query(
+    "group_summary_several",
+    "with kept as (select * from orders qualify row_number() over (partition by o_custkey order by o_orderkey)=1)"
+    " select 0 as block_no, 'orders — o_orderstatus' as block, o_orderstatus as value, count(*) as cnt from kept group by all"
+    " union all select 1, 'orders — o_orderpriority', upper(o_orderpriority), count(*) from kept group by all",
+)
+def _(spark, sf):
+    return group_summary.group_summary(
+        {"orders": table(spark, sf, "orders")}, "o_orderstatus,o_orderpriority", dedup_keys="o_custkey", order_by="o_orderkey", several=True
+    )
+
+
+@query(
+    "summary_sheet",
+    "with f as (select upper(p_brand) as a, count(*) as cnt from part group by 1)"
+    " select 0 as block_no, 2 as part, a, cast(cnt as varchar) as b, cnt from f union all select 0, 0, 'part — p_brand', null, null"
+    " union all select 0, 1, 'p_brand', 'КІЛЬКІСТЬ', null union all select 0, 3, null, null, null",
+)
+def _(spark, sf):
+    summary = group_summary.group_summary({"part": table(spark, sf, "part")}, "p_brand")
+    return group_summary.stack_blocks(summary.where(F.col("block_no") == 0), "p_brand")
+
+
+def _parts_csv(spark, sf):
+    folder = new_dataset_path(spark, "part-csv")
+    csv_sink.write_csv(table(spark, sf, "part"), folder)
+    return f"{folder}/*.csv"
+
+
+@query("filter_file", "select p_partkey::varchar as p_partkey, p_name from part where p_size between 10 and 20 and contains(upper(p_name),'RING')")
+def _(spark, sf):
+    specs = [{"mode": "5", "column": "p_size", "min": 10, "max": 20}, {"mode": "2", "column": "B", "value": "ring"}]
+    return file_jobs.filter_file(spark, _parts_csv(spark, sf), specs).select("p_partkey", "p_name")
+
+
+@query("frequency_of_file", "select upper(p_brand) as p_brand, count(*) as cnt from part group by 1")
+def _(spark, sf):
+    return file_jobs.frequency_of_file(spark, _parts_csv(spark, sf), "brand")
+
+
+@query("unique_of_file", "select distinct upper(p_type) as p_type from part")
+def _(spark, sf):
+    return file_jobs.unique_of_file(spark, _parts_csv(spark, sf), "type")
+
+
+@query("dedup_file", "select upper(p_brand) as p_brand, upper(p_type) as p_type, count(*) as n from (select distinct p_brand, p_type from part) group by all")
+def _(spark, sf):
+    unique = file_jobs.dedup_file(spark, _parts_csv(spark, sf), ["p_brand", "p_type"])
+    return unique.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("profile_file", "select 'p_name' as \"column\", count(*) as n_rows, count(p_name) as non_null, count(distinct p_name) as n_distinct from part")
+def _(spark, sf):
+    out = file_jobs.profile_file(spark, _parts_csv(spark, sf), distinct="exact")
+    return out.where(F.col("column") == "p_name").select("column", "n_rows", "non_null", "n_distinct")
+
+
+@query(
+    "row_counters",
+    "select count(*) as \"rows\", count(*) filter (l_returnflag='R') as returned, count(*) filter (l_quantity >= 25) as large from lineitem",
+)
+def _(spark, sf):
+    counted, seen = profile.count_rows(
+        table(spark, sf, "lineitem"), "lineitem",
+        {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") >= 25},
+    )
+    counted.write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    return spark.createDataFrame([(counts["rows"], counts["returned"], counts["large"])], "rows long, returned long, large long")
+
+
 # --- contract -----------------------------------------------------------------
 
 

@@ -1,0 +1 @@
+"""Whole jobs composed from sources, operators and sinks."""

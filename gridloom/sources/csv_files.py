@@ -71,50 +71,69 @@ def read_csv(
     ``with_order`` adds ``_ord``, ``with_file`` ``_file``, ``with_year`` ``_year``
     (from the file name, or from ``years`` by file name).
     """
+    parts = read_csv_parts(spark, paths, encoding, sep, mode, na_tokens, with_file, with_year, years)
+    carry = [n for n, wanted in ((ORD, with_order), (FILE, with_file), (YEAR, with_year)) if wanted]
+    frames = [p.frame if with_order else p.frame.drop(ORD) for p in parts]
+    return frames[0] if len(frames) == 1 else union_exact(frames, carry)
+
+
+@dataclass(frozen=True)
+class CsvPart:
+    """Files of one layout (and one year, where years are asked for) as one frame with ``_ord``."""
+
+    layout: Layout
+    year: int | None
+    files: tuple[InputFile, ...]
+    frame: DataFrame
+
+
+def read_csv_parts(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, sep: str | None = None,
+    mode: str = "exact", na_tokens: Sequence[str] | None = NA_TOKENS, with_file: bool = False,
+    with_year: bool = False, years: Mapping[str, int] | None = None,
+) -> list[CsvPart]:
+    """One frame per distinct layout, so the plan grows with layouts and not with files."""
     layouts = detect(spark, paths, encoding, sep)
-    groups: dict[Layout, list[tuple[InputFile, str]]] = {}
+    year_of = file_years([f for f, _, _ in layouts], years) if with_year else {}
+    groups: dict[tuple[Layout, int | None], list[tuple[InputFile, str]]] = {}
     for f, layout, first in layouts:
         if layout.header:
-            groups.setdefault(layout, []).append((f, first))
+            groups.setdefault((layout, year_of.get(f.src)), []).append((f, first))
     if not groups:
         raise ValueError(f"no header found in {paths!r}")
-    if with_year:
-        year_table = file_years([f for f, _, _ in layouts], years)
-
-    frames = []
-    for layout, members in groups.items():
-        reader = _read_fast if mode == "fast" else _read_exact
-        frame = reader(spark, layout, members, na_tokens)
-        files = [f for f, _ in members]
+
+    parts = []
+    for (layout, year), members in groups.items():
+        frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, members, na_tokens)
+        files = tuple(f for f, _ in members)
         if with_file:
-            frame = _with_file_fact(frame, {f.src: f.path for f in files}, FILE, "string")
+            frame = _with_path(frame, files)
         if with_year:
-            frame = _with_file_fact(frame, {f.src: year_table[f.src] for f in files}, YEAR, "int")
-        frames.append(frame if with_order else frame.drop(ORD))
-    carry = [n for n, wanted in ((ORD, with_order), (FILE, with_file), (YEAR, with_year)) if wanted]
-    return frames[0] if len(frames) == 1 else union_exact(frames, carry)
+            frame = frame.withColumn(YEAR, F.lit(year))
+        parts.append(CsvPart(layout, year, files, frame))
+    return parts
 
 
-def file_years(files: Sequence[InputFile], overrides: Mapping[str, int] | None = None) -> dict[int, int]:
-    """Year of each file: from its name, else from ``overrides`` (by file name); a file with neither is an error."""
+def file_years(files: Sequence[InputFile], given: Mapping[str, int] | None = None) -> dict[int, int]:
+    """Year of each file: as ``given`` by path or file name, else from the name; neither is an error."""
     out = {}
     for f in files:
         name = f.path.rsplit("/", 1)[-1]
-        year = year_in_name(os.path.splitext(name)[0])
-        year = year if year is not None else (overrides or {}).get(name)
+        year = next((given[k] for k in (f.path, name) if given and k in given), None)
+        year = year if year is not None else year_in_name(os.path.splitext(name)[0])
         if year is None:
             raise ValueError(f"no year in file name {name!r}; give one in years")
         out[f.src] = int(year)
     return out
 
 
-def _with_file_fact(frame: DataFrame, facts: Mapping[int, object], name: str, dtype: str) -> DataFrame:
-    src = col(ORD)["src"]
-    if len(set(facts.values())) == 1:
-        return frame.withColumn(name, F.lit(next(iter(facts.values()))).cast(dtype))
-    ordered = sorted(facts)
-    table = frame.sparkSession.createDataFrame([(s, facts[s]) for s in ordered], f"__src int, `{name}` {dtype}")
-    return frame.withColumn("__src", src).join(F.broadcast(table), "__src").drop("__src")
+def _with_path(frame: DataFrame, files: Sequence[InputFile]) -> DataFrame:
+    if len(files) == 1:
+        return frame.withColumn(FILE, F.lit(files[0].path))
+    # As many rows as paths this driver already holds.
+    table = frame.sparkSession.createDataFrame([(f.src, f.path) for f in files], f"__src int, `{FILE}` string")
+    placed = frame.withColumn("__src", col(ORD)["src"]).join(F.broadcast(table), "__src")
+    return placed.select(*[col(c) for c in frame.columns], FILE)
 
 
 def _read_exact(
