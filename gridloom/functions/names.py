@@ -103,13 +103,16 @@ def col(name: str) -> Column:
 
 def fold_lookalikes(c: Column) -> Column:
     """Look-alike letters to Latin, on values."""
-    return F.translate(c, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+    folded = F.translate(c, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+    # The per-character map is slow; texts without Cyrillic letters need none.
+    return F.when(c.rlike("[\u0400-\u04ff]"), folded).otherwise(c)
 
 
 def norm_header_column(c: Column, norm: str = "safe") -> Column:
     """:func:`norm_header` on a text column (headers that arrive as data)."""
-    from gridloom.functions.text import as_text, strip
+    from gridloom.functions.text import WHITESPACE, as_text, strip
 
-    snake = F.regexp_replace(F.lower(strip(fold_lookalikes(as_text(c)))), r"(?U)[\s\x1c-\x1f\-]+", "_")
-    kept = F.regexp_replace(snake, "[^0-9a-z_]" if norm == "compat" else r"(?U)[^\p{L}\p{N}_]", "")
-    return F.regexp_replace(F.regexp_replace(kept, "_+", "_"), "^_|_$", "")
+    gaps = "[" + "".join(f"\\x{{{ord(w):x}}}" for w in WHITESPACE) + "-]+"
+    snake = F.regexp_replace(F.lower(strip(fold_lookalikes(as_text(c)))), gaps, "_")
+    kept = F.regexp_replace(snake, "[^0-9a-z_]+" if norm == "compat" else r"(?U)[^\p{L}\p{N}_]+", "")
+    return F.regexp_replace(F.regexp_replace(kept, "__+", "_"), "^_|_$", "")

@@ -23,8 +23,11 @@ def norm_quotes(c: Column, apostrophe_as_quote: bool = False) -> Column:
     With ``apostrophe_as_quote`` single quotes become double ones; off by default,
     because then the apostrophe in a Ukrainian word opens a quoted field.
     """
-    mapped = {k: v for k, v in QUOTES.items() if apostrophe_as_quote or v == '"'}
-    text = F.translate(c, "".join(mapped), "".join(mapped.values()))
+    # Byte-wise replacements beat a per-character map on text that holds few of them.
+    text = c
+    for typographic, ascii_quote in QUOTES.items():
+        if apostrophe_as_quote or ascii_quote == '"':
+            text = F.replace(text, F.lit(typographic), F.lit(ascii_quote))
     text = F.replace(text, F.lit('\\"'), F.lit('""'))
     return F.replace(text, F.lit("'"), F.lit('"')) if apostrophe_as_quote else text
 
@@ -87,7 +90,8 @@ def open_after_inside(c: Column, sep: str) -> Column:
     """The same, when the line begins inside a quoted field."""
     leave = '^[^"]*+"'
     rest = F.regexp_replace(_unpaired(c), leave, "x")
-    return F.when(_unpaired(c).rlike(leave), open_after(rest, sep)).otherwise(F.lit(True))
+    leaves = F.contains(c, F.lit('"')) & _unpaired(c).rlike(leave)
+    return F.when(leaves, open_after(rest, sep)).otherwise(F.lit(True))
 
 
 def field_count(c: Column, sep: str) -> Column:

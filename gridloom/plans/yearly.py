@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.operators.columns import reindex
+from gridloom.functions.names import col
 from gridloom.operators.ordering import SHEET_ROWS, split_sheets
 from gridloom.operators.predicates import Filter, apply_filters
 from gridloom.operators.union import union_exact
-from gridloom.sources.csv_files import ORD, YEAR, read_csv_parts
+from gridloom.sources.csv_files import ORD, YEAR, CsvPart, read_csv_parts
 
 
 def yearly_rows(
@@ -23,16 +24,32 @@ def yearly_rows(
     that year lose their extra columns. ``all`` loses nothing.
     """
     parts = read_csv_parts(spark, paths, with_year=True, years=years, **csv_options)
-    kept = [(p, apply_filters(p.frame, filters, dialect)) for p in parts]
-    frames = [f for _, f in kept]
+    frames = [apply_filters(p.frame, filters, dialect) for p in parts]
     if columns == "first":
-        first: dict[int, list[str]] = {}
-        for p, f in sorted(kept, key=lambda x: x[0].files[0].src):
-            first.setdefault(p.year, [c for c in f.columns if c not in (ORD, YEAR)])
-        frames = [reindex(f, [*first[p.year], ORD, YEAR]) for p, f in kept]
+        frames = _first_columns(parts, frames)
     return frames[0] if len(frames) == 1 else union_exact(frames, [ORD, YEAR])
 
 
+def _first_columns(parts: Sequence[CsvPart], frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """Each frame without the cells its year's first file has no column for."""
+    first_file: dict[int, tuple[int, set[str]]] = {}
+    for p, f in zip(parts, frames):
+        for src, year in p.years.items():
+            if year not in first_file or src < first_file[year][0]:
+                first_file[year] = (src, set(f.columns))
+    out = []
+    for p, f in zip(parts, frames):
+        cells = []
+        for c in f.columns:
+            having = sorted({y for y in p.years.values() if c in first_file[y][1]})
+            if c in (ORD, YEAR) or len(having) == len(set(p.years.values())):
+                cells.append(col(c))
+            elif having:
+                cells.append(F.when(col(YEAR).isin(having), col(c)).alias(c))
+        out.append(f.select(*cells))
+    return out
+
+
 def yearly_sheets(
     spark: SparkSession, paths: str | Sequence[str], filters: Sequence[Filter | Mapping] | None = None,
     years: Mapping[str, int] | None = None, cap: int = SHEET_ROWS, columns: str = "all", **options,

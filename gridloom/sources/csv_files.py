@@ -79,10 +79,10 @@ def read_csv(
 
 @dataclass(frozen=True)
 class CsvPart:
-    """Files of one layout (and one year, where years are asked for) as one frame with ``_ord``."""
+    """Files of one layout as one frame with ``_ord``; ``years`` by ``src``, where years are asked for."""
 
     layout: Layout
-    year: int | None
+    years: Mapping[int, int]
     files: tuple[InputFile, ...]
     frame: DataFrame
 
@@ -95,22 +95,23 @@ def read_csv_parts(
     """One frame per distinct layout, so the plan grows with layouts and not with files."""
     layouts = detect(spark, paths, encoding, sep)
     year_of = file_years([f for f, _, _ in layouts], years) if with_year else {}
-    groups: dict[tuple[Layout, int | None], list[tuple[InputFile, str]]] = {}
+    groups: dict[Layout, list[tuple[InputFile, str]]] = {}
     for f, layout, first in layouts:
         if layout.header:
-            groups.setdefault((layout, year_of.get(f.src)), []).append((f, first))
+            groups.setdefault(layout, []).append((f, first))
     if not groups:
         raise ValueError(f"no header found in {paths!r}")
 
     parts = []
-    for (layout, year), members in groups.items():
+    for layout, members in groups.items():
         frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, members, na_tokens)
         files = tuple(f for f, _ in members)
         if with_file:
-            frame = _with_path(frame, files)
+            frame = _with_file_fact(frame, {f.src: f.path for f in files}, FILE, "string")
+        part_years = {f.src: year_of[f.src] for f in files} if with_year else {}
         if with_year:
-            frame = frame.withColumn(YEAR, F.lit(year))
-        parts.append(CsvPart(layout, year, files, frame))
+            frame = _with_file_fact(frame, part_years, YEAR, "int")
+        parts.append(CsvPart(layout, part_years, files, frame))
     return parts
 
 
@@ -127,13 +128,13 @@ def file_years(files: Sequence[InputFile], given: Mapping[str, int] | None = Non
     return out
 
 
-def _with_path(frame: DataFrame, files: Sequence[InputFile]) -> DataFrame:
-    if len(files) == 1:
-        return frame.withColumn(FILE, F.lit(files[0].path))
+def _with_file_fact(frame: DataFrame, facts: Mapping[int, object], name: str, dtype: str) -> DataFrame:
+    if len(set(facts.values())) == 1:
+        return frame.withColumn(name, F.lit(next(iter(facts.values()))).cast(dtype))
     # As many rows as paths this driver already holds.
-    table = frame.sparkSession.createDataFrame([(f.src, f.path) for f in files], f"__src int, `{FILE}` string")
+    table = frame.sparkSession.createDataFrame(list(facts.items()), f"__src int, `{name}` {dtype}")
     placed = frame.withColumn("__src", col(ORD)["src"]).join(F.broadcast(table), "__src")
-    return placed.select(*[col(c) for c in frame.columns], FILE)
+    return placed.select(*[col(c) for c in frame.columns], name)
 
 
 def _read_exact(

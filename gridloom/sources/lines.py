@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.sources.files import InputFile, literal_path
+from gridloom.sources.record_pieces import TAIL, WHOLE, join_lines, sum_up_splits
 
 # One-byte charsets: decoded as Latin-1, then the upper half is mapped.
 _ONE_BYTE = {"cp1251": "cp1251", "windows-1251": "cp1251", "cp1252": "cp1252", "latin-1": None, "iso-8859-1": None}
@@ -87,60 +88,46 @@ def _running_state(df: DataFrame, group: Sequence[str], order: str, out: str, in
 def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Column | None = None) -> DataFrame:
     """Join the physical lines of each record: ``(src, block, seq, value, is_first)``.
 
-    Works split by split: each split is summarised for both possible start states,
-    the summaries (one row per split) are chained per file, and only then are lines
-    given their state. No task sees a whole file. ``is_first`` marks the first
-    record of a file (the first one that is not blank, where ``skip_blank`` tells
-    blank lines).
+    Takes the frame of :func:`scan_lines`, whose tasks deliver the lines of a split in
+    order, and moves no bulk data: one pass sums up what each split does to the quote
+    state (a row per split), the sums are chained per file, and a second pass joins
+    lines in place, knowing the state its split starts in. Only the pieces of records
+    that cross a split border, two per split at most, are shuffled.
+
+    ``is_first`` marks the first record of a file (the first one that is not blank,
+    where ``skip_blank`` tells blank lines).
     """
-    split = ["src", "block"]
-    by_split = Window.partitionBy(*split).orderBy("seq")
-    marked = lines.withColumns({"out": out, "into": into})
-
-    def with_before(df: DataFrame) -> DataFrame:
-        df = _running_state(df, split, "seq", "out", "into")
-        return df.withColumns({
-            "before0": F.lag("after0", 1, False).over(by_split), "before1": F.lag("after1", 1, True).over(by_split),
-        })
-
-    # Narrow pass: what each split does to the state, and where its last record opens.
-    narrow = with_before(marked.select(*split, "seq", "out", "into"))
-    splits = narrow.groupBy(*split).agg(
-        F.max_by("after0", "seq").alias("out"), F.max_by("after1", "seq").alias("into"),
-        F.max(F.when(~F.col("before0") & F.col("after0"), F.col("seq"))).alias("opener0"),
-        F.max(F.when(~F.col("before1") & F.col("after1"), F.col("seq"))).alias("opener1"),
+    filled = F.lit(True) if skip_blank is None else ~skip_blank
+    marked = lines.withColumns({"out": out, "into": into, "filled": filled})
+    splits = marked.select("src", "block", "out", "into").mapInArrow(
+        sum_up_splits, "src int, block long, out boolean, into boolean"
     )
     by_file = Window.partitionBy("src").orderBy("block")
+    # A file starts outside quotes, so the running state of that start is the real one.
     chained = _running_state(splits, ["src"], "block", "out", "into").withColumn(
         "start", F.lag("after0", 1, False).over(by_file)
     )
-    opener = F.when(F.col("start"), F.col("opener1")).otherwise(F.col("opener0"))
-    carried = F.last(F.when(opener.isNotNull(), F.struct("block", opener.alias("seq"))), ignorenulls=True)
-    starts = chained.select(
-        *split, "start", carried.over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried")
+    starts = chained.select("src", "block", "start", (F.col("start") | F.col("after0")).alias("crossed"))
+    # One row per input split: the listing bounds it, and the join must not move the lines.
+    placed = marked.join(F.broadcast(starts), ["src", "block"]).select(
+        "src", "block", "seq", "value", "out", "into", "filled", "start", "crossed"
     )
 
-    filled = F.lit(True) if skip_blank is None else ~skip_blank
-    staged = with_before(marked.withColumn("filled", filled)).join(starts, split)
-    staged = staged.withColumns({
-        "before": F.when(F.col("start"), F.col("before1")).otherwise(F.col("before0")),
-        "after": F.when(F.col("start"), F.col("after1")).otherwise(F.col("after0")),
-    })
-    to_here = by_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = F.when(~F.col("before") & F.col("after"), F.struct("block", "seq"))
-    staged = staged.withColumns({
-        "record": F.coalesce(F.last(opens, ignorenulls=True).over(to_here), F.col("carried")),
-        "is_first": (F.col("block") == 0) & F.col("filled") & (F.count_if(F.col("filled")).over(to_here) == 1),
-    })
-    whole = staged.where(~F.col("before") & ~F.col("after")).select(*split, "seq", "value", "is_first")
-    parts = staged.where(F.col("before") | F.col("after"))
-    joined = (
-        parts.groupBy("src", "record")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("lines"), F.max("is_first").alias("is_first"))
-        .select(
-            "src", F.col("record.block").alias("block"), F.col("record.seq").alias("seq"),
-            F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"), "is_first",
+    def pieces(of: DataFrame) -> DataFrame:
+        return of.drop("crossed").mapInArrow(
+            join_lines, "src int, block long, seq long, value string, is_first boolean, piece int"
         )
+
+    whole = pieces(placed).where(F.col("piece") == WHOLE).select("src", "block", "seq", "value", "is_first")
+    # A record over a border: the tail of one split, then the heads of the next ones.
+    in_order = Window.partitionBy("src").orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crossing = pieces(placed.where("crossed")).where(F.col("piece") != WHOLE).withColumn(
+        "record", F.count_if(F.col("piece") == TAIL).over(in_order)
+    )
+    parts = F.sort_array(F.collect_list(F.struct("block", "seq", "value")))
+    joined = crossing.groupBy("src", "record").agg(parts.alias("parts"), F.max("is_first").alias("is_first")).select(
+        "src", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["seq"].alias("seq"),
+        F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"), "is_first",
     )
     return whole.union(joined)
 

@@ -1,0 +1,125 @@
+"""Joining lines to records inside one task; the Arrow side of record assembly.
+
+A line is described by two booleans: is a quoted field open after it if none was
+open before (``out``), and if one was (``into``). Equal booleans settle the state,
+unequal ones keep or flip it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+WHOLE, HEAD, TAIL = 0, 1, 2
+
+
+def states_after(out: np.ndarray, into: np.ndarray, start: bool) -> np.ndarray:
+    """Quote state after each line of a run that begins in state ``start``."""
+    settles = out == into
+    flips = np.cumsum(np.where(settles, False, out))
+    last = np.maximum.accumulate(np.where(settles, np.arange(len(out)), -1))
+    base = np.where(last >= 0, out[last], start)
+    since = flips - np.where(last >= 0, flips[last], 0)
+    return base ^ (since % 2 == 1)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """``((src, block), first row, end row)`` of each stretch of one split."""
+    if batch.num_rows == 0:
+        return
+    src, block = (np.asarray(batch.column(n)) for n in ("src", "block"))
+    cuts = np.flatnonzero((src[1:] != src[:-1]) | (block[1:] != block[:-1])) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield (int(src[a]), int(block[a])), a, b
+
+
+def _flags(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def sum_up_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per split: its end state when started outside and when started inside quotes."""
+    done: list[tuple] = []
+    key, ends = None, (False, True)
+    for batch in batches:
+        out, into = _flags(batch, "out"), _flags(batch, "into")
+        for split, a, b in _runs(batch):
+            if split != key:
+                if key is not None:
+                    done.append((*key, *ends))
+                key, ends = split, (False, True)
+            ends = tuple(bool(states_after(out[a:b], into[a:b], e)[-1]) for e in ends)
+    if key is not None:
+        done.append((*key, *ends))
+    types = [pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*done), types)] if done else [pa.array([], t) for t in types]
+    yield pa.RecordBatch.from_arrays(columns, ["src", "block", "out", "into"])
+
+
+class _OpenRecord:
+    """The record at hand: its lines so far, where it began, whether it began before this split."""
+
+    def __init__(self) -> None:
+        self.lines: list[str] = []
+        self.seq = 0
+        self.is_head = False
+        self.is_first = False
+
+
+def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each split; pieces of records that cross its borders are marked ``HEAD`` and ``TAIL``."""
+    key, state, seen_first = None, False, False
+    record = _OpenRecord()
+    names = ["src", "block", "seq", "value", "is_first", "piece"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32()]
+
+    def leave_split(made: list) -> None:
+        if key is not None and state and record.lines:
+            made.append((*key, record.seq, "\n".join(record.lines), record.is_first, HEAD if record.is_head else TAIL))
+
+    def as_batch(made: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
+
+    for batch in batches:
+        made: list[tuple] = []
+        out, into, filled = (_flags(batch, n) for n in ("out", "into", "filled"))
+        first = np.zeros(batch.num_rows, dtype=bool)
+        whole = np.zeros(batch.num_rows, dtype=bool)
+        for split, a, b in _runs(batch):
+            if split != key:
+                leave_split(made)
+                key, seen_first, record = split, False, _OpenRecord()
+                state = bool(batch.column("start")[a].as_py())
+                record.is_head = state
+            after = states_after(out[a:b], into[a:b], state)
+            before = np.concatenate([[state], after[:-1]])
+            if split[1] == 0 and not seen_first and filled[a:b].any():
+                first[a + int(np.argmax(filled[a:b]))] = True
+                seen_first = True
+            alone = ~before & ~after
+            whole[a:b] = alone
+            for i in (np.flatnonzero(~alone) + a).tolist():
+                if not record.lines:
+                    record.seq = batch.column("seq")[i].as_py()
+                record.lines.append(batch.column("value")[i].as_py())
+                record.is_first |= bool(first[i])
+                if not after[i - a]:
+                    made.append((*split, record.seq, "\n".join(record.lines), record.is_first, HEAD if record.is_head else WHOLE))
+                    record = _OpenRecord()
+            state = bool(after[-1])
+        if whole.any():
+            mask = pa.array(whole)
+            kept = [batch.column(n).filter(mask).cast(t) for n, t in zip(names[:4], types)]
+            n = int(whole.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(first[whole]), pa.array(np.full(n, WHOLE, dtype=np.int32))], names
+            )
+        if made:
+            yield as_batch(made)
+    made = []
+    leave_split(made)
+    if made:
+        yield as_batch(made)
