@@ -110,9 +110,9 @@ def fold_lookalikes(c: Column) -> Column:
 
 def norm_header_column(c: Column, norm: str = "safe") -> Column:
     """:func:`norm_header` on a text column (headers that arrive as data)."""
-    from gridloom.functions.text import WHITESPACE, as_text, strip
+    from gridloom.functions.text import as_text, strip
 
-    gaps = "[" + "".join(f"\\x{{{ord(w):x}}}" for w in WHITESPACE) + "-]+"
-    snake = F.regexp_replace(F.lower(strip(fold_lookalikes(as_text(c)))), gaps, "_")
+    folded = F.lower(strip(fold_lookalikes(as_text(c))))
+    snake = F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f\-]+", "_")
     kept = F.regexp_replace(snake, "[^0-9a-z_]+" if norm == "compat" else r"(?U)[^\p{L}\p{N}_]+", "")
-    return F.regexp_replace(F.regexp_replace(kept, "__+", "_"), "^_|_$", "")
+    return F.btrim(F.regexp_replace(kept, "__+", "_"), F.lit("_"))

@@ -44,6 +44,11 @@ def norm_text(c: Column, case: str = "upper", strip_ws: bool = True, blank_nulls
     return F.coalesce(text, F.lit("")) if blank_nulls else text
 
 
+def is_filled(c: Column, strip_ws: bool = True) -> Column:
+    """Is the normalised text cell other than ``''``? Looks at the first character that counts, not at the whole cell."""
+    return (F.ltrim(c, F.lit(WHITESPACE)) if strip_ws else c) != ""
+
+
 def norm_key(
     c: Column, upper: bool = True, strip_ws: bool = True, drop_spaces: bool = False, drop_dashes: bool = False
 ) -> Column:

@@ -4,20 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.names import col
-from gridloom.functions.text import norm_text
+from gridloom.functions.text import is_filled, norm_text
 from gridloom.operators.columns import resolve_column, resolve_columns
 
 
-def _values(df: DataFrame, column: str, case: str, strip_ws: bool, drop_empty: bool) -> DataFrame:
-    name = resolve_column(df.columns, column)
-    # A blank is dropped or counted as ''; where it is dropped NULL need not become ''.
-    cell = norm_text(col(name), case, strip_ws, blank_nulls=not drop_empty)
-    out = df.select(cell.alias(name))
-    return out.where(col(name) != "") if drop_empty else out
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
+
+
+def _grouping_cell(df: DataFrame, name: str, case: str, strip_ws: bool, drop_empty: bool) -> tuple[Column, Column]:
+    """What to group a column by, and which rows to keep.
+
+    Text is grouped by its normal form. Other types are grouped as they are, which is
+    cheaper, and turned into text once per group (:func:`_as_value`).
+    """
+    cell = col(name)
+    if not _is_text(df, name):
+        return cell, cell.isNotNull() if drop_empty else F.lit(True)
+    keep = is_filled(cell, strip_ws) if drop_empty else F.lit(True)
+    return norm_text(cell, case, strip_ws, blank_nulls=not drop_empty), keep
+
+
+def _as_value(df: DataFrame, name: str, value: Column, case: str, strip_ws: bool) -> Column:
+    return value if _is_text(df, name) else norm_text(value, case, strip_ws)
 
 
 def frequency(
@@ -25,9 +39,10 @@ def frequency(
     count_name: str = "cnt", top: int | None = None, ordered: bool = True,
 ) -> DataFrame:
     """How often each value occurs, most frequent first, ties by value. ``top`` keeps the first ``k``."""
-    values = _values(df, column, case, strip_ws, drop_empty)
-    name = values.columns[0]
-    out = values.groupBy(col(name)).agg(F.count(F.lit(1)).alias(count_name))
+    name = resolve_column(df.columns, column)
+    group, keep = _grouping_cell(df, name, case, strip_ws, drop_empty)
+    counts = df.where(keep).groupBy(group.alias("__g")).agg(F.count(F.lit(1)).alias(count_name))
+    out = counts.select(_as_value(df, name, F.col("__g"), case, strip_ws).alias(name), col(count_name))
     if ordered or top is not None:
         out = out.orderBy(col(count_name).desc(), col(name).asc())
     return out if top is None else out.limit(top)
@@ -38,9 +53,10 @@ def unique_values(
     count_name: str | None = None, ordered: bool = True,
 ) -> DataFrame:
     """Distinct values in order. ``count_name`` adds the empty count column of the summary layout."""
-    values = _values(df, column, case, strip_ws, drop_empty)
-    name = values.columns[0]
-    out = values.distinct()
+    name = resolve_column(df.columns, column)
+    group, keep = _grouping_cell(df, name, case, strip_ws, drop_empty)
+    distinct = df.where(keep).select(group.alias("__g")).distinct()
+    out = distinct.select(_as_value(df, name, F.col("__g"), case, strip_ws).alias(name))
     if ordered:
         out = out.orderBy(col(name).asc_nulls_last())
     return out if count_name is None else out.withColumn(count_name, F.lit(None).cast("long"))
@@ -84,10 +100,11 @@ def frequency_by_sheet(
 ) -> DataFrame:
     """Frequency within each sheet: ``(sheet, value, cnt)``."""
     name = resolve_column(df.columns, column)
-    cells = df.select(col(sheet).alias("sheet"), norm_text(col(name), case, strip_ws).alias("value"))
-    if drop_empty:
-        cells = cells.where(F.col("value") != "")
-    return cells.groupBy("sheet", "value").agg(F.count(F.lit(1)).alias(count_name))
+    group, keep = _grouping_cell(df, name, case, strip_ws, drop_empty)
+    counts = (
+        df.where(keep).groupBy(col(sheet).alias("sheet"), group.alias("__g")).agg(F.count(F.lit(1)).alias(count_name))
+    )
+    return counts.select("sheet", _as_value(df, name, F.col("__g"), case, strip_ws).alias("value"), col(count_name))
 
 
 def overall(per_sheet: DataFrame, kind: str = "presence", count_name: str = "cnt") -> DataFrame:
@@ -113,8 +130,10 @@ def sheet_presence(df: DataFrame, sheet: str, column: str, **options) -> DataFra
     return overall(frequency_by_sheet(df, sheet, column, **options), "presence")
 
 
-def sheet_total(df: DataFrame, sheet: str, column: str, **options) -> DataFrame:
-    return overall(frequency_by_sheet(df, sheet, column, **options), "total")
+def sheet_total(df: DataFrame, sheet: str, column: str, count_name: str = "cnt", **options) -> DataFrame:
+    """Rows per value over all sheets. The sheet does not matter for a total, so it is not grouped by."""
+    counts = frequency(df, column, count_name=count_name, ordered=False, **options)
+    return counts.toDF("value", count_name)
 
 
 def head(df: DataFrame, n: int = 20, order_by: Sequence[str] = ()) -> DataFrame:

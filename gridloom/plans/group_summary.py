@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.columns import resolve_column, resolve_columns
 from gridloom.operators.dedup import ORD, dedup_raw
 from gridloom.operators.predicates import apply_filters, filters_for
-from gridloom.operators.summarize import overall, stack_columns
+from gridloom.operators.summarize import stack_columns
 
 # Titles of the block over all sheets, and the count column's header.
 OVERALL_FREQUENCY = "ЗАГАЛОМ — підсумок"
@@ -43,7 +43,8 @@ def group_summary(
             except KeyError as unknown:
                 warnings.warn(f"sheet {name!r} not de-duplicated: {unknown}", stacklevel=2)
             else:
-                kept = dedup_raw(kept, keys, "first", order_by)
+                order = [order_by] if isinstance(order_by, str) else order_by
+                kept = dedup_raw(kept, keys, "first", order and [resolve_column(df.columns, o) for o in order])
         data_columns = [c for c in df.columns if c != ORD]
         try:
             if several:
@@ -71,8 +72,9 @@ def group_summary(
     last = len(titles)
     out = counts
     if not several:
-        # The per-sheet counts are shuffled once; the second use reuses that exchange.
-        rolled = overall(counts.withColumnRenamed("block_no", "sheet"), overall_kind if kind == "frequency" else "presence")
+        # Both measures read cnt, so this is the very aggregation above and its shuffle is reused.
+        blocks = F.count_if(F.col("cnt") > 0) if overall_kind == "presence" or kind == "unique" else F.sum("cnt")
+        rolled = counts.groupBy("value").agg(blocks.alias("cnt"))
         out = counts.union(rolled.select(F.lit(last).alias("block_no"), "value", "cnt"))
         titles.append(OVERALL_FREQUENCY if kind == "frequency" else OVERALL_UNIQUE)
     named = F.get(F.array(*[F.lit(t) for t in titles]), F.col("block_no"))
