@@ -92,8 +92,10 @@ def number_rows(
     for c in same[1:]:
         condition = condition & c
     local = F.row_number().over(Window.partitionBy(*groups, *_BUCKET).orderBy(*inner))
-    numbered = keyed.withColumn("__local", local).join(right, condition)
-    return numbered.select(*[col(c) for c in df.columns], (F.col("__offset") + F.col("__local")).alias(out))
+    numbered = keyed.withColumn("__local", local).join(right, condition, "left")
+    # Every bucket was counted; should an input split be cut otherwise in this pass, fail rather than misnumber.
+    offset = F.coalesce("__offset", F.raise_error(F.lit("input splits changed between two passes")).cast("long"))
+    return numbered.select(*[col(c) for c in df.columns], (offset + F.col("__local")).alias(out))
 
 
 def sheet_name(group: Column, number: Column) -> Column:

@@ -14,9 +14,9 @@ from gridloom.functions.quoting import field_count, open_after, open_after_insid
 from gridloom.functions.text import strip
 from gridloom.functions.years import year_in_name
 from gridloom.operators.union import union_exact
-from gridloom.sources.files import InputFile, list_files, literal_path
+from gridloom.sources.files import InputFile, list_files, literal_path, pin_splits, scan_groups
 from gridloom.sources.lines import remap_latin, scan_records
-from gridloom.sources.sniff import sniff
+from gridloom.sources.sniff import layouts, sniff
 
 # Cell texts read as missing.
 NA_TOKENS = [
@@ -46,12 +46,11 @@ def detect(
 ) -> list[tuple[InputFile, Layout, str]]:
     """Each file with its layout and first line, in the caller's order."""
     files = list_files(spark, paths)
-    found = {r.path: r for r in sniff(spark, files, encoding, sep).collect()}
-    out = []
-    for f in files:
-        r = found[f.path]
-        out.append((f, Layout(r.encoding, r.sep, tuple(r.header)), r.first_line))
-    return out
+    found = {}
+    for r in layouts(sniff(spark, files, encoding, sep)):
+        layout = Layout(r.encoding, r.sep, tuple(r.header))
+        found.update(dict.fromkeys(r.srcs, (layout, r.first_line)))
+    return [(f, *found[f.src]) for f in files]
 
 
 def read_csv(
@@ -93,10 +92,11 @@ def read_csv_parts(
     with_year: bool = False, years: Mapping[str, int] | None = None,
 ) -> list[CsvPart]:
     """One frame per distinct layout, so the plan grows with layouts and not with files."""
-    layouts = detect(spark, paths, encoding, sep)
-    year_of = file_years([f for f, _, _ in layouts], years) if with_year else {}
+    pin_splits(spark)
+    detected = detect(spark, paths, encoding, sep)
+    year_of = file_years([f for f, _, _ in detected], years) if with_year else {}
     groups: dict[Layout, list[tuple[InputFile, str]]] = {}
-    for f, layout, first in layouts:
+    for f, layout, first in detected:
         if layout.header:
             groups.setdefault(layout, []).append((f, first))
     if not groups:
@@ -104,14 +104,16 @@ def read_csv_parts(
 
     parts = []
     for layout, members in groups.items():
-        frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, members, na_tokens)
-        files = tuple(f for f, _ in members)
-        if with_file:
-            frame = _with_file_fact(frame, {f.src: f.path for f in files}, FILE, "string")
-        part_years = {f.src: year_of[f.src] for f in files} if with_year else {}
-        if with_year:
-            frame = _with_file_fact(frame, part_years, YEAR, "int")
-        parts.append(CsvPart(layout, part_years, files, frame))
+        firsts = {f.path: first for f, first in members}
+        for portion in scan_groups(spark, [f for f, _ in members]):
+            with_firsts = [(f, firsts[f.path]) for f in portion]
+            frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, with_firsts, na_tokens)
+            if with_file:
+                frame = _with_file_fact(frame, {f.src: f.path for f in portion}, FILE, "string")
+            part_years = {f.src: year_of[f.src] for f in portion} if with_year else {}
+            if with_year:
+                frame = _with_file_fact(frame, part_years, YEAR, "int")
+            parts.append(CsvPart(layout, part_years, tuple(portion), frame))
     return parts
 
 
@@ -131,7 +133,7 @@ def file_years(files: Sequence[InputFile], given: Mapping[str, int] | None = Non
 def _with_file_fact(frame: DataFrame, facts: Mapping[int, object], name: str, dtype: str) -> DataFrame:
     if len(set(facts.values())) == 1:
         return frame.withColumn(name, F.lit(next(iter(facts.values()))).cast(dtype))
-    # As many rows as paths this driver already holds.
+    # At most MAX_FILES rows.
     table = frame.sparkSession.createDataFrame(list(facts.items()), f"__src int, `{name}` {dtype}")
     placed = frame.withColumn("__src", col(ORD)["src"]).join(F.broadcast(table), "__src")
     return placed.select(*[col(c) for c in frame.columns], name)

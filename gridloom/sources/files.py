@@ -52,6 +52,41 @@ def _as_glob(path: str) -> str:
     return path if store.get_file_info(inner).type.name == "NotFound" else literal_path(path)
 
 
+# A scan takes at most this many files and input splits, so tables of one row per
+# file or per split (tens of bytes each) are small enough to broadcast.
+MAX_FILES, MAX_SPLITS = 100_000, 2_000_000
+
+
+def scan_groups(spark: SparkSession, files: Sequence[InputFile]) -> list[list[InputFile]]:
+    """The files in portions one scan may take; one portion unless there are very many."""
+    split_bytes = _bytes_setting(spark, "spark.sql.files.maxPartitionBytes")
+    groups: list[list[InputFile]] = [[]]
+    splits = 0
+    for f in files:
+        more = f.bytes // split_bytes + 1
+        if groups[-1] and (len(groups[-1]) == MAX_FILES or splits + more > MAX_SPLITS):
+            groups.append([])
+            splits = 0
+        groups[-1].append(f)
+        splits += more
+    return groups
+
+
+def _bytes_setting(spark: SparkSession, name: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """Keep input splits the same in every pass over a file, also when executors come and go.
+
+    Spark sizes splits by the cores it has at the moment unless this setting is given.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def literal_path(path: str) -> str:
     """A path whose brackets and stars are not globs."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)

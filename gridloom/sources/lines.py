@@ -13,10 +13,6 @@ from gridloom.sources.record_pieces import TAIL, WHOLE, join_lines, sum_up_split
 # One-byte charsets: decoded as Latin-1, then the upper half is mapped.
 _ONE_BYTE = {"cp1251": "cp1251", "windows-1251": "cp1251", "cp1252": "cp1252", "latin-1": None, "iso-8859-1": None}
 
-# Above this many bytes of path names the file table is not broadcast.
-_FILE_TABLE_LIMIT = 256 * 1024 * 1024
-
-
 def decode_line(raw: Column, encoding: str) -> Column:
     """Raw line bytes (as the text source hands them over) to text."""
     if encoding.lower() in ("utf-8", "utf-8-sig", "utf8"):
@@ -57,10 +53,8 @@ def scan_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str, f
     else:
         table = [(f.uri, f.src, firsts.get(f.path, "")) for f in files]
         known = spark.createDataFrame(table, "uri string, src int, first_line string")
-        # The table is made from a list this driver already holds; its size is known.
-        if sum(len(u) + len(x) + 16 for u, _, x in table) < _FILE_TABLE_LIMIT:
-            known = F.broadcast(known)
-        placed = raw.join(known, "uri")
+        # At most MAX_FILES rows; and the join must leave the lines where they are.
+        placed = raw.join(F.broadcast(known), "uri")
     return placed.select("src", "block", "seq", "value", "first_line")
 
 
@@ -108,9 +102,11 @@ def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Co
         "start", F.lag("after0", 1, False).over(by_file)
     )
     starts = chained.select("src", "block", "start", (F.col("start") | F.col("after0")).alias("crossed"))
-    # One row per input split: the listing bounds it, and the join must not move the lines.
-    placed = marked.join(F.broadcast(starts), ["src", "block"]).select(
-        "src", "block", "seq", "value", "out", "into", "filled", "start", "crossed"
+    # One row per input split, MAX_SPLITS at most; and the join must leave the lines where
+    # they are. Should a split be cut otherwise in this pass, fail rather than lose lines.
+    start = F.coalesce("start", F.raise_error(F.lit("input splits changed between two passes")).cast("boolean"))
+    placed = marked.join(F.broadcast(starts), ["src", "block"], "left").select(
+        "src", "block", "seq", "value", "out", "into", "filled", start.alias("start"), "crossed"
     )
 
     def pieces(of: DataFrame) -> DataFrame:
@@ -151,6 +147,7 @@ def scan_records(
         .groupBy("src").agg(F.max(out(repair(value))).alias("opens"), F.count_if(in_head).alias("headers"))
         .collect()
     )
+    # facts has one row per file, MAX_FILES at most.
     plain = {r.src for r in facts if not r.opens and r.headers == 1}
     flat, rest = [f for f in files if f.src in plain], [f for f in files if f.src not in plain]
     parts = []

@@ -12,9 +12,9 @@ from gridloom.functions.numbers import safe_number
 from gridloom.functions.quoting import is_complete, norm_quotes, quoted_split
 from gridloom.operators.union import union_exact
 from gridloom.sources.csv_files import ORD
-from gridloom.sources.files import list_files
+from gridloom.sources.files import list_files, pin_splits, scan_groups
 from gridloom.sources.lines import scan_records
-from gridloom.sources.sniff import sniff
+from gridloom.sources.sniff import layouts, sniff
 
 EXTRA = "_extra"
 # Registry id columns that stay text when cells are typed.
@@ -31,20 +31,27 @@ def read_semicolon(
     NULL, an empty one ``''``. A quote that is never closed makes the rest of its
     file one record, and so one cell.
     """
+    pin_splits(spark)
     files = list_files(spark, paths)
-    heads = {r.path: r for r in sniff(spark, files, encoding, sep, True, apostrophe_as_quote).collect()}
+    first_line: dict[str, str] = {}
     groups: dict[tuple, list] = {}
-    for f in files:
-        head = heads[f.path]
-        groups.setdefault((head.encoding, tuple(head.dirty_header)), []).append(f)
+    for r in layouts(sniff(spark, files, encoding, sep, True, apostrophe_as_quote)):
+        members = [files[i] for i in r.srcs]
+        first_line.update((f.path, r.first_line) for f in members)
+        groups.setdefault((r.encoding, tuple(r.dirty_header)), []).extend(members)
+    portions = [
+        (charset, header, portion)
+        for (charset, header), members in groups.items()
+        for portion in scan_groups(spark, sorted(members, key=lambda f: f.src))
+    ]
 
     def repair(c: Column) -> Column:
         return norm_quotes(c, apostrophe_as_quote)
 
     frames = []
-    for (charset, header), members in groups.items():
+    for charset, header, members in sorted(portions, key=lambda p: p[2][0].src):
         records = scan_records(
-            spark, members, charset, {f.path: heads[f.path].first_line for f in members},
+            spark, members, charset, first_line,
             lambda c: ~is_complete(c), is_complete, repair=repair,
         )
         fields = records.select(F.struct("src", "block", "seq").alias(ORD), quoted_split(F.col("value"), sep).alias("f"))

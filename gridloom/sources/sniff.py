@@ -20,7 +20,7 @@ SEPARATORS = [",", ";", "\t", "|", ":"]
 HEAD_CHARS = 8192
 
 _SCHEMA = (
-    "path string, encoding string, sep string, bom boolean, header array<string>, first_line string, dirty_header array<string>"
+    "src int, encoding string, sep string, bom boolean, header array<string>, first_line string, dirty_header array<string>"
 )
 
 
@@ -108,15 +108,26 @@ def sniff(
     spark: SparkSession, files: Sequence[InputFile], encoding: str | None = None, sep: str | None = None,
     dirty: bool = False, apostrophe_as_quote: bool = False,
 ) -> DataFrame:
-    """``(path, encoding, sep, bom, header, first_line, dirty_header)`` per file; only heads are read."""
+    """``(src, encoding, sep, bom, header, first_line, dirty_header)`` per file; only heads are read."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(p, *_read_head(p, encoding, sep, dirty, apostrophe_as_quote)) for p in batch["path"]]
+            found = [
+                (s, *_read_head(p, encoding, sep, dirty, apostrophe_as_quote)) for s, p in zip(batch["src"], batch["path"])
+            ]
             yield pd.DataFrame(
-                found, columns=["path", "encoding", "sep", "bom", "header", "first_line", "dirty_header"]
+                found, columns=["src", "encoding", "sep", "bom", "header", "first_line", "dirty_header"]
             )
 
-    listed = spark.createDataFrame([(f.path,) for f in files], "path string")
+    listed = spark.createDataFrame([(f.src, f.path) for f in files], "src int, path string")
     slots = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
     return listed.repartition(slots, F.col("path")).mapInPandas(heads, _SCHEMA)
+
+
+def layouts(sniffed: DataFrame) -> list:
+    """Distinct findings with the files they hold for: ``(encoding, sep, header, first_line, dirty_header, srcs)``.
+
+    Grouped before it reaches the driver, which so gets a header once and not per file.
+    """
+    facts = ["encoding", "sep", "header", "first_line", "dirty_header"]
+    return sniffed.groupBy(*facts).agg(F.sort_array(F.collect_list("src")).alias("srcs")).collect()
