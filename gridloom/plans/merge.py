@@ -42,20 +42,21 @@ def merge_files(
     """CSV files and first sheets of workbooks as one table, columns by exact name."""
     csvs = [i for i, p in enumerate(paths) if os.path.splitext(p)[1].lower() != ".xlsx"]
     books = [i for i, p in enumerate(paths) if i not in set(csvs)]
+    ordered = with_order or bool(dedup_keys)
     frames = []
     if csvs:
         places = csvs if books else None
-        for part in read_csv_parts(spark, [paths[i] for i in csvs], **csv_options):
+        for part in read_csv_parts(spark, [paths[i] for i in csvs], with_order=ordered, **csv_options):
             frames.append((min(f.src for f in part.files), _in_list(part.frame, places)))
     for i in books:
-        frames.append((i, _in_list(read_sheet(spark, paths[i], with_order=True), [i])))
+        frames.append((i, _in_list(read_sheet(spark, paths[i], with_order=ordered), [i])))
     merged = merge_tables([f for _, f in sorted(frames, key=lambda x: x[0])], filters, dedup_keys, keep=keep)
     return merged if with_order else merged.drop(ORD)
 
 
 def _in_list(frame: DataFrame, places: Sequence[int] | None) -> DataFrame:
     """``_ord.src`` counted in the caller's list, when another kind of file sits in between."""
-    if places is None:
+    if places is None or ORD not in frame.columns:
         return frame
     order = col(ORD)
     src = F.get(F.array(*[F.lit(p) for p in places]), F.least(order["src"], F.lit(len(places) - 1)))

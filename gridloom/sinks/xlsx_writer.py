@@ -5,23 +5,24 @@ from __future__ import annotations
 import math
 import re
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from typing import BinaryIO
 from xml.sax.saxutils import escape, quoteattr
 
-from gridloom.functions.names import index_to_letters
-
 # Parts of a minimal workbook, and limits of the format.
 MAX_ROWS = 1_048_576
 MAX_CELL = 32_767
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _NS = "http://schemas.openxmlformats.org"
 _SHEET_NAME = re.compile(r"[^\[\]:*?/\\]{1,31}")
+_SPECIAL = re.compile("[\x00-\x08\x0b\x0c\x0d\x0e-\x1f\ufffe\uffff&<>]|_x")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0d\x0e-\x1f￾￿]|_(?=x[0-9A-Fa-f]{4}_)")
 
 
 def cell_text(value: str) -> str:
     """Text for a sheet's XML: control characters (and texts that look like their escapes) become ``_xHHHH_``."""
+    if not _SPECIAL.search(value):
+        return value
     return escape(_CONTROL.sub(lambda m: f"_x{ord(m.group()):04X}_", value))
 
 
@@ -31,6 +32,21 @@ def check_sheet_name(name: str) -> str:
     return name
 
 
+def _cell(v: object) -> str:
+    kind = type(v)
+    if kind is str:
+        if len(v) > MAX_CELL:
+            raise ValueError(f"a cell holds at most {MAX_CELL} characters, this one has {len(v)}: {v[:40]!r}...")
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{cell_text(v)}</t></is></c>'
+    if v is None:
+        return "<c/>"
+    if kind is int or kind is float:
+        return f"<c><v>{v!r}</v></c>" if kind is int or math.isfinite(v) else "<c/>"
+    if kind is bool:
+        return f'<c t="b"><v>{int(v)}</v></c>'
+    return _cell(str(v))
+
+
 class WorkbookWriter:
     """``write_rows`` may be called any number of times per sheet; ``close`` finishes the file."""
 
@@ -53,7 +69,7 @@ class WorkbookWriter:
             self._emit([header])
 
     def write_rows(self, rows: Sequence[Sequence[object]]) -> None:
-        """Numbers as numbers, booleans as booleans, None as no cell, all else as text."""
+        """Numbers as numbers, booleans as booleans, None as an empty cell, all else as text."""
         at = 0
         while at < len(rows):
             room = self._max_rows - self._row
@@ -63,26 +79,14 @@ class WorkbookWriter:
             self._emit(rows[at : at + room])
             at += room
 
-    def _emit(self, rows: Iterable[Sequence[object]]) -> None:
-        out = []
-        for row in rows:
-            self._row += 1
-            out.append(f'<row r="{self._row}">')
-            for i, v in enumerate(row):
-                if v is None or (isinstance(v, float) and not math.isfinite(v)):
-                    continue
-                place = f"{index_to_letters(i)}{self._row}"
-                if isinstance(v, bool):
-                    out.append(f'<c r="{place}" t="b"><v>{int(v)}</v></c>')
-                elif isinstance(v, (int, float)):
-                    out.append(f'<c r="{place}"><v>{v!r}</v></c>')
-                else:
-                    text = str(v)
-                    if len(text) > MAX_CELL:
-                        raise ValueError(f"a cell holds at most {MAX_CELL} characters, {place} has {len(text)}")
-                    out.append(f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{cell_text(text)}</t></is></c>')
-            out.append("</row>")
-        self._part.write("".join(out).encode())
+    def _emit(self, rows: Sequence[Sequence[object]]) -> None:
+        # Column by column: a column's cells are mostly of one kind. Cells follow one
+        # another without addresses, so an empty one needs its element too.
+        columns = [[_cell(v) for v in column] for column in zip(*rows)]
+        first = self._row + 1
+        lines = [f'<row r="{first + i}">{"".join(cells)}</row>' for i, cells in enumerate(zip(*columns))]
+        self._row += len(rows)
+        self._part.write("".join(lines).encode())
 
     def _end_sheet(self) -> None:
         if self._part is not None:

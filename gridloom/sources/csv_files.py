@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.names import col, unique_headers
 from gridloom.functions.quoting import field_count, open_after, open_after_inside
-from gridloom.functions.text import strip
+from gridloom.functions.text import is_filled
 from gridloom.functions.years import year_in_name
 from gridloom.operators.union import union_exact
 from gridloom.sources.files import InputFile, list_files, literal_path, pin_splits, scan_groups
-from gridloom.sources.lines import remap_latin, scan_records
+from gridloom.sources.lines import place, remap_latin, scan_records
 from gridloom.sources.sniff import layouts, sniff
 
 # Cell texts read as missing.
@@ -38,7 +38,11 @@ class Layout:
 
 def null_tokens(c: Column, tokens: Sequence[str] | None = NA_TOKENS) -> Column:
     """Missing-value texts become NULL."""
-    return c if tokens is None else F.when(~c.isin(list(tokens)), c)
+    if tokens is None:
+        return c
+    # Most cells are longer than any token; their byte length is known without looking at them.
+    longest = max(len(t.encode()) for t in tokens)
+    return F.when((F.octet_length(c) > longest) | ~c.isin(list(tokens)), c)
 
 
 def detect(
@@ -70,7 +74,7 @@ def read_csv(
     ``with_order`` adds ``_ord``, ``with_file`` ``_file``, ``with_year`` ``_year``
     (from the file name, or from ``years`` by file name).
     """
-    parts = read_csv_parts(spark, paths, encoding, sep, mode, na_tokens, with_file, with_year, years)
+    parts = read_csv_parts(spark, paths, encoding, sep, mode, na_tokens, with_order, with_file, with_year, years)
     carry = [n for n, wanted in ((ORD, with_order), (FILE, with_file), (YEAR, with_year)) if wanted]
     frames = [p.frame if with_order else p.frame.drop(ORD) for p in parts]
     return frames[0] if len(frames) == 1 else union_exact(frames, carry)
@@ -78,7 +82,7 @@ def read_csv(
 
 @dataclass(frozen=True)
 class CsvPart:
-    """Files of one layout as one frame with ``_ord``; ``years`` by ``src``, where years are asked for."""
+    """Files of one layout as one frame; ``years`` by ``src``, where years are asked for."""
 
     layout: Layout
     years: Mapping[int, int]
@@ -88,10 +92,15 @@ class CsvPart:
 
 def read_csv_parts(
     spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, sep: str | None = None,
-    mode: str = "exact", na_tokens: Sequence[str] | None = NA_TOKENS, with_file: bool = False,
+    mode: str = "exact", na_tokens: Sequence[str] | None = NA_TOKENS, with_order: bool = True, with_file: bool = False,
     with_year: bool = False, years: Mapping[str, int] | None = None,
 ) -> list[CsvPart]:
-    """One frame per distinct layout, so the plan grows with layouts and not with files."""
+    """One frame per distinct layout, so the plan grows with layouts and not with files.
+
+    ``_ord`` is there when asked for, or when a file fact is found by it; without it no
+    line needs to be told which file it is from, which is cheaper.
+    """
+    ordered = with_order or with_file or with_year
     pin_splits(spark)
     detected = detect(spark, paths, encoding, sep)
     year_of = file_years([f for f, _, _ in detected], years) if with_year else {}
@@ -107,7 +116,7 @@ def read_csv_parts(
         firsts = {f.path: first for f, first in members}
         for portion in scan_groups(spark, [f for f, _ in members]):
             with_firsts = [(f, firsts[f.path]) for f in portion]
-            frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, with_firsts, na_tokens)
+            frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, with_firsts, na_tokens, ordered)
             if with_file:
                 frame = _with_file_fact(frame, {f.src: f.path for f in portion}, FILE, "string")
             part_years = {f.src: year_of[f.src] for f in portion} if with_year else {}
@@ -140,52 +149,53 @@ def _with_file_fact(frame: DataFrame, facts: Mapping[int, object], name: str, dt
 
 
 def _read_exact(
-    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]], na_tokens: Sequence[str] | None
+    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]],
+    na_tokens: Sequence[str] | None, ordered: bool,
 ) -> DataFrame:
     sep = layout.sep
 
     def blank(c: Column) -> Column:
-        return (strip(c) == "") & ~F.contains(c, F.lit(sep))
+        return ~is_filled(c) & ~F.contains(c, F.lit(sep))
 
     rows = scan_records(
         spark, [f for f, _ in members], layout.encoding, {f.path: first for f, first in members},
-        lambda c: open_after(c, sep), lambda c: open_after_inside(c, sep), blank,
+        lambda c: open_after(c, sep), lambda c: open_after_inside(c, sep), blank, ordered=ordered,
     )
-    value = F.col("value")
-    return _parse(rows.where(~blank(value) & (field_count(value, sep) <= len(layout.header))), layout, na_tokens)
-
-
-def _parse(rows: DataFrame, layout: Layout, na_tokens: Sequence[str] | None) -> DataFrame:
-    cells = [f"c{i}" for i in range(len(layout.header))]
-    schema = ", ".join(f"{c} string" for c in cells)
-    options = {"sep": layout.sep, "quote": '"', "escape": '"'}
-    parsed = rows.select(F.struct("src", "block", "seq").alias(ORD), F.from_csv("value", schema, options).alias("r"))
-    out = parsed.select(*[null_tokens(F.col(f"r.{c}"), na_tokens).alias(c) for c in cells], ORD)
-    return out.toDF(*unique_headers(layout.header), ORD)
+    n = len(layout.header)
+    cells = [f"c{i}" for i in range(n)]
+    schema = ", ".join(f"{c} string" for c in [*cells, "_off"])
+    options = {"sep": sep, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_off"}
+    record = F.from_csv("value", schema, options)
+    # Records with another number of fields than the header come back marked; only their
+    # fields are counted. inline() parses each record once for both the test and the cells.
+    wanted = F.filter(F.array(record), lambda r: r["_off"].isNull() | (field_count(F.col("value"), sep) <= n))
+    order = [F.struct("src", "block", "seq").alias(ORD)] if ordered else []
+    parsed = rows.where(~blank(F.col("value"))).select(*order, F.inline(wanted))
+    names = [*unique_headers(layout.header), *([ORD] if ordered else [])]
+    return parsed.select(*[null_tokens(F.col(c), na_tokens).alias(c) for c in cells], *([ORD] if ordered else [])).toDF(*names)
 
 
 def _read_fast(
-    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]], na_tokens: Sequence[str] | None
+    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]],
+    na_tokens: Sequence[str] | None, ordered: bool,
 ) -> DataFrame:
+    files = [f for f, _ in members]
     cells = [f"c{i}" for i in range(len(layout.header))]
-    one_byte = layout.encoding not in ("utf-8", "utf-8-sig")
+    charset = "UTF-8" if layout.encoding in ("utf-8", "utf-8-sig") else "ISO-8859-1"
     raw = (
         spark.read.schema(", ".join(f"{c} string" for c in [*cells, "_overflow"]))
-        .options(header=True, sep=layout.sep, quote='"', escape='"', encoding="ISO-8859-1" if one_byte else "UTF-8",
-                 enforceSchema=True)
-        .csv([literal_path(f.path) for f, _ in members])
+        .options(header=True, sep=layout.sep, quote='"', escape='"', encoding=charset, enforceSchema=True)
+        .csv([literal_path(f.path) for f in files])
     )
-    files = [f for f, _ in members]
-    table = spark.createDataFrame([(f.uri, f.src) for f in files], "uri string, src int")
-    placed = raw.select(
-        *cells, "_overflow", F.col("_metadata.file_path").alias("uri"),
+    kept = raw.where(F.col("_overflow").isNull())
+    values = [null_tokens(remap_latin(F.col(c), layout.encoding), na_tokens).alias(c) for c in cells]
+    if not ordered:
+        return kept.select(*values).toDF(*unique_headers(layout.header))
+    placed = place(kept.select(
+        *values, F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"),
-    ).join(F.broadcast(table), "uri")
-    out = placed.where(F.col("_overflow").isNull()).select(
-        *[null_tokens(remap_latin(F.col(c), layout.encoding), na_tokens).alias(c) for c in cells],
-        F.struct("src", "block", "seq").alias(ORD),
-    )
-    return out.toDF(*unique_headers(layout.header), ORD)
+    ), files)
+    return placed.select(*cells, F.struct("src", "block", "seq").alias(ORD)).toDF(*unique_headers(layout.header), ORD)
 
 
 def read_table(spark: SparkSession, paths: str | Sequence[str], sheet: str | None = None, **options) -> DataFrame:

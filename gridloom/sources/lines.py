@@ -34,28 +34,27 @@ def remap_latin(latin: Column, encoding: str) -> Column:
     return F.translate(latin, "".join(a for a, _ in mapped), "".join(b for _, b in mapped))
 
 
-def scan_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str, first_lines: dict[str, str] | None = None) -> DataFrame:
-    """``(src, block, seq, value, first_line)``: ordered by ``(src, block, seq)`` these are the files' lines.
-
-    ``block`` is the byte offset of the input split, ``seq`` rises within it. Splits
-    of one file may be read by any tasks in any order.
-    """
-    raw = spark.read.text([literal_path(f.path) for f in files]).select(
+def raw_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str) -> DataFrame:
+    """``(value, uri, block, seq)``: ``block`` is the byte offset of the input split, ``seq`` rises within it."""
+    return spark.read.text([literal_path(f.path) for f in files]).select(
         decode_line(F.col("value"), encoding).alias("value"),
         F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
     )
-    firsts = first_lines or {}
+
+
+def place(lines: DataFrame, files: Sequence[InputFile]) -> DataFrame:
+    """``src``, the file's place in the caller's list, instead of ``uri``.
+
+    Ordered by ``(src, block, seq)`` lines are as in the files. Splits of one file may
+    be read by any tasks in any order.
+    """
     if len(files) == 1:
-        f = files[0]
-        placed = raw.withColumns({"src": F.lit(f.src), "first_line": F.lit(firsts.get(f.path, ""))})
-    else:
-        table = [(f.uri, f.src, firsts.get(f.path, "")) for f in files]
-        known = spark.createDataFrame(table, "uri string, src int, first_line string")
-        # At most MAX_FILES rows; and the join must leave the lines where they are.
-        placed = raw.join(F.broadcast(known), "uri")
-    return placed.select("src", "block", "seq", "value", "first_line")
+        return lines.withColumn("src", F.lit(files[0].src)).drop("uri")
+    known = lines.sparkSession.createDataFrame([(f.uri, f.src) for f in files], "uri string, src int")
+    # At most MAX_FILES rows; and the join must leave the lines where they are.
+    return lines.join(F.broadcast(known), "uri").drop("uri")
 
 
 def _running_state(df: DataFrame, group: Sequence[str], order: str, out: str, into: str) -> DataFrame:
@@ -82,7 +81,7 @@ def _running_state(df: DataFrame, group: Sequence[str], order: str, out: str, in
 def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Column | None = None) -> DataFrame:
     """Join the physical lines of each record: ``(src, block, seq, value, is_first)``.
 
-    Takes the frame of :func:`scan_lines`, whose tasks deliver the lines of a split in
+    Takes placed :func:`raw_lines`, whose tasks deliver the lines of a split in
     order, and moves no bulk data: one pass sums up what each split does to the quote
     state (a row per split), the sums are chained per file, and a second pass joins
     lines in place, knowing the state its split starts in. Only the pieces of records
@@ -132,30 +131,33 @@ def scan_records(
     spark: SparkSession, files: Sequence[InputFile], encoding: str, first_lines: Mapping[str, str],
     out: Callable[[Column], Column], into: Callable[[Column], Column],
     blank: Callable[[Column], Column] | None = None, repair: Callable[[Column], Column] | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Data records ``(src, block, seq, value)`` of files with a header record, which is left out.
+    """Data records of files with a header record, which is left out: ``value``, when ``ordered`` with ``src, block, seq``.
 
     A counting pass (one row per file comes back) finds the files where a quote stays
-    open over a line end or the header line repeats. Only those are assembled, at the
-    price of a shuffle; every line of the others is a record and is read in place.
+    open over a line end or the header line repeats. Only those are assembled; every
+    line of the others is a record and is read in place.
     """
     repair = repair or (lambda c: c)
     value = F.col("value")
-    in_head = (F.col("block") == 0) & (value == F.col("first_line"))
+    heads = sorted({first_lines[f.path] for f in files})
+    in_head = (F.col("block") == 0) & value.isin(heads)
     facts = (
-        scan_lines(spark, files, encoding, first_lines)
-        .groupBy("src").agg(F.max(out(repair(value))).alias("opens"), F.count_if(in_head).alias("headers"))
+        raw_lines(spark, files, encoding)
+        .groupBy("uri").agg(F.max(out(repair(value))).alias("opens"), F.count_if(in_head).alias("headers"))
         .collect()
     )
     # facts has one row per file, MAX_FILES at most.
-    plain = {r.src for r in facts if not r.opens and r.headers == 1}
-    flat, rest = [f for f in files if f.src in plain], [f for f in files if f.src not in plain]
+    plain = {r.uri for r in facts if not r.opens and r.headers == 1}
+    flat, rest = [f for f in files if f.uri in plain], [f for f in files if f.uri not in plain]
+    columns = ["src", "block", "seq", "value"] if ordered else ["value"]
     parts = []
     if flat:
-        lines = scan_lines(spark, flat, encoding, first_lines)
-        parts.append(lines.where(~in_head).select("src", "block", "seq", repair(value).alias("value")))
+        lines = raw_lines(spark, flat, encoding).where(~in_head).withColumn("value", repair(value))
+        parts.append((place(lines, flat) if ordered else lines).select(*columns))
     if rest:
-        lines = scan_lines(spark, rest, encoding, first_lines).withColumn("value", repair(value))
+        lines = place(raw_lines(spark, rest, encoding).withColumn("value", repair(value)), rest)
         joined = assemble_records(lines, out(value), into(value), blank(value) if blank else None)
-        parts.append(joined.where(~F.col("is_first")).select("src", "block", "seq", "value"))
+        parts.append(joined.where(~F.col("is_first")).select(*columns))
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])

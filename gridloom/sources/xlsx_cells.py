@@ -18,6 +18,7 @@ RELS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 DOC_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
+_CHUNK = 1 << 20
 _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _NOT_DATE = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
 
@@ -28,8 +29,8 @@ def unescape(text: str) -> str:
 
 
 def _number_text(raw: str) -> str:
-    if re.fullmatch(r"-?[0-9]{1,15}", raw):
-        return str(int(raw))
+    if len(raw) <= 15 and raw.isascii() and raw.isdigit():
+        return raw if raw[0] != "0" else str(int(raw))
     value = float(raw)
     return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
 
@@ -62,6 +63,7 @@ class Workbook:
         self._epoch_1904 = props is not None and props.get("date1904") in ("1", "true")
         self._shared: list[str] | None = None
         self._date_styles: set[int] | None = None
+        self._columns: dict[str, int] = {}
 
     @staticmethod
     def _part(target: str) -> str:
@@ -113,25 +115,56 @@ class Workbook:
     def rows(self, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
         """``(row number from 1, cells)``; gaps are empty rows, blank rows at the end are left out."""
         number, emitted = 0, 0
+        for row in self._row_elements(sheet):
+            number = int(row.get("r", number + 1))
+            cells: list[str | None] = []
+            for cell in row:
+                place = cell.get("r")
+                if place is not None:
+                    at = self._index(place.rstrip("0123456789"))
+                    while len(cells) < at:
+                        cells.append(None)
+                cells.append(self._text(cell))
+            if any(c is not None for c in cells):
+                for gap in range(emitted + 1, number):
+                    yield gap, []
+                yield number, cells
+                emitted = number
+
+    def _index(self, letters: str) -> int:
+        at = self._columns.get(letters)
+        if at is None:
+            at = self._columns[letters] = letters_to_index(letters)
+        return at
+
+    def _row_elements(self, sheet: str) -> Iterator[ET.Element]:
+        """Row elements, parsed a chunk of whole rows at a time."""
         with self._zip.open(self.sheets[sheet]) as part:
-            events = ET.iterparse(part, events=("start", "end"))
-            _, root = next(events)
-            for event, node in events:
-                if event == "start" or node.tag != f"{MAIN}row":
-                    continue
-                number = int(node.get("r", number + 1))
-                cells: list[str | None] = []
-                for cell in node.iter(f"{MAIN}c"):
-                    place = cell.get("r")
-                    at = letters_to_index(place.rstrip("0123456789")) if place else len(cells)
-                    cells.extend([None] * (at - len(cells)))
-                    cells.append(self._text(cell))
-                root.clear()
-                if any(c is not None for c in cells):
-                    for gap in range(emitted + 1, number):
-                        yield gap, []
-                    yield number, cells
-                    emitted = number
+            buffer = part.read(_CHUNK)
+            opening = re.search(rb"<(\w+:)?sheetData\s*>", buffer)
+            while opening is None:
+                more = part.read(_CHUNK)
+                if not more:
+                    return
+                buffer += more
+                opening = re.search(rb"<(\w+:)?sheetData\s*>", buffer)
+            prefix = opening.group(1) or b""
+            root = re.search(rb"<(?:\w+:)?worksheet[^>]*>", buffer).group()
+            closing = b"</" + prefix + b"sheetData></" + prefix + b"worksheet>"
+            end_of_row, end_of_data = b"</" + prefix + b"row>", b"</" + prefix + b"sheetData>"
+            buffer = buffer[opening.end():]
+            while True:
+                end = buffer.find(end_of_data)
+                cut = end if end >= 0 else buffer.rfind(end_of_row) + len(end_of_row)
+                if end >= 0 or cut >= len(end_of_row):
+                    yield from ET.fromstring(root + opening.group() + buffer[:cut] + closing)[0]
+                    buffer = buffer[cut:]
+                if end >= 0:
+                    return
+                more = part.read(_CHUNK)
+                if not more:
+                    return
+                buffer += more
 
 
 def _inline_text(item: ET.Element) -> str:
