@@ -6,22 +6,26 @@ right beside it. Text tables are read whole, without samples or row caps.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import names, numbers, quoting, text
-from gridloom.operators import columns, dedup, membership, profile, summarize, union
-from gridloom.operators.ordering import number_rows, split_sheets
-from gridloom.operators.predicates import Filter, apply_filters
-from gridloom.plans import file_jobs, group_summary, merge, yearly
-from gridloom.session import new_dataset_path
-from gridloom.sinks import csv_files as csv_sink
-from gridloom.sinks import sheets as sheet_sink
-from gridloom.sinks import workbook as workbook_sink
-from gridloom.sources import csv_files, files, semicolon, sniff, workbook
-from gridloom.streaming import file_drop
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from gridloom.functions import names, numbers, quoting, text  # noqa: E402
+from gridloom.operators import columns, dedup, membership, profile, summarize, union  # noqa: E402
+from gridloom.operators.ordering import number_rows, split_sheets  # noqa: E402
+from gridloom.operators.predicates import Filter, apply_filters  # noqa: E402
+from gridloom.plans import file_jobs, group_summary, merge, yearly  # noqa: E402
+from gridloom.session import new_dataset_path  # noqa: E402
+from gridloom.sinks import csv_files as csv_sink  # noqa: E402
+from gridloom.sinks import sheets as sheet_sink  # noqa: E402
+from gridloom.sinks import workbook as workbook_sink  # noqa: E402
+from gridloom.sources import csv_files, files, semicolon, sniff, workbook  # noqa: E402
+from gridloom.streaming import file_drop  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -927,6 +931,17 @@ def _(spark, sf):
     return spark.createDataFrame([(counts["rows"], counts["returned"], counts["large"])], "rows long, returned long, large long")
 
 
+@query(
+    "file_facts",
+    "select distinct '|' as sep, 'utf-8' as encoding, 6::bigint as n_columns, true as has_bytes from orders",
+)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "orders-facts")
+    csv_sink.write_csv(_orders_text(spark, sf), folder, sep="|")
+    facts = csv_files.file_facts(spark, folder)
+    return facts.select("sep", "encoding", "n_columns", (F.col("bytes") > 0).alias("has_bytes")).distinct()
+
+
 # --- contract -----------------------------------------------------------------
 
 

@@ -127,7 +127,10 @@ def read_spec(spec: Filter | Mapping | None, dialect: str = "default") -> Filter
 _NAMED = re.compile(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>")
 _BACKREF = re.compile(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)")
 # Constructs that mean something else, or nothing, in a Java pattern.
-_PYTHON_ONLY = re.compile(r"&&|\[[^\]]*\[|\(\?P|\(\?\(|\(\?[imsu]*[axL]|\(\?#|\\[0-9]{2,}|\\0|\\U|\\N|\\Z.")
+_PYTHON_ONLY = re.compile(
+    r"&&|\[[^\]]*\[|\[\^?\]|\[[^\]]*\\b|\(\?P|\(\?\(|\(\?[imsu]*[axL]|\(\?#|\\[0-9]{2,}|\\0|\\[UNv]|\\Z."
+    r"|(?<!\\)\{(?![0-9]+(?:,[0-9]*)?\})"
+)
 
 
 def java_pattern(pattern: str) -> str | None:

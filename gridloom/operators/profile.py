@@ -76,12 +76,6 @@ def _exact(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def file_facts(paths: Sequence[str], spark) -> DataFrame:
-    """``(path, bytes)`` of files, from the listing; contents are not read."""
-    listing = spark.read.format("binaryFile").load(list(paths))
-    return listing.select(F.col("path"), F.col("length").alias("bytes"))
-
-
 def count_rows(df: DataFrame, name: str, conditions: Mapping[str, Column] | None = None) -> tuple[DataFrame, Observation]:
     """Count rows while they pass: no extra job. Read ``observation.get`` after an action on the frame."""
     observation = Observation(name)

@@ -57,6 +57,14 @@ def detect(
     return [(f, *found[f.src]) for f in files]
 
 
+def file_facts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(path, bytes, encoding, sep, bom, n_columns)`` per file, from the listing and the heads of the files."""
+    files = list_files(spark, paths)
+    listed = spark.createDataFrame([(f.src, f.path, f.bytes) for f in files], "src int, path string, bytes long")
+    found = sniff(spark, files).withColumn("n_columns", F.size("header").cast("long"))
+    return listed.join(found, "src").select("path", "bytes", "encoding", "sep", "bom", "n_columns")
+
+
 def read_csv(
     spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, sep: str | None = None,
     mode: str = "exact", na_tokens: Sequence[str] | None = NA_TOKENS, with_order: bool = False,

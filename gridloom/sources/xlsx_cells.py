@@ -19,6 +19,7 @@ DOC_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 _CHUNK = 1 << 20
+_INLINE, _VALUE, _TEXT = f"{MAIN}is", f"{MAIN}v", f"{MAIN}t"
 _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _NOT_DATE = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
 
@@ -95,22 +96,27 @@ class Workbook:
         return style in self._date_styles
 
     def _text(self, cell: ET.Element) -> str | None:
+        if not len(cell):
+            return None
         kind = cell.get("t", "n")
         if kind == "inlineStr":
-            inline = cell.find(f"{MAIN}is")
+            inline = cell.find(_INLINE)
             return None if inline is None else _inline_text(inline)
-        value = cell.findtext(f"{MAIN}v")
+        value = cell.findtext(_VALUE)
         if value is None or kind == "e":
             return None
+        if kind == "n":
+            style = cell.get("s")
+            if style is not None and self._is_date(int(style)):
+                return _date_text(value, self._epoch_1904)
+            return _number_text(value)
         if kind == "s":
             return self._shared_strings()[int(value)]
         if kind == "str":
             return unescape(value)
         if kind == "b":
             return "True" if value == "1" else "False"
-        if kind == "d":
-            return value.replace("T", " ")
-        return _date_text(value, self._epoch_1904) if self._is_date(int(cell.get("s", 0))) else _number_text(value)
+        return value.replace("T", " ") if kind == "d" else value
 
     def rows(self, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
         """``(row number from 1, cells)``; gaps are empty rows, blank rows at the end are left out."""
@@ -125,7 +131,7 @@ class Workbook:
                     while len(cells) < at:
                         cells.append(None)
                 cells.append(self._text(cell))
-            if any(c is not None for c in cells):
+            if cells.count(None) < len(cells):
                 for gap in range(emitted + 1, number):
                     yield gap, []
                 yield number, cells
@@ -169,7 +175,6 @@ class Workbook:
 
 def _inline_text(item: ET.Element) -> str:
     """Text of a string item: plain or rich runs, without phonetic hints."""
-    plain = item.find(f"{MAIN}t")
-    if plain is not None:
-        return unescape(plain.text or "")
+    if len(item) and item[0].tag == _TEXT:
+        return unescape(item[0].text or "")
     return unescape("".join(t.text or "" for run in item.iter(f"{MAIN}r") for t in run.iter(f"{MAIN}t")))

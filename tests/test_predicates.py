@@ -146,7 +146,7 @@ def test_strip_like_python(spark):
 
 
 def test_regex_like_python(spark):
-    patterns = [r"^\w+$", r"\d{2}", r"(?P<a>x)(?P=a)", r"end\Z", r"^a.c$", r"[А-Я]ї", r"\bкіт\b", r"a&&b", r"[a[b]", r"(?i)ЇЖАК", r"(x)?(?(1)y|z)", r"\\Z", r"(?P<a_b>q)", r"[\w&&x]"]
+    patterns = [r"^\w+$", r"\d{2}", r"(?P<a>x)(?P=a)", r"end\Z", r"^a.c$", r"[А-Я]ї", r"\bкіт\b", r"a&&b", r"[a[b]", r"(?i)ЇЖАК", r"(x)?(?(1)y|z)", r"\\Z", r"(?P<a_b>q)", r"[\w&&x]", r"x{,2}$", r"{id}", r"[]x]", r"[^]x]", r"[\b]", r"x{1,2}", r"\v"]
     cells = ["кіт", "xx", "the end", "end\n", "a\nc", "a\rc", "abc", "Мї", "їжак", "xy", "z", "y", "12", "٣٤", "a&&b", "[", "b", "q", "\\Z", " ", "", None]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
     for p in patterns:

@@ -11,6 +11,7 @@ from gridloom.plans.group_summary import COUNT_TITLE, OVERALL_FREQUENCY, group_s
 from gridloom.plans.yearly import yearly_rows
 from gridloom.session import shared_folder
 from gridloom.sinks.sheets import append_sheet, export_sheets, read_appended, sheet_names, write_blocks
+from gridloom.sources.csv_files import file_facts
 from gridloom.sources.workbook import read_sheet, read_sheets
 from gridloom.streaming import file_drop
 
@@ -163,7 +164,8 @@ def test_file_jobs(spark, rows, tmp_path):
     assert file_jobs.filter_file(spark, path, [{"mode": "1", "column": "Status", "value": "active"}]).count() == 2
     assert sorted(rows(file_jobs.dedup_file(spark, path, ["ID"], keep="last"))) == [("1", "Active"), ("2", "Gone"), ("3", None)]
     assert rows(file_jobs.preview_file(spark, path, 1)) == [("1", "Active")]
-    assert profile.file_facts([path], spark).first().bytes > 0
+    facts = file_facts(spark, path).first()
+    assert facts.bytes > 0 and (facts.encoding, facts.sep, facts.n_columns) == ("utf-8", ",", 2)
     with pytest.raises(ValueError):
         file_jobs.preview_file(spark, "x.xls")
 
