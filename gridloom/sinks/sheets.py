@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.names import col, free_name
 from gridloom.operators.ordering import ORD
 from gridloom.sinks.csv_files import write_csv
-from gridloom.sources.files import _store
+from gridloom.sources.files import _store, qualified
 
 
 def export_sheets(df: DataFrame, folder: str, fmt: str = "parquet", drop: Sequence[str] = (ORD,), force_text: Sequence[str] = ()) -> None:
@@ -27,7 +27,9 @@ def export_sheets(df: DataFrame, folder: str, fmt: str = "parquet", drop: Sequen
         from gridloom.sources.workbook import register
 
         register(df.sparkSession)
-        placed.write.format("workbook").mode("append").option("sheet_column", "sheet").option("path", folder).save()
+        placed.write.format("workbook").mode("append").option("sheet_column", "sheet").option(
+            "path", qualified(df.sparkSession, folder)
+        ).save()
     elif fmt == "csv":
         write_csv(placed, folder, partition_by=["sheet"])
     else:
@@ -45,7 +47,7 @@ def sheet_names(folder: str) -> list[str]:
 
 def append_sheet(df: DataFrame, folder: str, base: str = "UNIQUE", fmt: str = "parquet") -> str:
     """Write a new sheet beside the existing ones under a free name, which is returned. Nothing is overwritten."""
-    name = free_name(sheet_names(folder), base)
+    name = free_name(sheet_names(qualified(df.sparkSession, folder)), base)
     df.withColumn("sheet", F.lit(name)).write.mode("append").partitionBy("sheet").format(fmt).save(folder)
     return name
 
@@ -57,7 +59,8 @@ def write_blocks(stacked: DataFrame, folder: str, sheet: str = "SUMMARY") -> Non
 
     register(stacked.sparkSession)
     ordered = stacked.orderBy("block_no", "part", col("cnt").desc_nulls_last(), "a").select("a", "b")
-    ordered.write.format("workbook").mode("append").option("sheet", sheet).option("path", folder).save()
+    target = qualified(stacked.sparkSession, folder)
+    ordered.write.format("workbook").mode("append").option("sheet", sheet).option("path", target).save()
 
 
 def read_appended(spark: SparkSession, folder: str, sheet: str) -> DataFrame:

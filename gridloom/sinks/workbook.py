@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from gridloom.functions.names import col
 from gridloom.sinks.xlsx_writer import MAX_ROWS, WorkbookWriter, check_sheet_name
-from gridloom.sources.files import _store, delete_output, open_output
+from gridloom.sources.files import _store, delete_output, open_output, qualified
 
 
 @dataclass
@@ -104,7 +104,7 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str = "Data", force_text:
     register(df.sparkSession)
     text = set(force_text or ())
     shown = df.select(*[_as_text_cell(df, c).alias(c) if c in text else col(c) for c in df.columns])
-    shown.write.format("workbook").mode("append").option("sheet", sheet).option("path", folder).save()
+    shown.write.format("workbook").mode("append").option("sheet", sheet).option("path", qualified(df.sparkSession, folder)).save()
 
 
 def _as_text_cell(df: DataFrame, name: str):

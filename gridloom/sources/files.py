@@ -92,6 +92,14 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the file system Spark would resolve it on, for code that opens files by itself."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if default.startswith("file:") else f"{default.rstrip('/')}/{path.lstrip('/')}"
+
+
 def _store(path: str):
     """Arrow file system and inner path."""
     from pyarrow import fs
