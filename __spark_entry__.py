@@ -952,9 +952,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return summarize.frequency(rings, "brand")
 
 
+def _llm() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data subpackage; none where it, or its pipeline, is not there."""
+    try:
+        import corpus_pipeline
+        from gridloom.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, llm.SQL
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_llm()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **_llm()[1]}
