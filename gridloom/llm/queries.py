@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blob_ledger, bpe, lang_crf, mixing, shards, simhash_trie
+from gridloom.llm import blob_ledger, bpe, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, tool_calls, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_tool_calls", tool_calls.SQL)
+def _(spark, sf):
+    linked = tool_calls.link(tool_calls.as_messages(table(spark, sf, "conversations")), tool_calls.SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", ";"))
+
+
 @query("op2_shards")
 def _(spark, sf):
     packed = shards.pack(table(spark, sf, "documents"), shards=40)
@@ -44,6 +50,11 @@ def _(spark, sf):
         F.col("path").alias("doc_id"), *count, "base_sha256", "spans")
 
 
+@query("op4_vectors")
+def _(spark, sf):
+    return multi_index.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op5_bpe")
 def _(spark, sf):
     import public_tokenizers
@@ -61,6 +72,16 @@ def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@query("op7_suffixes")
+def _(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+@query("op8_top_k", top_k.SQL)
+def _(spark, sf):
+    return top_k.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op9_language")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
