@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ _STEP = [np.uint64(x | 1) for x in _RANDOM.integers(1 << 62, 1 << 63, 6).tolist(
 _MIX = [np.uint64(x | 1) for x in _RANDOM.integers(1 << 62, 1 << 63, 5).tolist()]
 _TIE = 31
 
-_ANCHORS = "h long, c long, id long, at long"
+_ANCHORS = "known boolean, h long, c long, id long, at long"
 _MARKS = "h long, id long, at long, probe boolean"
 
 
@@ -119,9 +120,16 @@ def _segments(size: int) -> list[tuple[int, int]]:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(segments, ids, ties):
         segment, place, h, c = anchors_of(segments)
-        at = (np.array(ties, dtype=np.int64)[segment] << _TIE) | place
+        ids, at = np.array(ids, dtype=np.int64)[segment], (np.array(ties, dtype=np.int64)[segment] << _TIE) | place
+        order = np.lexsort((at, ids, c, h))
+        h, c, ids, at = h[order], c[order], ids[order], at[order]
+        known = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
+        once = ~np.concatenate([[False], known[1:] & (ids[1:] == ids[:-1]) & (at[1:] == at[:-1])])
+        # What repeats a context of the same bytes is settled; it travels by a key of its own.
+        h = np.where(known, _mixed(h ^ (ids * 31 + at).view(np.uint64)), h)
         return pa.RecordBatch.from_pydict({
-            "h": pa.array(h.view(np.int64)), "c": pa.array(c.view(np.int64)), "id": pa.array(np.array(ids, dtype=np.int64)[segment]), "at": pa.array(at)})
+            "known": pa.array(known[once]), "h": pa.array(h[once].view(np.int64)), "c": pa.array(c[once].view(np.int64)),
+            "id": pa.array(ids[once]), "at": pa.array(at[once])})
 
     segments, ids, ties, size = [], [], [], 0
     for batch in batches:
@@ -139,10 +147,14 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by h, c, id and at: all but the first of each context, and the first ones where an anchor has several."""
+    """From anchors sorted by h, c, id and at: all but the first of each context, and the first ones where an anchor has several. Known ones pass."""
     last = None  # (h, c, id, at) of the row before, how many contexts its anchor has so far, and the first one's row
     count, only = 0, None
     for batch in batches:
+        known = batch.filter(batch["known"])
+        if known.num_rows:
+            yield pa.RecordBatch.from_pydict({**{n: known[n] for n in ("h", "id", "at")}, "probe": pa.array(np.zeros(known.num_rows, dtype=bool))})
+        batch = batch.filter(pc.invert(batch["known"]))
         cols = np.stack([batch[n].to_numpy(zero_copy_only=False) for n in ("h", "c", "id", "at")])
         if not cols.shape[1]:
             continue
@@ -172,11 +184,11 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def marks(docs: DataFrame) -> DataFrame:
     found = docs.select("id", "tie", "text").mapInArrow(_anchors, _ANCHORS)
-    met = found.repartition("h").sortWithinPartitions("h", "c", "id", "at")
+    met = found.repartition("h").sortWithinPartitions("known", "h", "c", "id", "at")
     return stash(met.mapInArrow(_pick, _MARKS), "suffix-marks")
 
 
-#: Contexts of an anchor that are sorted in one task; the windows of more are counted by digest instead, over all tasks.
+#: Contexts of an anchor that are sorted in one task; more are narrowed down over all tasks, see ``_narrow``.
 GROUP = 20_000
 #: Suffixes sorted at once, but for the anchor that ends there.
 SUFFIXES = 60_000
@@ -184,7 +196,7 @@ SUFFIXES = 60_000
 HALF = REACH // 2
 
 _CONTEXTS = "h long, hot boolean, id long, at long, left int, data binary"
-_FOUND = "d1 long, d2 long, id long, lo long, hi long"
+_FOUND = "h long, id long, lo long, hi long, left int, data binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -213,7 +225,7 @@ _CONTEXT_SCHEMA = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("id", pa.i
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of window starts that repeat an earlier window of the same anchor; of hot anchors, all windows by digest."""
+    """Ranges of window starts that repeat an earlier window of the same anchor; contexts of hot anchors pass."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -224,7 +236,9 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hot = batch["hot"].to_numpy(zero_copy_only=False)
         if hot.any():
-            yield from _digests(batch.filter(batch["hot"]))
+            passed = batch.filter(batch["hot"])
+            yield pa.RecordBatch.from_pydict({
+                "h": passed["h"], "id": passed["id"], "lo": passed["at"], "hi": pa.nulls(passed.num_rows, pa.int64()), "left": passed["left"], "data": passed["data"]})
             batch = batch.filter(pa.array(~hot))
         if not batch.num_rows:
             continue
@@ -354,30 +368,34 @@ def _ranges(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     lo, hi = np.concatenate([[0], cut]).astype(int), np.concatenate([cut, [len(ids)]]).astype(int) - 1
     if not len(ids):
         lo = hi = np.zeros(0, dtype=int)
-    none = pa.nulls(len(lo), pa.int64())
-    return pa.RecordBatch.from_pydict({"d1": none, "d2": none, "id": pa.array(ids[lo]), "lo": pa.array(at[lo]), "hi": pa.array(at[hi])})
-
-
-def _digests(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """128 bits of every window of the contexts."""
-    for at in range(0, batch.num_rows, 2_000):
-        some = batch.slice(at, 2_000)
-        data = [d for d in some["data"].to_pylist()]
-        size = np.array([len(d) for d in data])
-        x = np.frombuffer(b"".join(data) + bytes(64), dtype=np.uint8)
-        h, width = _BYTE[x], 1
-        for step in _STEP:
-            h = h[:-width] * step + h[width:]
-            width *= 2
-        count = size - W + 1
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        p = np.repeat(np.cumsum(size) - size, count) + within
-        place = np.repeat(some["at"].to_numpy(), count) + within
-        d1 = _mixed(h[p] * _MIX[2] + h[p + W - 64])
-        d2 = _mixed(h[p] + h[p + W - 64] * _MIX[3])
-        yield pa.RecordBatch.from_pydict({
-            "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64)), "id": pa.array(np.repeat(some["id"].to_numpy(), count)),
-            "lo": pa.array(place), "hi": pa.array(place)})
+    return pa.RecordBatch.from_pydict({
+        "h": pa.nulls(len(lo), pa.int64()), "id": pa.array(ids[lo]), "lo": pa.array(at[lo]), "hi": pa.array(at[hi]),
+        "left": pa.nulls(len(lo), pa.int32()), "data": pa.nulls(len(lo), pa.binary())})
+
+
+def _narrow(contexts: DataFrame) -> DataFrame:
+    """(id, at) of windows of ``contexts`` (h, id, at, left, data) that equal an earlier window of the same anchor.
+
+    Window starts are counted from the anchor. All windows of a range of starts
+    hold the bytes from its last start to the end of its first; ranges are
+    halved, and a context stays in a range while another one has the same bytes
+    there. When ranges are down to one start these bytes are the window.
+    """
+    items = contexts.select("h", "id", "at", "left", "data", F.lit(-REACH).alias("lo"), F.lit(0).alias("hi"))
+    width = REACH + 1
+    while width > 1:
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))
+        items = items.select("h", "id", "at", "left", "data", F.inline(F.when(F.col("lo") < F.col("hi"), halves).otherwise(F.array(F.struct("lo", "hi")))))
+        held = F.greatest("lo", -F.col("left")) <= F.least("hi", F.octet_length("data") - F.col("left") - W)
+        core = F.md5(F.substring(F.col("data"), F.col("left") + F.col("hi") + 1, F.col("lo") - F.col("hi") + W))
+        items = items.where(held).withColumn("core", core)
+        shared = items.groupBy("h", "lo", "hi", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        items = stash(items.join(shared, ["h", "lo", "hi", "core"]), "suffix-narrowed")
+        width = -(-width // 2)
+    windows = items.select("h", "lo", "core", "id", (F.col("at") + F.col("left") + F.col("lo")).alias("at"))
+    first = windows.groupBy("h", "lo", "core").agg(F.min(F.struct("id", "at")).alias("first"))
+    return windows.join(first, ["h", "lo", "core"]).where(F.struct("id", "at") != F.col("first")).select("id", "at")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,15 +436,13 @@ def spans(docs: DataFrame) -> DataFrame:
     by_text = probes.groupBy("id", "tie").agg(F.collect_list("probe").alias("probes"))
     texts = docs.select("id", "tie", "text")
     cut = texts.join(by_text, ["id", "tie"]).select("id", "tie", "text", "probes").mapInArrow(_cut, _CONTEXTS)
-    # A hot anchor's windows are only digested here, so its contexts may go anywhere.
+    # Contexts of a hot anchor only pass here, so they may go anywhere.
     spread = F.when(F.col("hot"), F.xxhash64("id", "at")).otherwise(F.lit(0))
     sorted_ = stash(cut.repartition("h", spread).sortWithinPartitions("h").mapInArrow(_sort, _FOUND), "suffix-found")
-    ranges = sorted_.where("d1 is null").select("id", F.col("lo").alias("at"), "hi")
+    ranges = sorted_.where("h is null").select("id", F.col("lo").alias("at"), "hi")
     if not hot.isEmpty():
-        windows = sorted_.where("d1 is not null").select("d1", "d2", "id", "lo")
-        first = windows.groupBy("d1", "d2").agg(F.min(F.struct("id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        later = windows.join(first, ["d1", "d2"]).where(F.struct("id", "lo") != F.col("first"))
-        ranges = ranges.union(later.select("id", F.col("lo").alias("at"), F.col("lo").alias("hi")))
+        repeated = _narrow(sorted_.where("h is not null").select("h", "id", F.col("lo").alias("at"), "left", "data"))
+        ranges = ranges.union(repeated.select("id", "at", F.col("at").alias("hi")))
     ranges = ranges.select("id", tie.alias("tie"), place.alias("lo"), F.col("hi").bitwiseAND(F.lit((1 << _TIE) - 1)).alias("hi"))
     return ranges.union(found.where("not probe").select("id", tie, place, F.lit(-1).cast("long")))
 
