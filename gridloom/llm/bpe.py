@@ -28,8 +28,9 @@ END = "</w>"
 MEMORY = 300_000
 #: Characters of a text that are split into words at once; cut before white space.
 PIECE = 1 << 20
-#: Tokens decoded at once.
-DECODED = 1 << 21
+#: Rows coded at once, and tokens decoded at once.
+ROWS = 256
+DECODED = 1 << 17
 
 #: White space as the tokenizer's pattern knows it, and the pattern itself.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -229,14 +230,19 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            rows = [encoder.ids_of(t) for t in batch.to_pylist()]
-            sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]))
+            done = [_coded(encoder, batch.slice(at, ROWS)) for at in range(0, len(batch), ROWS)]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
 
 
+def _coded(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    rows = [encoder.ids_of(t) for t in texts.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """Texts of ids as the tokenizer gives them without a decoder: tokens joined by one space. Null is no ids."""
 
@@ -248,8 +254,8 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
             flat, ends, out, at, row = batch.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes), [], 0, 0
             while row < len(sizes):
                 upto = max(row + 1, int(np.searchsorted(ends, at + DECODED, side="right")))
-                out += decoder.texts(flat[at:ends[upto - 1]], ends[row:upto] - at)
+                out.append(pa.array(decoder.texts(flat[at:ends[upto - 1]], ends[row:upto] - at), pa.binary()).cast(pa.string()))
                 at, row = int(ends[upto - 1]), upto
-            yield pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return texts(ids)

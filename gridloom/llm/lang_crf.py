@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from gridloom.llm.tables import stash
+
 #: Labelled rows learned from, for each language, and the longest of them in characters. These bound the fit.
 ROWS = 200
 LONGEST = 1 << 16
@@ -203,7 +205,8 @@ def sample(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     hashed = F.xxhash64("doc_id").alias("hash")
     order = Window.partitionBy("lang").orderBy("hash", "doc_id")
     first = able.select("lang", "doc_id", hashed).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    first = first.select(F.col("lang").alias("of_lang"), F.col("doc_id").alias("of_id")).distinct()
+    # A few rows for each language; written, so that Spark knows and does not shuffle the texts to meet them.
+    first = stash(first.select(F.col("lang").alias("of_lang"), F.col("doc_id").alias("of_id")).distinct(), "language-sample")
     found = able.select("lang", "doc_id", "text", hashed).join(first, (F.col("lang") == F.col("of_lang")) & (F.col("doc_id") == F.col("of_id")))
     # Ids may repeat, so the bound is set once more.
     order = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
