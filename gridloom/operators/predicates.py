@@ -48,6 +48,7 @@ class Filter:
     on_missing: str = "skip"
     on_bad_pattern: str = "skip"
     level: str = "full"
+    letters: str = "all"
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ _ROW_CASE = {"eq": "keep", "contains": "lower", "in": "lower"}
 
 DIALECTS = {
     "default": Dialect(_PLAIN_KEYS, Filter("none"), "0", regex_case="keep"),
-    "summary": Dialect(_SUMMARY_KEYS, Filter("none", column="A"), "2", bounds_together=True),
+    "summary": Dialect(_SUMMARY_KEYS, Filter("none", column="A", letters="summary"), "2", bounds_together=True),
     "worker": Dialect(
         _PLAIN_KEYS, Filter("none", strip_ws=False, contains="regex", on_missing="empty", level="ci"), "6",
         regex_mode=False, fixed_case=_ROW_CASE, target_comma=False, bounds_together=True,
@@ -84,6 +85,11 @@ DIALECTS = {
 }
 
 
+def letters_of(dialect: str) -> str:
+    """The summary report folds fewer look-alike letters than the other tools."""
+    return "summary" if dialect == "summary" else "all"
+
+
 def read_spec(spec: Filter | Mapping | None, dialect: str = "default") -> Filter:
     """A dict spec as a :class:`Filter`."""
     if isinstance(spec, Filter):
@@ -219,7 +225,7 @@ def predicate(df: DataFrame, spec: Filter | Mapping, dialect: str = "default") -
     if f.kind == "none":
         return None
     try:
-        name = resolve_column(df.columns, f.column, f.level)
+        name = resolve_column(df.columns, f.column, f.level, f.letters)
     except ColumnNotFound as missing:
         if f.on_missing == "error":
             raise
@@ -256,7 +262,7 @@ def apply_filters(df: DataFrame, specs: Iterable[Filter | Mapping] | None, diale
 
 def _filter_by_list(df: DataFrame, f: Filter) -> DataFrame:
     try:
-        name = resolve_column(df.columns, f.column, f.level)
+        name = resolve_column(df.columns, f.column, f.level, f.letters)
     except ColumnNotFound:
         condition = predicate(df, f)
         return df if condition is None else df.where(condition)

@@ -38,7 +38,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str =
         info = df.sparkSession.createDataFrame(
             [(ordinals[n], n, types[n]) for n in names], "ordinal int, column string, type string"
         )
-        out = F.broadcast(info).join(out, "column")
+        zero = {c: 0 for c in ("n_rows", "non_null", "n_distinct", "longest")}
+        out = info.join(out, "column", "left").fillna(zero)
     else:
         measures = []
         for i, n in enumerate(names):

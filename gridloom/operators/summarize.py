@@ -13,19 +13,24 @@ from gridloom.functions.text import is_filled, norm_text
 from gridloom.operators.columns import resolve_column, resolve_columns
 
 
+#: Types of which different values never print alike once normalised.
+_DISTINCT_TYPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)
+    return not isinstance(df.schema[name].dataType, _DISTINCT_TYPES)
 
 
 def _grouping_cell(df: DataFrame, name: str, case: str, strip_ws: bool, drop_empty: bool) -> tuple[Column, Column]:
     """What to group a column by, and which rows to keep.
 
-    Text is grouped by its normal form. Other types are grouped as they are, which is
+    Text, and what prints as text (arrays, binaries), is grouped by its normal form. Numbers, dates and the like are grouped as they are, which is
     cheaper, and turned into text once per group (:func:`_as_value`).
     """
     cell = col(name)
     if not _is_text(df, name):
         return cell, cell.isNotNull() if drop_empty else F.lit(True)
+    cell = cell.cast("string")
     keep = is_filled(cell, strip_ws) if drop_empty else F.lit(True)
     return norm_text(cell, case, strip_ws, blank_nulls=not drop_empty), keep
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.columns import resolve_column, resolve_columns
 from gridloom.operators.dedup import ORD, dedup_raw
-from gridloom.operators.predicates import apply_filters, filters_for
+from gridloom.operators.predicates import apply_filters, filters_for, letters_of
 from gridloom.operators.summarize import stack_columns
 
 # Titles of the block over all sheets, and the count column's header.
@@ -39,19 +39,19 @@ def group_summary(
         if dedup_keys:
             try:
                 # Checked first, so that only an unknown key, not a missing order, is passed over.
-                keys = resolve_columns(df.columns, dedup_keys)
+                keys = resolve_columns(df.columns, dedup_keys, letters=letters_of(dialect))
             except KeyError as unknown:
                 warnings.warn(f"sheet {name!r} not de-duplicated: {unknown}", stacklevel=2)
             else:
                 order = [order_by] if isinstance(order_by, str) else order_by
-                kept = dedup_raw(kept, keys, "first", order and [resolve_column(df.columns, o) for o in order])
+                kept = dedup_raw(kept, keys, "first", order and [resolve_column(df.columns, o, letters=letters_of(dialect)) for o in order])
         data_columns = [c for c in df.columns if c != ORD]
         try:
             if several:
-                columns = resolve_columns(data_columns, column, on_missing="skip")
+                columns = resolve_columns(data_columns, column, on_missing="skip", letters=letters_of(dialect))
                 titles = [f"{name} — {c}" for c in columns]
             else:
-                columns = [resolve_column(data_columns, column)]
+                columns = [resolve_column(data_columns, column, letters=letters_of(dialect))]
                 titles = [f"{name} — {column}"]
         except KeyError as unknown:
             warnings.warn(f"sheet {name!r} left out: {unknown}", stacklevel=2)

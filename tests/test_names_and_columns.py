@@ -87,3 +87,9 @@ def test_union_schema():
     plan = union_schema([["N_REG-NEW", "VIN", "vin", ""], [" n reg new ", "Brand"], ["VІN"]])
     assert plan.display == ("N_REG-NEW", "VIN", "Brand")
     assert plan.positions == ((0, 1, None), (0, None, 1), (None, 0, None))
+
+
+def test_header_forms_in_one_pass():
+    assert names.norm_header("__a - ! -_b?c  ") == "a_bc" == names.norm_header("A__B?C", "compat")
+    assert names.norm_header(" - ") == "" and names.norm_header("é_№5") == "é_5" and names.norm_header("é_№5", "compat") == "5"
+    assert names.norm_name("\tA_b - C ") == "a_bc"

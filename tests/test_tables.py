@@ -216,3 +216,18 @@ def test_counters(spark):
 
 def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_values_that_print_alike_are_one_group(spark):
+    from gridloom.operators.summarize import frequency
+
+    frame = spark.createDataFrame([(["a"], b"x"), (["A"], b"X"), (["b"], b"x")], "k array<string>, b binary")
+    assert sorted(r.cnt for r in frequency(frame, "k").collect()) == [1, 2]
+    assert [r.cnt for r in frequency(frame, "b").collect()] == [3]
+
+
+def test_exact_profile_of_an_empty_table(spark):
+    from gridloom.operators.profile import profile
+
+    got = profile(spark.createDataFrame([], "a string, b int"), distinct="exact").orderBy("ordinal").collect()
+    assert [(r.column, r.n_rows, r.non_null, r.n_distinct, r.longest) for r in got] == [("a", 0, 0, 0, 0), ("b", 0, 0, 0, 0)]
