@@ -17,7 +17,7 @@ def test_stages_keep_columns_and_decide(spark):
     clean = corpus_pipeline.secrets(spark, alone.cache(), "")
     assert clean.count() == alone.count() and clean.where("text like '%AKIAQQQQ%'").count() == 0
     mixed = corpus_pipeline.mixture(spark, clean.cache(), "")
-    assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().where("count > 2").count() == 0
+    assert mixed.columns == docs.columns and mixed.groupBy("doc_id", "text").count().where("count > 2").count() == 0
     coded = corpus_pipeline.tokens(spark, mixed, "")
     assert coded.where(F.size("ids") != F.col("n_tokens")).count() == 0
     for _, stage in corpus_pipeline.STAGES:
