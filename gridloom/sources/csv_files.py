@@ -14,8 +14,8 @@ from gridloom.functions.quoting import field_count, open_after, open_after_insid
 from gridloom.functions.text import is_filled
 from gridloom.functions.years import year_in_name
 from gridloom.operators.union import union_exact
-from gridloom.sources.files import InputFile, list_files, literal_path, pin_splits, scan_groups
-from gridloom.sources.lines import place, remap_latin, scan_records
+from gridloom.sources.files import InputFile, list_files, pin_splits, scan_groups
+from gridloom.sources.lines import scan_records
 from gridloom.sources.sniff import layouts, sniff
 
 # Cell texts read as missing.
@@ -34,6 +34,7 @@ class Layout:
     encoding: str
     sep: str
     header: tuple[str, ...]
+    newline: str = "\n"
 
 
 def null_tokens(c: Column, tokens: Sequence[str] | None = NA_TOKENS) -> Column:
@@ -52,7 +53,7 @@ def detect(
     files = list_files(spark, paths)
     found = {}
     for r in layouts(sniff(spark, files, encoding, sep)):
-        layout = Layout(r.encoding, r.sep, tuple(r.header))
+        layout = Layout(r.encoding, r.sep, tuple(r.header), r.newline)
         found.update(dict.fromkeys(r.srcs, (layout, r.first_line)))
     return [(f, *found[f.src]) for f in files]
 
@@ -72,12 +73,12 @@ def read_csv(
 ) -> DataFrame:
     """Any number of CSV files as one all-text table, columns united by exact name.
 
-    ``exact``: rows with too many fields are dropped, short ones padded, quoted line
-    breaks kept. One counting pass finds the files that have quoted line breaks (or
-    repeat their header); only those pay for a shuffle, all others are read in place.
-    ``fast``: Spark's own reader in a single pass; over-long rows lose their extra
-    fields unless those show up in the overflow column, and a quoted line break
-    splits a row.
+    Rows with too many fields are dropped, short ones padded, quoted line breaks kept
+    as they are, carriage returns included. One counting pass finds the files that have
+    quoted line breaks (or repeat their header); only those pay for a shuffle, all others
+    are read in place. Bytes that are not in the file's encoding are an error, wherever
+    they stand. ``mode`` may be ``exact`` or ``fast`` and changes nothing: a single pass
+    cannot tell a quoted line break or a ragged row, so ``fast`` reads exactly too.
 
     ``with_order`` adds ``_ord``, ``with_file`` ``_file``, ``with_year`` ``_year``
     (from the file name, or from ``years`` by file name).
@@ -108,6 +109,8 @@ def read_csv_parts(
     ``_ord`` is there when asked for, or when a file fact is found by it; without it no
     line needs to be told which file it is from, which is cheaper.
     """
+    if mode not in ("exact", "fast"):
+        raise ValueError(f"unknown mode {mode!r}")
     ordered = with_order or with_file or with_year
     pin_splits(spark)
     detected = detect(spark, paths, encoding, sep)
@@ -124,7 +127,7 @@ def read_csv_parts(
         firsts = {f.path: first for f, first in members}
         for portion in scan_groups(spark, [f for f, _ in members]):
             with_firsts = [(f, firsts[f.path]) for f in portion]
-            frame = (_read_fast if mode == "fast" else _read_exact)(spark, layout, with_firsts, na_tokens, ordered)
+            frame = _read_exact(spark, layout, with_firsts, na_tokens, ordered)
             if with_file:
                 frame = _with_file_fact(frame, {f.src: f.path for f in portion}, FILE, "string")
             part_years = {f.src: year_of[f.src] for f in portion} if with_year else {}
@@ -168,6 +171,7 @@ def _read_exact(
     rows = scan_records(
         spark, [f for f, _ in members], layout.encoding, {f.path: first for f, first in members},
         lambda c: open_after(c, sep), lambda c: open_after_inside(c, sep), blank, ordered=ordered,
+        newline=layout.newline,
     )
     n = len(layout.header)
     cells = [f"c{i}" for i in range(n)]
@@ -183,29 +187,6 @@ def _read_exact(
     return parsed.select(*[null_tokens(F.col(c), na_tokens).alias(c) for c in cells], *([ORD] if ordered else [])).toDF(*names)
 
 
-def _read_fast(
-    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]],
-    na_tokens: Sequence[str] | None, ordered: bool,
-) -> DataFrame:
-    files = [f for f, _ in members]
-    cells = [f"c{i}" for i in range(len(layout.header))]
-    charset = "UTF-8" if layout.encoding in ("utf-8", "utf-8-sig") else "ISO-8859-1"
-    raw = (
-        spark.read.schema(", ".join(f"{c} string" for c in [*cells, "_overflow"]))
-        .options(header=True, sep=layout.sep, quote='"', escape='"', encoding=charset, enforceSchema=True)
-        .csv([literal_path(f.path) for f in files])
-    )
-    kept = raw.where(F.col("_overflow").isNull())
-    values = [null_tokens(remap_latin(F.col(c), layout.encoding), na_tokens).alias(c) for c in cells]
-    if not ordered:
-        return kept.select(*values).toDF(*unique_headers(layout.header))
-    placed = place(kept.select(
-        *values, F.col("_metadata.file_path").alias("uri"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"),
-    ), files)
-    return placed.select(*cells, F.struct("src", "block", "seq").alias(ORD)).toDF(*unique_headers(layout.header), ORD)
-
-
 def read_table(spark: SparkSession, paths: str | Sequence[str], sheet: str | None = None, **options) -> DataFrame:
     """CSV files or one sheet of workbooks, by file name ending."""
     given = [paths] if isinstance(paths, str) else list(paths)

@@ -13,12 +13,16 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class InputFile:
-    """``src`` is the file's place in the caller's list, ``uri`` how ``_metadata.file_path`` spells it."""
+    """``src`` is the file's place among all files, ``arg`` that of its path, folder or glob in the caller's list.
+
+    ``uri`` is how ``_metadata.file_path`` spells the file.
+    """
 
     src: int
     path: str
     uri: str
     bytes: int
+    arg: int = 0
 
 
 def _bare(path: str) -> str:
@@ -41,7 +45,7 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[InputFil
 
     rows = {r.path: r for r in listing.collect()}.values()
     ranked = sorted(rows, key=lambda r: (place(r.path), r.path))
-    return [InputFile(i, r.path, r.file_path, r.length) for i, r in enumerate(ranked)]
+    return [InputFile(i, r.path, r.file_path, r.length, min(place(r.path), len(entries) - 1)) for i, r in enumerate(ranked)]
 
 
 def _as_glob(path: str) -> str:

@@ -12,10 +12,11 @@ from gridloom.sources.record_pieces import TAIL, WHOLE, join_lines, sum_up_split
 
 # One-byte charsets: decoded as Latin-1, then the upper half is mapped.
 _ONE_BYTE = {"cp1251": "cp1251", "windows-1251": "cp1251", "cp1252": "cp1252", "latin-1": None, "iso-8859-1": None}
+_UTF8 = ("utf-8", "utf-8-sig", "utf8")
 
 def decode_line(raw: Column, encoding: str) -> Column:
     """Raw line bytes (as the text source hands them over) to text."""
-    if encoding.lower() in ("utf-8", "utf-8-sig", "utf8"):
+    if encoding.lower() in _UTF8:
         return raw
     return remap_latin(F.decode(raw.cast("binary"), "ISO-8859-1"), encoding)
 
@@ -23,7 +24,7 @@ def decode_line(raw: Column, encoding: str) -> Column:
 def remap_latin(latin: Column, encoding: str) -> Column:
     """Text decoded as Latin-1 to the one-byte charset it is really in; other text is left alone."""
     name = encoding.lower()
-    if name in ("utf-8", "utf-8-sig", "utf8"):
+    if name in _UTF8:
         return latin
     if name not in _ONE_BYTE:
         raise ValueError(f"unsupported encoding {encoding!r}")
@@ -34,9 +35,12 @@ def remap_latin(latin: Column, encoding: str) -> Column:
     return F.translate(latin, "".join(a for a, _ in mapped), "".join(b for _, b in mapped))
 
 
-def raw_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str) -> DataFrame:
-    """``(value, uri, block, seq)``: ``block`` is the byte offset of the input split, ``seq`` rises within it."""
-    return spark.read.text([literal_path(f.path) for f in files]).select(
+def raw_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str, newline: str = "\n") -> DataFrame:
+    """``(value, uri, block, seq)``: ``block`` is the byte offset of the input split, ``seq`` rises within it.
+
+    A carriage return before ``newline`` stays: it may be part of a quoted cell.
+    """
+    return spark.read.option("lineSep", newline).text([literal_path(f.path) for f in files]).select(
         decode_line(F.col("value"), encoding).alias("value"),
         F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -44,6 +48,11 @@ def raw_lines(spark: SparkSession, files: Sequence[InputFile], encoding: str) ->
     )
 
 
+def without_return(c: Column) -> Column:
+    """A line or record without the carriage return of its line end."""
+    return F.when(F.endswith(c, F.lit("\r")), F.regexp_replace(c, r"\r\z", "")).otherwise(c)
+
+
 def place(lines: DataFrame, files: Sequence[InputFile]) -> DataFrame:
     """``src``, the file's place in the caller's list, instead of ``uri``.
 
@@ -78,7 +87,9 @@ def _running_state(df: DataFrame, group: Sequence[str], order: str, out: str, in
     return df.withColumns({"after0": after(False), "after1": after(True)}).drop("__flips", "__last")
 
 
-def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Column | None = None) -> DataFrame:
+def assemble_records(
+    lines: DataFrame, out: Column, into: Column, skip_blank: Column | None = None, newline: str = "\n"
+) -> DataFrame:
     """Join the physical lines of each record: ``(src, block, seq, value, is_first)``.
 
     Takes placed :func:`raw_lines`, whose tasks deliver the lines of a split in
@@ -108,9 +119,12 @@ def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Co
         "src", "block", "seq", "value", "out", "into", "filled", start.alias("start"), "crossed"
     )
 
+    def joined_lines(batches):
+        return join_lines(batches, newline)
+
     def pieces(of: DataFrame) -> DataFrame:
         return of.drop("crossed").mapInArrow(
-            join_lines, "src int, block long, seq long, value string, is_first boolean, piece int"
+            joined_lines, "src int, block long, seq long, value string, is_first boolean, piece int"
         )
 
     whole = pieces(placed).where(F.col("piece") == WHOLE).select("src", "block", "seq", "value", "is_first")
@@ -122,7 +136,7 @@ def assemble_records(lines: DataFrame, out: Column, into: Column, skip_blank: Co
     parts = F.sort_array(F.collect_list(F.struct("block", "seq", "value")))
     joined = crossing.groupBy("src", "record").agg(parts.alias("parts"), F.max("is_first").alias("is_first")).select(
         "src", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["seq"].alias("seq"),
-        F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"), "is_first",
+        F.array_join(F.transform("parts", lambda x: x["value"]), newline).alias("value"), "is_first",
     )
     return whole.union(joined)
 
@@ -131,33 +145,46 @@ def scan_records(
     spark: SparkSession, files: Sequence[InputFile], encoding: str, first_lines: Mapping[str, str],
     out: Callable[[Column], Column], into: Callable[[Column], Column],
     blank: Callable[[Column], Column] | None = None, repair: Callable[[Column], Column] | None = None,
-    ordered: bool = True,
+    ordered: bool = True, newline: str = "\n",
 ) -> DataFrame:
     """Data records of files with a header record, which is left out: ``value``, when ``ordered`` with ``src, block, seq``.
 
     A counting pass (one row per file comes back) finds the files where a quote stays
     open over a line end or the header line repeats. Only those are assembled; every
-    line of the others is a record and is read in place.
+    line of the others is a record and is read in place. The same pass sees every
+    byte: a file that is not in its encoding, or that mixes line ends outside quotes,
+    is an error that names it.
     """
     repair = repair or (lambda c: c)
-    value = F.col("value")
+    value, line = F.col("value"), without_return(F.col("value"))
     heads = sorted({first_lines[f.path] for f in files})
-    in_head = (F.col("block") == 0) & value.isin(heads)
+    in_head = (F.col("block") == 0) & line.isin(heads)
+    other_end = F.contains(line, F.lit("\n" if newline == "\r" else "\r")) & ~F.contains(line, F.lit('"'))
+    # One-byte charsets read any byte.
+    invalid = ~F.is_valid_utf8(value) if encoding.lower() in _UTF8 else F.lit(False)
     facts = (
-        raw_lines(spark, files, encoding)
-        .groupBy("uri").agg(F.max(out(repair(value))).alias("opens"), F.count_if(in_head).alias("headers"))
+        raw_lines(spark, files, encoding, newline)
+        .groupBy("uri").agg(
+            F.max(out(repair(line))).alias("opens"), F.count_if(in_head).alias("headers"),
+            F.count_if(invalid).alias("invalid"), F.count_if(other_end).alias("mixed"),
+        )
         .collect()
     )
     # facts has one row per file, MAX_FILES at most.
+    for r in facts:
+        if r.invalid:
+            raise ValueError(f"{r.uri} is not {encoding}: {r.invalid} lines do not decode; name its encoding")
+        if r.mixed:
+            raise ValueError(f"{r.uri} mixes line ends: {r.mixed} lines hold another one outside quotes")
     plain = {r.uri for r in facts if not r.opens and r.headers == 1}
     flat, rest = [f for f in files if f.uri in plain], [f for f in files if f.uri not in plain]
     columns = ["src", "block", "seq", "value"] if ordered else ["value"]
     parts = []
     if flat:
-        lines = raw_lines(spark, flat, encoding).where(~in_head).withColumn("value", repair(value))
+        lines = raw_lines(spark, flat, encoding, newline).where(~in_head).withColumn("value", repair(line))
         parts.append((place(lines, flat) if ordered else lines).select(*columns))
     if rest:
-        lines = place(raw_lines(spark, rest, encoding).withColumn("value", repair(value)), rest)
-        joined = assemble_records(lines, out(value), into(value), blank(value) if blank else None)
-        parts.append(joined.where(~F.col("is_first")).select(*columns))
+        lines = place(raw_lines(spark, rest, encoding, newline).withColumn("value", repair(value)), rest)
+        joined = assemble_records(lines, out(line), into(line), blank(line) if blank else None, newline)
+        parts.append(joined.where(~F.col("is_first")).withColumn("value", line).select(*columns))
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])

@@ -69,7 +69,7 @@ class _OpenRecord:
         self.is_first = False
 
 
-def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def join_lines(batches: Iterator[pa.RecordBatch], newline: str = "\n") -> Iterator[pa.RecordBatch]:
     """Records of each split; pieces of records that cross its borders are marked ``HEAD`` and ``TAIL``."""
     key, state, seen_first = None, False, False
     record = _OpenRecord()
@@ -78,7 +78,7 @@ def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def leave_split(made: list) -> None:
         if key is not None and state and record.lines:
-            made.append((*key, record.seq, "\n".join(record.lines), record.is_first, HEAD if record.is_head else TAIL))
+            made.append((*key, record.seq, newline.join(record.lines), record.is_first, HEAD if record.is_head else TAIL))
 
     def as_batch(made: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
@@ -107,7 +107,7 @@ def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 record.lines.append(batch.column("value")[i].as_py())
                 record.is_first |= bool(first[i])
                 if not after[i - a]:
-                    made.append((*split, record.seq, "\n".join(record.lines), record.is_first, HEAD if record.is_head else WHOLE))
+                    made.append((*split, record.seq, newline.join(record.lines), record.is_first, HEAD if record.is_head else WHOLE))
                     record = _OpenRecord()
             state = bool(after[-1])
         if whole.any():

@@ -38,10 +38,10 @@ def read_semicolon(
     for r in layouts(sniff(spark, files, encoding, sep, True, apostrophe_as_quote)):
         members = [files[i] for i in r.srcs]
         first_line.update((f.path, r.first_line) for f in members)
-        groups.setdefault((r.encoding, tuple(r.dirty_header)), []).extend(members)
+        groups.setdefault((r.encoding, r.newline, tuple(r.dirty_header)), []).extend(members)
     portions = [
-        (charset, header, portion)
-        for (charset, header), members in groups.items()
+        (charset, newline, header, portion)
+        for (charset, newline, header), members in groups.items()
         for portion in scan_groups(spark, sorted(members, key=lambda f: f.src))
     ]
 
@@ -49,10 +49,10 @@ def read_semicolon(
         return norm_quotes(c, apostrophe_as_quote)
 
     frames = []
-    for charset, header, members in sorted(portions, key=lambda p: p[2][0].src):
+    for charset, newline, header, members in sorted(portions, key=lambda p: p[3][0].src):
         records = scan_records(
             spark, members, charset, first_line,
-            lambda c: ~is_complete(c), is_complete, repair=repair,
+            lambda c: ~is_complete(c), is_complete, repair=repair, newline=newline,
         )
         fields = records.select(F.struct("src", "block", "seq").alias(ORD), quoted_split(F.col("value"), sep).alias("f"))
         n = len(header)

@@ -20,7 +20,7 @@ SEPARATORS = [",", ";", "\t", "|", ":"]
 HEAD_CHARS = 8192
 
 _SCHEMA = (
-    "src int, encoding string, sep string, bom boolean, header array<string>, first_line string, dirty_header array<string>"
+    "src int, encoding string, sep string, bom boolean, header array<string>, first_line string, dirty_header array<string>, newline string"
 )
 
 
@@ -97,18 +97,20 @@ def _read_head(path: str, encoding: str | None, sep: str | None, dirty: bool, ap
             size *= 4
             head += f.read(size - len(head))
     bom = text.startswith("﻿") or head.startswith(codecs.BOM_UTF8)
+    # What ends the header record ends the others; CR LF counts as LF.
+    newline = "\r" if text[:used].endswith("\r") else "\n"
     if not dirty:
-        return name, delimiter, bom, fields, first, None
+        return name, delimiter, bom, fields, first, None, newline
     # Here a blank first line is a record too.
     first = text.splitlines()[0] if text else ""
-    return name, delimiter, bom, fields, first, first_dirty_record(text, delimiter, apostrophe)
+    return name, delimiter, bom, fields, first, first_dirty_record(text, delimiter, apostrophe), newline
 
 
 def sniff(
     spark: SparkSession, files: Sequence[InputFile], encoding: str | None = None, sep: str | None = None,
     dirty: bool = False, apostrophe_as_quote: bool = False,
 ) -> DataFrame:
-    """``(src, encoding, sep, bom, header, first_line, dirty_header)`` per file; only heads are read."""
+    """``(src, encoding, sep, bom, header, first_line, dirty_header, newline)`` per file; only heads are read."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,7 +118,7 @@ def sniff(
                 (s, *_read_head(p, encoding, sep, dirty, apostrophe_as_quote)) for s, p in zip(batch["src"], batch["path"])
             ]
             yield pd.DataFrame(
-                found, columns=["src", "encoding", "sep", "bom", "header", "first_line", "dirty_header"]
+                found, columns=["src", "encoding", "sep", "bom", "header", "first_line", "dirty_header", "newline"]
             )
 
     listed = spark.createDataFrame([(f.src, f.path) for f in files], "src int, path string")
@@ -125,9 +127,9 @@ def sniff(
 
 
 def layouts(sniffed: DataFrame) -> list:
-    """Distinct findings with the files they hold for: ``(encoding, sep, header, first_line, dirty_header, srcs)``.
+    """Distinct findings with the files they hold for: ``(encoding, sep, header, first_line, dirty_header, newline, srcs)``.
 
     Grouped before it reaches the driver, which so gets a header once and not per file.
     """
-    facts = ["encoding", "sep", "header", "first_line", "dirty_header"]
+    facts = ["encoding", "sep", "header", "first_line", "dirty_header", "newline"]
     return sniffed.groupBy(*facts).agg(F.sort_array(F.collect_list("src")).alias("srcs")).collect()

@@ -57,3 +57,8 @@ def test_typed_cells(spark, tmp_path):
 def test_encodings_per_file(spark, tmp_path):
     paths = [put(tmp_path, "a.csv", "назва;n\nПриклад;1\n", "cp1251"), put(tmp_path, "b.csv", "назва;n\nЇжак;2\n", "utf-8")]
     assert in_order(read_semicolon(spark, paths, with_order=True)) == [("Приклад", "1", None), ("Їжак", "2", None)]
+
+
+def test_carriage_returns_in_cells_stay(spark, tmp_path):
+    path = put(tmp_path, "r.csv", "a;b\r\n«x\r\ny»;1\r\nz;2\r\n")
+    assert in_order(read_semicolon(spark, path, with_order=True)) == [("x\r\ny", "1", None), ("z", "2", None)]
