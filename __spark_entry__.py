@@ -587,6 +587,17 @@ def _(spark, sf):
     return csv_files.read_csv(spark, folder, sep=",")
 
 
+@query(
+    "csv_crlf_cells",
+    "select cast(doc_id as varchar) as doc_id, replace(text, E'\\n', E'\\r\\n') as text, lang from documents",
+)
+def _(spark, sf):
+    folder = new_dataset_path(spark, "documents-crlf")
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")).alias("text")
+    csv_sink.write_csv(table(spark, sf, "documents").select("doc_id", text, "lang"), folder)
+    return csv_files.read_csv(spark, folder, sep=",")
+
+
 @query(
     "csv_ragged",
     # Every third line is one field short, every seventh one too long: the short ones stay, the long ones go.
@@ -736,15 +747,21 @@ def _(spark, sf):
 
 @query(
     "workbook_text",
-    "select cast(doc_id as varchar) as doc_id, text from (select doc_id, unnest(string_split(text, E'\\n')) as text from documents) where length(text) <= 32767 and text <> ''",
+    "select cast(doc_id as varchar) as doc_id, text from (select doc_id, unnest(string_split(text, E'\\n')) as text from documents)",
 )
 def _(spark, sf):
-    # Lines of documents: every one fits a cell, whatever its characters.
+    # Lines of documents; one that is too long for a cell goes in numbered parts. Two UTF-16 units a character fit.
+    size = 16_000
     folder = new_dataset_path(spark, "documents-xlsx")
-    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    lines = lines.where((F.length("text") <= 32767) & (F.col("text") != ""))
-    workbook_sink.write_workbooks(lines.repartition(8), folder)
-    return workbook.read_sheet(spark, folder, na_tokens=None)
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    last = F.greatest(F.ceil(F.length("text") / size) - 1, F.lit(0)).cast("int")
+    cells = lines.select("doc_id", "line", F.explode(F.sequence(F.lit(0), last)).alias("part"), "text")
+    cells = cells.withColumn("text", F.col("text").substr(F.col("part") * size + 1, F.lit(size)))
+    workbook_sink.write_workbooks(cells, folder)
+    back = workbook.unite_sheets(spark, folder)
+    parts = F.sort_array(F.collect_list(F.struct(F.col("part").cast("int").alias("part"), F.coalesce("text", F.lit("")).alias("text"))))
+    joined = back.groupBy("doc_id", "line").agg(parts.alias("parts"))
+    return joined.select("doc_id", F.array_join(F.col("parts.text"), "").alias("text"))
 
 
 @query("sheet_catalog", "select distinct 'Customers' as sheet, 0 as position from customer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,7 +16,10 @@ from pyspark.sql.types import StructType
 
 from gridloom.functions.names import col
 from gridloom.sinks.xlsx_writer import MAX_ROWS, WorkbookWriter, check_sheet_name
-from gridloom.sources.files import _store, delete_output, open_output, qualified
+from gridloom.sources.files import _store, open_output, qualified
+
+#: Workbooks moved into place at once.
+MOVES = 16
 
 
 @dataclass
@@ -72,15 +76,22 @@ class WorkbookSinkWriter(DataSourceArrowWriter):
         return WrittenWorkbook(staged, f"{self._folder}/part-{part:05d}-{self._job}.xlsx", total)
 
     def commit(self, messages) -> None:
-        for m in messages:
-            if m is not None and m.staged:
-                store, staged = _store(m.staged)
-                store.move(staged, _store(m.final)[1])
+        def publish(m: WrittenWorkbook) -> None:
+            store, staged = _store(m.staged)
+            store.move(staged, _store(m.final)[1])
+
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(publish, [m for m in messages if m is not None and m.staged]))
+        self._drop_staged()
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and m.staged:
-                delete_output(m.staged)
+        self._drop_staged()
+
+    def _drop_staged(self) -> None:
+        """Remove this job's staging folder, with what failed attempts left in it."""
+        store, folder = _store(f"{self._folder}/_staged-{self._job}")
+        if store.get_file_info(folder).type.name == "Directory":
+            store.delete_dir(folder)
 
 
 def _values(column: pa.Array) -> list:
