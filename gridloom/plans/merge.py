@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from gridloom.operators.dedup import ORD, dedup_by_key, deduplicate
 from gridloom.operators.predicates import Filter, apply_filters
 from gridloom.operators.union import union_exact, union_normalized
 from gridloom.sources.csv_files import read_csv_parts
+from gridloom.sources.files import list_files
 from gridloom.sources.workbook import read_sheet, unite_sheets
 
 Filters = Sequence[Filter | Mapping] | None
@@ -43,24 +45,32 @@ def merge_files(
     csvs = [i for i, p in enumerate(paths) if os.path.splitext(p)[1].lower() != ".xlsx"]
     books = [i for i, p in enumerate(paths) if i not in set(csvs)]
     ordered = with_order or bool(dedup_keys)
+    parts = read_csv_parts(spark, [paths[i] for i in csvs], with_order=ordered, **csv_options) if csvs else []
+    texts = [(csvs[f.arg], f.src) for part in parts for f in part.files]
+    held = Counter(books[f.arg] for f in list_files(spark, [paths[i] for i in books])) if books else Counter()
+    # Text files count on by the workbooks that come before them, from the first file behind each argument.
+    behind = [(min((src for i, src in texts if i > b), default=None), held[b]) for b in books]
+    steps = [(at, n) for at, n in behind if at is not None]
     frames = []
-    if csvs:
-        places = csvs if books else None
-        for part in read_csv_parts(spark, [paths[i] for i in csvs], with_order=ordered, **csv_options):
-            frames.append((min(f.src for f in part.files), _in_list(part.frame, places)))
-    for i in books:
-        frames.append((i, _in_list(read_sheet(spark, paths[i], with_order=ordered), [i])))
+    for part in parts:
+        first = min(f.src for f in part.files)
+        frames.append((first + sum(n for at, n in steps if first >= at), _counted_on(part.frame, steps)))
+    for b in books:
+        before = max((src + 1 for i, src in texts if i < b), default=0) + sum(held[i] for i in books if i < b)
+        frames.append((before, _counted_on(read_sheet(spark, paths[b], with_order=ordered), [(0, before)])))
     merged = merge_tables([f for _, f in sorted(frames, key=lambda x: x[0])], filters, dedup_keys, keep=keep)
     return merged if with_order else merged.drop(ORD)
 
 
-def _in_list(frame: DataFrame, places: Sequence[int] | None) -> DataFrame:
-    """``_ord.src`` counted in the caller's list, when another kind of file sits in between."""
-    if places is None or ORD not in frame.columns:
+def _counted_on(frame: DataFrame, steps: Sequence[tuple[int, int]]) -> DataFrame:
+    """``_ord.src`` raised by ``n`` from ``at`` on, for each of ``steps``."""
+    if not steps or ORD not in frame.columns:
         return frame
     order = col(ORD)
-    src = F.get(F.array(*[F.lit(p) for p in places]), F.least(order["src"], F.lit(len(places) - 1)))
-    return frame.withColumn(ORD, F.struct(src.alias("src"), order["block"].alias("block"), order["seq"].alias("seq")))
+    src = order["src"]
+    for at, n in steps:
+        src = src + F.when(order["src"] >= at, n).otherwise(0)
+    return frame.withColumn(ORD, F.struct(src.cast("int").alias("src"), order["block"].alias("block"), order["seq"].alias("seq")))
 
 
 def merge_sheets(

@@ -231,3 +231,23 @@ def test_exact_profile_of_an_empty_table(spark):
 
     got = profile(spark.createDataFrame([], "a string, b int"), distinct="exact").orderBy("ordinal").collect()
     assert [(r.column, r.n_rows, r.non_null, r.n_distinct, r.longest) for r in got] == [("a", 0, 0, 0, 0), ("b", 0, 0, 0, 0)]
+
+
+def test_merge_keeps_the_callers_order_of_mixed_sources(spark, tmp_path):
+    from gridloom.sinks.workbook import write_workbooks
+
+    folder = tmp_path / "dir"
+    folder.mkdir()
+    for i in range(3):
+        put(folder, f"f{i}.csv", f"k,v\nsame,d{i}\nd{i},x\n")
+    write_workbooks(spark.createDataFrame([("same", "book"), ("b", "x")], "k string, v string").coalesce(1), str(tmp_path / "books"))
+    assert [p.name[:5] for p in (tmp_path / "books").iterdir() if p.name[0] not in "._"] == ["part-"]
+    assert not list((tmp_path / "books").glob("_staged*"))
+    paths = [str(folder), str(tmp_path / "books" / "*.xlsx"), put(tmp_path, "z.csv", "k,v\nsame,z\nz,x\n")]
+    ordered = merge.merge_files(spark, paths, with_order=True).orderBy("_ord").collect()
+    assert [r._ord.src for r in ordered] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    assert [r.v for r in ordered if r.k == "same"] == ["d0", "d1", "d2", "book", "z"]
+    for given, keep, kept in ((paths, "last", "z"), (paths[1:], "first", "book")):
+        merged = merge.merge_files(spark, given, dedup_keys=["k"], keep=keep)
+        # Keys of kept rows come in their normal form, in capitals.
+        assert merged.where("k = 'SAME'").first().v == kept
