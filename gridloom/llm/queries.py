@@ -60,8 +60,8 @@ def _(spark, sf):
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
-    ids = table(spark, sf, "documents").select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids"))
-    coded = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), vocabulary).alias("decoded"))
+    coded = table(spark, sf, "documents").select("doc_id", bpe.encode_and_decode(F.col("text"), vocabulary).alias("coded"))
+    coded = coded.select("doc_id", "coded.*")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

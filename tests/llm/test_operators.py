@@ -211,7 +211,11 @@ def test_tokens_match_the_library(docs, none):
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.ids, r.back) == (ids, library.decode(ids, skip_special_tokens=False))
+    both = docs.select("doc_id", "text", bpe.encode_and_decode(F.col("text"), vocabulary).alias("coded"))
+    both = both.select("doc_id", "text", "coded.ids", F.col("coded.decoded").alias("back")).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, got))
     assert none.select(bpe.encode(F.col("text"), vocabulary).alias("ids")).count() == 0
+    assert none.select(bpe.encode_and_decode(F.col("text"), vocabulary).alias("coded")).count() == 0
 
 
 def test_backtracking_agrees_with_the_library_on_odd_texts():
