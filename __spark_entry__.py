@@ -274,31 +274,40 @@ def _(spark, sf):
 
 # --- profile, counters, head --------------------------------------------------
 
-_PROFILE_SQL = " union all ".join(
-    f"select {i} as ordinal, '{c}' as \"column\", '{t}' as type, count(*) as n_rows, count({c}) as non_null,"
-    f" count(distinct {c}) as n_distinct, cast(max(length({c})) as int) as longest,"
-    f" cast(least(50, greatest(5, max(length({c})))) as int) as width from part"
-    for i, c, t in [(2, "p_name", "string"), (3, "p_brand", "string"), (4, "p_type", "string")]
-)
+_PART_TYPES = [
+    ("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"),
+]
+
+
+def _profile_sql(all_text: bool) -> str:
+    return " union all ".join(
+        f"select {i} as ordinal, '{c}' as \"column\", '{'string' if all_text else t}' as type, count(*) as n_rows, count({c}) as non_null,"
+        f" count(distinct {c}) as n_distinct, cast(max(length({c}::varchar)) as int) as longest,"
+        f" cast(least(50, greatest(5, max(length({c}::varchar)))) as int) as width from part"
+        for i, (c, t) in enumerate(_PART_TYPES, 1)
+    )
 
 
-@query("profile", _PROFILE_SQL)
+@query("profile", _profile_sql(False))
 def _(spark, sf):
-    return profile.profile(table(spark, sf, "part"), ["p_name", "p_brand", "p_type"], distinct="exact")
+    return profile.profile(table(spark, sf, "part"), distinct="exact")
 
 
 @query(
     "profile_approx",
     " union all ".join(
         f"select {i} as ordinal, '{c}' as \"column\", count(*) as n_rows, count({c}) as non_null,"
-        f" cast(max(length({c})) as int) as longest from documents"
-        for i, c in [(2, "text"), (3, "lang"), (4, "source")]
+        f" cast(max(length({c}::varchar)) as int) as longest, true as distinct_is_near from documents"
+        for i, c in [(1, "doc_id"), (2, "text"), (3, "lang"), (4, "source"), (5, "n_chars")]
     ),
 )
 def _(spark, sf):
-    # The sketch-based distinct count is left out of the comparison; the rest is exact.
-    out = profile.profile(table(spark, sf, "documents"), ["text", "lang", "source"])
-    return out.select("ordinal", "column", "n_rows", "non_null", "longest")
+    # The distinct counts come from sketches; they are held against the exact ones, within three times the sketch's error of 5 %.
+    docs = table(spark, sf, "documents")
+    exact = profile.profile(docs, distinct="exact").select("column", F.col("n_distinct").alias("exact"))
+    out = profile.profile(docs).join(exact, "column")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.15 * F.col("exact")
+    return out.select("ordinal", "column", "n_rows", "non_null", "longest", near.alias("distinct_is_near"))
 
 
 @query("head", "select * from customer order by c_custkey limit 10")
@@ -401,6 +410,13 @@ def _(spark, sf):
     return columns.select_columns(table(spark, sf, "orders"), "O_Orderkey, orderdate")
 
 
+@query("select_positions", "select o_totalprice, o_orderkey from orders")
+def _(spark, sf):
+    # Names, letters and ranges as positions; what no column answers to is passed over.
+    orders = table(spark, sf, "orders")
+    return orders.select(*[F.col(orders.columns[i]) for i in columns.resolve_positions(orders.columns, "totalprice,nothing,o_orderkey")])
+
+
 @query("reindex", "select s_name, cast(null as varchar) as phone, s_suppkey as id from supplier")
 def _(spark, sf):
     renamed = columns.rename_column(table(spark, sf, "supplier"), "A", "id")
@@ -779,6 +795,40 @@ def _(spark, sf):
     return united.select("c_name", numbers.to_numeric(F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment", "s_suppkey")
 
 
+def _orders_book(spark, sf):
+    """One sheet for each order status, in workbooks of one task each."""
+    folder = new_dataset_path(spark, "orders-status-xlsx")
+    orders = table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", "o_custkey")
+    sheet_sink.export_sheets(split_sheets(orders, "o_orderstatus", order_by="o_orderkey"), folder, "workbook")
+    return folder
+
+
+@query("sheet_selection", "select o_orderstatus as sheet, o_orderkey::varchar as o_orderkey, o_custkey::varchar as o_custkey from orders where o_orderstatus in ('F', 'P')")
+def _(spark, sf):
+    chosen = workbook.unite_sheets(spark, _orders_book(spark, sf), "P, F", on_missing="ignore", with_sheet=True)
+    return chosen.select(F.col("_sheet").alias("sheet"), "o_orderkey", "o_custkey")
+
+
+@query("own_sheets_skipped", "select s_name as c_name from supplier")
+def _(spark, sf):
+    # An earlier run's sheets lie beside the inputs, under its name and its numbered name.
+    own = table(spark, sf, "customer").select("c_name")
+    paths = [_supplier_book(spark, sf)]
+    for name in ("Unique", "UNIQUE (2)"):
+        paths.append(new_dataset_path(spark, "own-xlsx"))
+        workbook_sink.write_workbooks(own, paths[-1], name)
+    return merge.unify_unique(spark, paths, [" C-NAME "]).select(F.col("` C-NAME `").alias("c_name"))
+
+
+@query("workbook_not_a_number", "select c_custkey::varchar as c_custkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal from customer")
+def _(spark, sf):
+    # What is no number is an empty cell, like NULL.
+    folder = new_dataset_path(spark, "customer-nan-xlsx")
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).otherwise(F.lit(float("nan")))
+    workbook_sink.write_workbooks(table(spark, sf, "customer").select("c_custkey", balance.alias("c_acctbal")), folder)
+    return workbook.read_sheet(spark, folder).withColumn("c_acctbal", numbers.to_numeric(F.col("c_acctbal")))
+
+
 @query(
     "merge_sheets",
     "select upper(c_name) as c_name, c_acctbal from (select c_name, c_acctbal from customer union all select s_name, s_acctbal from supplier)"
@@ -889,20 +939,48 @@ def _(spark, sf):
     )
 
 
+_SUMMARY_SHEET = (
+    "with f as (select upper(p_brand) as a, count(*) as cnt from part group by 1),"
+    " t as (select * from (values (0, 'part — p_brand'), (1, 'ЗАГАЛОМ — підсумок')) as v(block_no, title)),"
+    # Overall, a value counts the sheets it is in: one.
+    " rows as (select block_no, 2 as part, a, cast(if(block_no=0, cnt, 1) as varchar) as b, if(block_no=0, cnt, 1) as cnt from f, t"
+    " union all select block_no, 0, title, null, null from t union all select block_no, 1, 'p_brand', 'КІЛЬКІСТЬ', null from t"
+    " union all select block_no, 3, null, null, null from t) "
+)
+
+
+@query("summary_sheet", _SUMMARY_SHEET + "select * from rows")
+def _(spark, sf):
+    summary = group_summary.group_summary({"part": table(spark, sf, "part")}, "p_brand")
+    return group_summary.stack_blocks(summary, "p_brand")
+
+
 @query(
-    "summary_sheet",
-    "with f as (select upper(p_brand) as a, count(*) as cnt from part group by 1)"
-    " select 0 as block_no, 2 as part, a, cast(cnt as varchar) as b, cnt from f union all select 0, 0, 'part — p_brand', null, null"
-    " union all select 0, 1, 'p_brand', 'КІЛЬКІСТЬ', null union all select 0, 3, null, null, null",
+    "summary_sheet_widths",
+    _SUMMARY_SHEET + "select cast(least(60, greatest(12, max(length(a)) + 2)) as int) as a,"
+    " cast(least(60, greatest(12, max(length(b)) + 2)) as int) as b from rows",
 )
 def _(spark, sf):
     summary = group_summary.group_summary({"part": table(spark, sf, "part")}, "p_brand")
-    return group_summary.stack_blocks(summary.where(F.col("block_no") == 0), "p_brand")
+    return group_summary.block_widths(group_summary.stack_blocks(summary, "p_brand"))
+
+
+@query(
+    "group_summary_filters_by_sheet",
+    "with c as (select 0 as block_no, 'customer — C' as block, c_nationkey::varchar as value, count(*) as cnt from customer where c_acctbal >= 0 group by 3"
+    " union all select 1, 'supplier — C', s_nationkey::varchar, count(*) from supplier group by 3)"
+    " select * from c union all select 2, 'ЗАГАЛОМ — підсумок', value, count(*) from c group by value",
+)
+def _(spark, sf):
+    # Only the customers are filtered: a dict names the filters of each sheet.
+    sheets = {n: table(spark, sf, n) for n in ("customer", "supplier")}
+    spec = {"customer": [{"type": 5, "col_token": "acctbal", "num_min": 0, "num_max": 1e9}]}
+    return group_summary.group_summary(sheets, "C", filters=spec)
 
 
 def _parts_csv(spark, sf):
     folder = new_dataset_path(spark, "part-csv")
-    csv_sink.write_csv(table(spark, sf, "part"), folder)
+    csv_sink.write_csv(table(spark, sf, "part").orderBy("p_partkey"), folder)
     return f"{folder}/*.csv"
 
 
@@ -922,16 +1000,47 @@ def _(spark, sf):
     return file_jobs.unique_of_file(spark, _parts_csv(spark, sf), "type")
 
 
-@query("dedup_file", "select upper(p_brand) as p_brand, upper(p_type) as p_type, count(*) as n from (select distinct p_brand, p_type from part) group by all")
+@query(
+    "dedup_file",
+    "select p_partkey::varchar as p_partkey, p_name, upper(trim(p_brand)) as p_brand, upper(trim(p_type)) as p_type, p_size::varchar as p_size,"
+    " p_retailprice::varchar as p_retailprice from part"
+    " qualify row_number() over (partition by upper(trim(p_brand)), upper(trim(p_type)) order by part.p_partkey) = 1",
+)
+def _(spark, sf):
+    return file_jobs.dedup_file(spark, _parts_csv(spark, sf), ["p_brand", "p_type"])
+
+
+@query("profile_file", _profile_sql(True))
+def _(spark, sf):
+    return file_jobs.profile_file(spark, _parts_csv(spark, sf), distinct="exact")
+
+
+_PARTS_TEXT = "select " + ", ".join(f"{c}::varchar as {c}" for c, _t in _PART_TYPES) + " from part"
+
+
+@query("preview_file", _PARTS_TEXT + " order by part.p_partkey limit 20")
+def _(spark, sf):
+    return file_jobs.preview_file(spark, _parts_csv(spark, sf))
+
+
+@query("convert_csv_workbook_csv", _PARTS_TEXT)
 def _(spark, sf):
-    unique = file_jobs.dedup_file(spark, _parts_csv(spark, sf), ["p_brand", "p_type"])
-    return unique.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    book, back = new_dataset_path(spark, "part-xlsx"), new_dataset_path(spark, "part-csv-again")
+    workbook_sink.csv_to_workbook(spark, _parts_csv(spark, sf), book)
+    workbook_sink.workbook_to_csv(spark, book, back, sep=";")
+    return csv_files.read_csv(spark, back)
 
 
-@query("profile_file", "select 'p_name' as \"column\", count(*) as n_rows, count(p_name) as non_null, count(distinct p_name) as n_distinct from part")
+@query("parts_of_kept_rows", "select year(o_orderdate)::varchar as yr, count(*) as n from orders where year(o_orderdate) in (1995, 1997) group by 1")
 def _(spark, sf):
-    out = file_jobs.profile_file(spark, _parts_csv(spark, sf), distinct="exact")
-    return out.where(F.col("column") == "p_name").select("column", "n_rows", "non_null", "n_distinct")
+    # A source of which nothing is kept leaves no part behind: years are told from the folders written.
+    paths, years = _year_files(spark, sf, "orders-sources")
+    kept = apply_filters(yearly.yearly_rows(spark, paths, None, years), [{"mode": "6", "column": "_year", "pattern": "^199[57]$"}])
+    folder = new_dataset_path(spark, "orders-kept")
+    csv_sink.write_csv(kept.drop("_ord"), folder, partition_by=["_year"])
+    found = csv_files.read_csv(spark, f"{folder}/*/*.csv", with_file=True)
+    year = F.regexp_extract("_file", "_year=([0-9]+)", 1)
+    return found.groupBy(year.alias("yr")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -65,8 +65,3 @@ def norm_key(
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
-
-
-def display_value(c: Column, is_float: bool = False) -> Column:
-    """Value as a sheet shows it: not-a-number is an empty cell, like NULL."""
-    return F.when(~F.isnan(c), c) if is_float else c

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.columns import resolve_column, resolve_columns
 from gridloom.operators.dedup import ORD, dedup_raw
 from gridloom.operators.predicates import apply_filters, filters_for, letters_of
+from gridloom.operators.profile import display_width
 from gridloom.operators.summarize import stack_columns
 
 # Titles of the block over all sheets, and the count column's header.
@@ -98,3 +99,9 @@ def stack_blocks(summary: DataFrame, value_title: str, count_title: str = COUNT_
         "block_no", F.inline(F.array(*[F.struct(F.lit(n).alias("part"), a.alias("a"), b.alias("b")) for n, a, b in lines]))
     ).withColumn("cnt", F.lit(None).cast("long"))
     return values.unionByName(frame)
+
+
+def block_widths(stacked: DataFrame) -> DataFrame:
+    """One row ``(a, b)``: the widths of the summary sheet's two columns."""
+    widths = [display_width(F.coalesce(F.max(F.length(c)), F.lit(0)), summary=True).cast("int").alias(c) for c in ("a", "b")]
+    return stacked.agg(*widths)
