@@ -621,19 +621,31 @@ def _(spark, sf):
     " case when l_orderkey % 3 <> 0 then l_returnflag end as l_returnflag from lineitem where l_orderkey % 7 <> 0 or l_orderkey % 3 = 0",
 )
 def _(spark, sf):
+    return csv_files.read_csv(spark, _ragged_lines(spark, sf), sep=",")
+
+
+@query(
+    "csv_dropped_lines",
+    "select l_orderkey || ',' || l_linenumber || ',' || l_returnflag || ',' as value, 4 as n_fields from lineitem"
+    " where l_orderkey % 7 = 0 and l_orderkey % 3 <> 0",
+)
+def _(spark, sf):
+    return csv_files.dropped_lines(spark, _ragged_lines(spark, sf), sep=",").select("value", "n_fields")
+
+
+def _ragged_lines(spark, sf):
     folder = new_dataset_path(spark, "lineitem-ragged")
     key = F.col("l_orderkey")
     rest = F.when(key % 3 == 0, "").when(key % 7 == 0, F.concat(F.lit(","), "l_returnflag", F.lit(","))).otherwise(
         F.concat(F.lit(","), "l_returnflag")
     )
     lines = table(spark, sf, "lineitem").select(F.concat_ws(",", key.cast("string"), F.concat("l_linenumber", rest)).alias("value"))
-    header = spark.createDataFrame([("l_orderkey,l_linenumber,l_returnflag",)], "value string")
     # One file per task, each with its header line first.
     parts = lines.withColumn("p", F.spark_partition_id())
-    heads = parts.select("p").distinct().crossJoin(F.broadcast(header)).withColumn("o", F.lit(0))
+    heads = parts.select("p").distinct().select(F.lit("l_orderkey,l_linenumber,l_returnflag").alias("value"), "p", F.lit(0).alias("o"))
     both = parts.withColumn("o", F.lit(1)).unionByName(heads)
     both.repartition("p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(folder)
-    return csv_files.read_csv(spark, folder, sep=",")
+    return folder
 
 
 @query("csv_cp1251", "select 'Країна ' || n_name as \"назва\", cast(n_nationkey as varchar) as \"код\" from nation")

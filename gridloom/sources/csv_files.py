@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,10 +160,35 @@ def _with_file_fact(frame: DataFrame, facts: Mapping[int, object], name: str, dt
     return placed.select(*[col(c) for c in frame.columns], name)
 
 
-def _read_exact(
-    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]],
-    na_tokens: Sequence[str] | None, ordered: bool,
+def dropped_lines(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, sep: str | None = None
 ) -> DataFrame:
+    """``(file, n_fields, value)`` of every record that :func:`read_csv` drops: it has more fields than its file's header.
+
+    The same scan with the test turned round, so the two together hold every record that is not blank.
+    """
+    pin_splits(spark)
+    groups: dict[Layout, list[tuple[InputFile, str]]] = {}
+    for f, layout, first in detect(spark, paths, encoding, sep):
+        if layout.header:
+            groups.setdefault(layout, []).append((f, first))
+    frames = []
+    for layout, members in groups.items():
+        firsts = {f.path: first for f, first in members}
+        for portion in scan_groups(spark, [f for f, _ in members]):
+            rows, fits = _records(spark, layout, [(f, firsts[f.path]) for f in portion], True)
+            wide = rows.where(F.size(fits) == 0).withColumn(ORD, F.struct("src", "block", "seq"))
+            wide = _with_file_fact(wide, {f.src: f.path for f in portion}, "file", "string")
+            frames.append(wide.select("file", field_count(F.col("value"), layout.sep).cast("int").alias("n_fields"), "value"))
+    if not frames:
+        return spark.createDataFrame([], "file string, n_fields int, value string")
+    return reduce(DataFrame.union, frames)
+
+
+def _records(
+    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]], ordered: bool
+) -> tuple[DataFrame, Column]:
+    """Records that are not blank, and for each an array of its cells: one struct, or none where the record is ragged."""
     sep = layout.sep
 
     def blank(c: Column) -> Column:
@@ -174,15 +200,23 @@ def _read_exact(
         newline=layout.newline,
     )
     n = len(layout.header)
-    cells = [f"c{i}" for i in range(n)]
-    schema = ", ".join(f"{c} string" for c in [*cells, "_off"])
+    schema = ", ".join(f"{c} string" for c in [*(f"c{i}" for i in range(n)), "_off"])
     options = {"sep": sep, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_off"}
     record = F.from_csv("value", schema, options)
     # Records with another number of fields than the header come back marked; only their
     # fields are counted. inline() parses each record once for both the test and the cells.
     wanted = F.filter(F.array(record), lambda r: r["_off"].isNull() | (field_count(F.col("value"), sep) <= n))
+    return rows.where(~blank(F.col("value"))), wanted
+
+
+def _read_exact(
+    spark: SparkSession, layout: Layout, members: Sequence[tuple[InputFile, str]],
+    na_tokens: Sequence[str] | None, ordered: bool,
+) -> DataFrame:
+    rows, wanted = _records(spark, layout, members, ordered)
+    cells = [f"c{i}" for i in range(len(layout.header))]
     order = [F.struct("src", "block", "seq").alias(ORD)] if ordered else []
-    parsed = rows.where(~blank(F.col("value"))).select(*order, F.inline(wanted))
+    parsed = rows.select(*order, F.inline(wanted))
     names = [*unique_headers(layout.header), *([ORD] if ordered else [])]
     return parsed.select(*[null_tokens(F.col(c), na_tokens).alias(c) for c in cells], *([ORD] if ordered else [])).toDF(*names)
 
