@@ -568,6 +568,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "row_numbers_repeated",
+    "select l_returnflag, l_linenumber, min(rn) as first_rn, max(rn) as last_rn, count(distinct rn) as n from (select l_returnflag, l_linenumber,"
+    " row_number() over (partition by l_returnflag order by l_linenumber) as rn from lineitem) t group by 1,2",
+)
+def _(spark, sf):
+    # A few different rows, each thousands of times: the copies are numbered as runs.
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_linenumber")
+    return number_rows(lines, ["l_returnflag"], "l_linenumber", "rn").groupBy("l_returnflag", "l_linenumber").agg(
+        F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"), F.count_distinct("rn").alias("n")
+    )
+
+
 # --- files: each query writes its table as files and reads those back ----------
 
 

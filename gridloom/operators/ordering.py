@@ -16,7 +16,11 @@ ORD = "_ord"
 # Fixed value: data rows a sheet holds below its header.
 SHEET_ROWS = 1_048_575
 
+# Equal rows that are numbered, and written out again, at once.
+EQUAL_ROWS = 10_000
+
 _BUCKET = ["__b0", "__b1", "__b2"]
+_COPIES = "__copies"
 
 
 def _position(df: DataFrame, order_by: str) -> Column:
@@ -29,10 +33,15 @@ def _position(df: DataFrame, order_by: str) -> Column:
 
 
 def _by_quantiles(df: DataFrame, order_by: str, buckets: int) -> DataFrame:
-    """Buckets of nearly equal size along ``order_by``; a value too frequent for one bucket is cut further."""
+    """Buckets of nearly equal size along ``order_by``; a value too frequent for one bucket is cut further.
+
+    Where the frame has no ``_ord``, the rows of such values come once each, with the number of their copies
+    in ``__copies``: equal rows may take any of their numbers.
+    """
     position = _position(df, order_by)
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.approx_percentile(position, steps, max(10_000, 10 * buckets)).alias("cuts")).first().cuts or []
+    seen = df.agg(F.approx_percentile(position, steps, max(10_000, 10 * buckets)).alias("cuts"), F.count_if(position.isNull()).alias("nulls")).first()
+    cuts = seen.cuts or []
     hot = {a for a, b in zip(cuts, cuts[1:]) if a == b}
     edges = sorted({*cuts, *(math.nextafter(v, math.inf) for v in hot)} - {math.inf, -math.inf})
     placed = df.withColumn("__position", position)
@@ -43,6 +52,9 @@ def _by_quantiles(df: DataFrame, order_by: str, buckets: int) -> DataFrame:
         placed = bucketizer.transform(placed).withColumn(_BUCKET[0], F.coalesce(F.col(_BUCKET[0]).cast("int"), F.lit(len(edges) + 1)))
     else:
         placed = placed.withColumn(_BUCKET[0], F.lit(0))
+    none = F.lit(0).cast("long")
+    if not hot and not seen.nulls:
+        return placed.withColumns({_BUCKET[1]: none, _BUCKET[2]: none}).drop("__position")
     # NULL order values share the last bucket and are cut like a hot value.
     crowded = F.col("__position").isNull()
     if hot:
@@ -50,14 +62,37 @@ def _by_quantiles(df: DataFrame, order_by: str, buckets: int) -> DataFrame:
     if ORD in df.columns:
         finer = [col(ORD)["src"].cast("long"), col(ORD)["block"]]
     else:
-        content = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        finer = [F.pmod(F.xxhash64(*content), F.lit(buckets)), F.lit(0).cast("long")]
+        content = [col(f.name) for f in df.schema.fields if _comparable(f.dataType)]
+        finer = [F.pmod(F.xxhash64(*content), F.lit(buckets)) if content else none, none]
+        if len(content) == len(df.columns):
+            calm = placed.where(~crowded).withColumns({_BUCKET[1]: none, _BUCKET[2]: none, _COPIES: F.lit(1).cast("long")})
+            return calm.drop("__position").unionByName(_equal_rows(placed.where(crowded), df.schema.fields, finer[0]))
     return placed.withColumns({
-        _BUCKET[1]: F.when(crowded, finer[0]).otherwise(F.lit(0).cast("long")),
-        _BUCKET[2]: F.when(crowded, finer[1]).otherwise(F.lit(0).cast("long")),
+        _BUCKET[1]: F.when(crowded, finer[0]).otherwise(none), _BUCKET[2]: F.when(crowded, finer[1]).otherwise(none),
     }).drop("__position")
 
 
+def _comparable(dtype: T.DataType) -> bool:
+    """Rows can be grouped by such a column."""
+    if isinstance(dtype, T.ArrayType):
+        return _comparable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_comparable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def _equal_rows(rows: DataFrame, fields: Sequence[T.StructField], finer: Column) -> DataFrame:
+    """Each different row once for every ``EQUAL_ROWS`` of its copies. Copies are counted before they are shuffled."""
+    # Grouping makes one zero of the two there are; their texts differ.
+    keys = [(col(f.name).cast("string") if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name)).alias(f"__k{i}")
+            for i, f in enumerate(fields)]
+    kept = [F.first(col(f.name)).alias(f.name) for f in fields]
+    counted = rows.groupBy(*keys).agg(*kept, F.first(_BUCKET[0]).alias(_BUCKET[0]), F.count(F.lit(1)).alias("__n"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / EQUAL_ROWS).cast("long")))
+    cut = counted.select(*[col(f.name) for f in fields], _BUCKET[0], finer.cast("long").alias(_BUCKET[1]), runs.alias(_BUCKET[2]), "__n")
+    return cut.withColumn(_COPIES, F.least(F.lit(EQUAL_ROWS).cast("long"), F.col("__n") - F.col(_BUCKET[2]) * EQUAL_ROWS)).drop("__n")
+
+
 def number_rows(
     df: DataFrame, group: Sequence[str], order_by: str | None = None, out: str = "_rn", buckets: int | None = None
 ) -> DataFrame:
@@ -67,7 +102,8 @@ def number_rows(
     column), buckets are counted, and a row's number is its bucket's offset plus its
     place in the bucket. So a group may hold any share of the rows: only its bucket
     counts meet in one task. Ties of ``order_by`` follow ``_ord`` where the frame has
-    it, else row content.
+    it, else row content; equal rows of a frequent value are counted, numbered as runs and
+    written out again by many tasks.
     """
     if order_by in (None, ORD):
         if ORD not in df.columns:
@@ -82,7 +118,8 @@ def number_rows(
         inner = [col(order_by).asc_nulls_last(), *([col(ORD)] if ORD in df.columns else [])]
 
     groups = [col(g) for g in group]
-    counted = keyed.groupBy(*groups, *_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    many = _COPIES in keyed.columns
+    counted = keyed.groupBy(*groups, *_BUCKET).agg((F.sum(_COPIES) if many else F.count(F.lit(1))).alias("__n"))
     before = Window.partitionBy(*groups).orderBy(*_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     # Null-safe on the group; names are made distinct so that both sides can be told apart.
@@ -91,11 +128,16 @@ def number_rows(
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    local = F.row_number().over(Window.partitionBy(*groups, *_BUCKET).orderBy(*inner))
+    in_bucket = Window.partitionBy(*groups, *_BUCKET).orderBy(*inner)
+    passed = F.coalesce(F.sum(_COPIES).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if many else None
+    local = passed + 1 if many else F.row_number().over(in_bucket)
     numbered = keyed.withColumn("__local", local).join(right, condition, "left")
     # Every bucket was counted; should an input split be cut otherwise in this pass, fail rather than misnumber.
     offset = F.coalesce("__offset", F.raise_error(F.lit("input splits changed between two passes")).cast("long"))
-    return numbered.select(*[col(c) for c in df.columns], (offset + F.col("__local")).alias(out))
+    number = offset + F.col("__local")
+    if many:
+        number = F.explode(F.sequence(number, number + F.col(_COPIES) - 1))
+    return numbered.select(*[col(c) for c in df.columns], number.alias(out))
 
 
 def sheet_name(group: Column, number: Column) -> Column:

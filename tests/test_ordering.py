@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import ordering
 from gridloom.operators.ordering import number_rows, split_sheets
 from gridloom.sources.csv_files import read_csv
 
@@ -34,6 +35,18 @@ def test_numbers_match_a_plain_window(spark, parts):
     assert sorted(r[2] for r in got) == list(range(500))
 
 
+def test_equal_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "EQUAL_ROWS", 7)
+    data = [("a", 1.0, 0.0)] * 60 + [("a", 1.0, -0.0)] * 15 + [("a", 2.0, 1.0), ("b", 1.0, 0.0), ("a", 0.5, 3.0)] + [("a", None, None)] * 20
+    df = spark.createDataFrame(data, "g string, v double, w double").repartition(3)
+    assert ordering._by_quantiles(df, "v", 8).agg(F.max("__copies")).first()[0] == 7
+    got = [tuple(r) for r in number_rows(df, ["g"], "v", buckets=8).collect()]
+    assert sorted(map(repr, (r[:3] for r in got))) == sorted(map(repr, data))
+    mine = sorted((r for r in got if r[0] == "a"), key=lambda r: r[3])
+    assert [r[3] for r in mine] == list(range(1, 98))
+    assert [r[1] for r in mine] == [0.5] + [1.0] * 75 + [2.0] + [None] * 20
+
+
 def test_text_order_is_refused(spark):
     with pytest.raises(ValueError):
         number_rows(spark.createDataFrame([("a", "b")], "g string, v string"), ["g"], "v")
