@@ -36,7 +36,7 @@ MEMORY = 400_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("sure", DoubleType())])
 
 
 def features(word: str) -> list[int]:
@@ -152,16 +152,19 @@ class Labeller:
             self._ids[word] = len(self._evidence)
             self._evidence.append(self._model.weights[features(word)].sum(axis=0))
 
-    def labels(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def labels(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its mean, and the mean of each word's best label, whichever language it is."""
+        names, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         rows, held = [], []
         size = 0
 
         def settle():
-            means = self._means(held)
-            for row, mean in zip(rows, means):
+            marginals, length = self._marginals(held)
+            means, bests = _by_text(marginals, length), _by_text(marginals.max(axis=1, keepdims=True), length)[:, 0]
+            for row, mean, each in zip(rows, means, bests):
                 best = int(mean.argmax())
                 names[row], scores[row] = self._model.languages[best], float(min(1.0, max(0.0, mean[best])))
+                sure[row] = float(min(1.0, each))
 
         for row, text in enumerate(texts):
             if not text or not self._model.languages or not _has_letter(text):
@@ -174,10 +177,14 @@ class Labeller:
                 rows, held, size = [], [], 0
         if rows:
             settle()
-        return names, scores
+        return names, scores, sure
 
     def _means(self, texts: list[list[str]]) -> np.ndarray:
         """Mean marginals of each text."""
+        return _by_text(*self._marginals(texts))
+
+    def _marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, list[int]]:
+        """Marginals of every word of one text after another, and the words of each."""
         every = [w for words in texts for w in words]
         self._remember(every)
         known = self._ids
@@ -185,8 +192,11 @@ class Labeller:
         evidence = np.array([self._evidence[i] for i in used])
         length = [len(words) for words in texts]
         chains = np.array([min(CHAIN, n - i) for n in length for i in range(0, n, CHAIN)])
-        marginals = forward_backward(evidence, ids, chains, self._model.transitions)
-        return np.add.reduceat(marginals, np.cumsum(length) - length) / np.array(length)[:, None]
+        return forward_backward(evidence, ids, chains, self._model.transitions), length
+
+
+def _by_text(values: np.ndarray, length: list[int]) -> np.ndarray:
+    return np.add.reduceat(values, np.cumsum(length) - length) / np.array(length)[:, None]
 
 
 def _has_letter(text: str) -> bool:
@@ -220,13 +230,16 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
 
 
 def identify(text: Column, model: Model) -> Column:
-    """Struct (lang_pred, score) of whole texts: ``und`` and 0 for null, for texts without a letter, and where nothing was learned."""
+    """Struct (lang_pred, score, sure) of whole texts: ``und`` and 0 for null, for texts without a letter, and where nothing was learned.
+
+    ``score`` is the mean of lang_pred over the words; ``sure`` is that of each word's best label, so it is high in clean mixed texts too.
+    """
 
     @F.pandas_udf(RESULT)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model)
         for texts in batches:
-            names, scores = labeller.labels(list(texts))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores, sure = labeller.labels(list(texts))
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "sure": sure})
 
     return label(text)

@@ -73,3 +73,21 @@ def test_near_copies_at_five_word_jaccard_go(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
     assert got == want and len(want) < 0.6 * len(docs)
+
+
+def test_mixed_and_short_clean_texts_stay(spark):
+    rng = random.Random(9)
+    syllables = {"de": "sch ung lich ein ver keit", "en": "the ing tion ough ly wh", "fr": "eau oux que ais eur té", "sv": "ög sj ånd ska rå ngt"}
+    lexicon = {k: ["".join(rng.choices(v.split(), k=rng.randint(2, 3))) for _ in range(150)] for k, v in syllables.items()}
+    words = lambda lang, n: " ".join(rng.choices(lexicon[lang], k=n))
+    rows = [(i, words(lang, 60), lang) for i, lang in enumerate(list(syllables) * 40)]
+    mixed = [" ".join(words(x, 40) for x in langs) for size in (2, 3, 4) for langs in itertools.combinations(syllables, size)]
+    short = [words(x, 2) for x in syllables]
+    bad = [None, "", "12 34 !!"]
+    rows += [(1_000 + i, t, None) for i, t in enumerate(mixed + short + bad)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.language(spark, frame, "").collect()}
+    assert got == {i for i, t, _ in rows if t not in bad}
+    # Where nothing is learned, no language can be held against a text.
+    plain = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, plain, "").collect()} == got
