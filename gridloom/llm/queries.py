@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_tool_calls", tool_calls.SQL)
 def _(spark, sf):
     linked = tool_calls.link(tool_calls.as_messages(table(spark, sf, "conversations")), tool_calls.SCHEMAS)
-    return linked.withColumn("errors", F.array_join("errors", ";"))
+    # Every call here has an id; a plain turn after no assistant's turn is no result.
+    return linked.where("call_id is not null").withColumn("errors", F.array_join("errors", ";"))
 
 
 @query("op2_shards")

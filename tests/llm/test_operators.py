@@ -421,3 +421,26 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert any("circle" in got[2, c].errors for c in "pq") and "arguments are no object" in got[2, "p"].errors
     assert got[None, "n"].result_turn == 1 and got[None, "n"].canonical.endswith('"result":null}')
     assert tool_calls.link(frame.where("1 = 0"), tool_calls.SCHEMAS).count() == 0
+
+
+def test_repeated_ids_surplus_results_orphans_and_calls_without_id_stay(spark):
+    one = '{"tool_calls":[{"id":%s,"name":"note","arguments":{"text":"t","chars":%d},"after":[%s]}]}'
+    rows = [
+        (1, 0, "assistant", one % ('"x"', 1, "")), (1, 1, "tool", '{"tool_call_id":"x","content":"r1"}'),
+        (1, 2, "assistant", one % ('"x"', 2, '"x"')), (1, 3, "tool", '{"tool_call_id":"x","content":"r2"}'), (1, 4, "tool", '{"tool_call_id":"x","content":"r3"}'),
+        (1, 5, "assistant", one % ("null", 3, '"x"')), (1, 6, "assistant", one % ("null", 4, "")),
+        (1, 7, "tool", '{"tool_call_id":"nowhere","content":"r4"}'), (1, 8, "tool", "plain"),
+        (2, 0, "tool", '{"tool_call_id":"y","content":"early"}'), (2, 1, "assistant", one % ('"y"', 5, "")),
+        (3, 0, "assistant", one % ('"s"', 6, "")), (3, 0, "assistant", one % ('"s"', 6, "")),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = tool_calls.link(frame, tool_calls.SCHEMAS).collect()
+    told = sorted(((r.conv_id, r.turn, r.call_id, r.position, tuple(r.errors), r.result_turn) for r in got), key=str)
+    assert told == sorted([
+        (1, 0, "x", 0, (), 1), (1, 2, "x", 1, ("repeated id x",), 3), (1, 5, None, 2, ("call without id",), None), (1, 6, None, 3, ("call without id",), None),
+        (1, None, None, None, ("surplus result of x",), 4), (1, None, None, None, ("result without call nowhere",), 7),
+        (1, None, None, None, ("result without id",), 8), (2, None, None, None, ("result without call y",), 0), (2, 1, "y", 0, (), None),
+        (3, 0, "s", 0, (), None), (3, 0, "s", 1, ("repeated id s",), None),
+    ], key=str)
+    found = {r.result_turn: r.canonical for r in got if r.result_turn is not None and r.conv_id == 1}
+    assert '"result":"r2"' in found[3] and found[8] == '{"arguments":null,"id":null,"name":null,"result":"plain"}' and '"id":"x"' in found[4]
