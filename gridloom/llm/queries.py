@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blob_ledger, bpe, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, tool_calls, top_k
+from gridloom.llm import blob_ledger, bpe, fill_middle, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, tool_calls, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,11 @@ def _(spark, sf):
     rows, components = simhash_trie.near_duplicates(table(spark, sf, "documents"))
     fp = simhash_trie.as_hex(F.col("fp")).alias("fingerprint")
     return rows.join(components, "fp").select("doc_id", fp, "component_id")
+
+
+@query("op13_fill_middle", fill_middle.SQL)
+def _(spark, sf):
+    cut = fill_middle.transform(table(spark, sf, "documents"))
+    output = F.sha2("output", 256).alias("output_sha256")
+    restored = F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", output, restored)
