@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blob_ledger, bpe, fill_middle, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, tool_calls, top_k
+from gridloom.llm import blob_ledger, bpe, fill_middle, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, token_counts, tool_calls, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,16 @@ def _(spark, sf):
     return rows.join(components, "fp").select("doc_id", fp, "component_id")
 
 
+@query("op12_token_counts")
+def _(spark, sf):
+    import public_tokenizers
+
+    tokenizer = token_counts.Tokenizer.load(public_tokenizers.path("byte_bpe_50k.json"))
+    n_bytes, n_tokens = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), token_counts.token_count(F.col("text"), tokenizer)
+    counted = table(spark, sf, "documents").select("doc_id", n_bytes.alias("n_bytes"), n_tokens.alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 @query("op13_fill_middle", fill_middle.SQL)
 def _(spark, sf):
     cut = fill_middle.transform(table(spark, sf, "documents"))
