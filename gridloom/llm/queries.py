@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blob_ledger, bpe, fill_middle, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, token_counts, tool_calls, top_k
+from gridloom.llm import blob_ledger, bpe, fill_middle, hard_negatives, lang_crf, mixing, multi_index, shards, simhash_trie, suffix_dedup, token_counts, tool_calls, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,13 @@ def _(spark, sf):
     return rows.join(components, "fp").select("doc_id", fp, "component_id")
 
 
+@query("op11_hard_negatives", hard_negatives.SQL)
+def _(spark, sf):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives.mine(vectors, vec_id % 100 == 0)
+
+
 @query("op12_token_counts")
 def _(spark, sf):
     import public_tokenizers
