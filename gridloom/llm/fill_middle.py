@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Links of a lane that one link of the lane above passes.
 FAN = 16
@@ -22,7 +23,7 @@ FAN = 16
 PIECE = 4 << 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
-_CUTS = "n long, prefix_chars long, middle_chars long"
+_CUTS = StructType([StructField(name, LongType()) for name in ("n", "prefix_chars", "middle_chars")])
 
 
 def unit_widths(data: bytes | memoryview) -> np.ndarray:
@@ -80,8 +81,8 @@ def _cuts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa
             low, high = sorted((a % (units.size + 1), b % (units.size + 1)))
             first = units.points_before(low)
             found.append((units.size, first, units.points_before(high) - first))
-        names = ("n", "prefix_chars", "middle_chars")
-        yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), (), ()))], names=names)
+        columns = zip(*found) if found else ((), (), ())
+        yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], names=_CUTS.names)
 
 
 def draws(key: Column, seed: int) -> list[Column]:

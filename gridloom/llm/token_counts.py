@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from gridloom.llm.bpe import byte_letters
 
@@ -464,7 +465,7 @@ def token_count(text: Column, tokenizer: Tokenizer) -> Column:
     """
     machine = Transducer(tokenizer)
 
-    @F.arrow_udf("long")
+    @F.arrow_udf(LongType())
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(_counted(machine, batch), pa.int64())

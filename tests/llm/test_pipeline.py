@@ -29,7 +29,7 @@ def test_stages_keep_columns_and_decide(spark):
 
 
 def test_every_query_has_its_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def _shingles(text):
