@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blob_ledger, bpe, lang_crf, mixing, word_overlap
+from gridloom.llm import blob_ledger, bpe, lang_crf, mixing, simhash_trie
 from gridloom.llm.tables import stash
 
 #: Documents go whose words' best labels, of whichever languages, have a lower mean.
@@ -31,8 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five-word Jaccard 0.8 or more), the one of the smallest id."""
-    return word_overlap.one_of_each(docs)
+    """One document of each component of texts whose fingerprints of 3-word shingles link at 2 bits or fewer, the one of the smallest id.
+
+    Null and empty texts have fingerprint zero and link like any other; null ids come last. No rows give no rows.
+    """
+    return simhash_trie.one_of_each(docs, simhash_trie.BUDGET)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
