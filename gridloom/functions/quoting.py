@@ -76,24 +76,6 @@ def _without_quoted_fields(c: Column, sep: str) -> Column:
     return F.regexp_replace(_unpaired(c), f'(^|{re.escape(sep)})"[^"]*+"', "$1")
 
 
-def open_after(c: Column, sep: str) -> Column:
-    """Is a quoted field still open at the end of this line, when none was open at its start?
-
-    As CSV readers do, a quote opens a field only at the field's start, so the inch
-    mark in ``19" monitor`` opens nothing.
-    """
-    opens = _without_quoted_fields(c, sep).rlike(f'(?:^|{re.escape(sep)})"')
-    return F.when(F.contains(c, F.lit('"')), opens).otherwise(F.lit(False))
-
-
-def open_after_inside(c: Column, sep: str) -> Column:
-    """The same, when the line begins inside a quoted field."""
-    leave = '^[^"]*+"'
-    rest = F.regexp_replace(_unpaired(c), leave, "x")
-    leaves = F.contains(c, F.lit('"')) & _unpaired(c).rlike(leave)
-    return F.when(leaves, open_after(rest, sep)).otherwise(F.lit(True))
-
-
 def field_count(c: Column, sep: str) -> Column:
     """Number of fields in a complete CSV record."""
     bare = F.when(F.contains(c, F.lit('"')), _without_quoted_fields(c, sep)).otherwise(c)

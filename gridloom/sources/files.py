@@ -63,7 +63,7 @@ MAX_FILES, MAX_SPLITS = 100_000, 2_000_000
 
 def scan_groups(spark: SparkSession, files: Sequence[InputFile]) -> list[list[InputFile]]:
     """The files in portions one scan may take; one portion unless there are very many."""
-    split_bytes = _bytes_setting(spark, "spark.sql.files.maxPartitionBytes")
+    split_bytes = bytes_setting(spark, "spark.sql.files.maxPartitionBytes")
     groups: list[list[InputFile]] = [[]]
     splits = 0
     for f in files:
@@ -76,7 +76,7 @@ def scan_groups(spark: SparkSession, files: Sequence[InputFile]) -> list[list[In
     return groups
 
 
-def _bytes_setting(spark: SparkSession, name: str) -> int:
+def bytes_setting(spark: SparkSession, name: str) -> int:
     number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
     return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 

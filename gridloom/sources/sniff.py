@@ -6,6 +6,7 @@ import codecs
 import csv
 import io
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +84,19 @@ def first_dirty_record(text: str, sep: str, apostrophe_as_quote: bool) -> list[s
     return joined.split("￿")
 
 
-def _read_head(path: str, encoding: str | None, sep: str | None, dirty: bool, apostrophe: bool) -> tuple:
+class Head(NamedTuple):
+    """What the head of a file tells; fields as in :func:`sniff`."""
+
+    encoding: str
+    sep: str
+    bom: bool
+    header: list[str]
+    first_line: str
+    dirty_header: list[str] | None
+    newline: str
+
+
+def read_head(path: str, encoding: str | None, sep: str | None, dirty: bool = False, apostrophe: bool = False) -> Head:
     size = 64 * 1024
     with open_input(path) as f:
         head = f.read(size)
@@ -96,14 +109,14 @@ def _read_head(path: str, encoding: str | None, sep: str | None, dirty: bool, ap
                 break
             size *= 4
             head += f.read(size - len(head))
-    bom = text.startswith("﻿") or head.startswith(codecs.BOM_UTF8)
+    bom = text.startswith("\ufeff") or head.startswith(codecs.BOM_UTF8)
     # What ends the header record ends the others; CR LF counts as LF.
     newline = "\r" if text[:used].endswith("\r") else "\n"
     if not dirty:
-        return name, delimiter, bom, fields, first, None, newline
+        return Head(name, delimiter, bom, fields, first, None, newline)
     # Here a blank first line is a record too.
     first = text.splitlines()[0] if text else ""
-    return name, delimiter, bom, fields, first, first_dirty_record(text, delimiter, apostrophe), newline
+    return Head(name, delimiter, bom, fields, first, first_dirty_record(text, delimiter, apostrophe), newline)
 
 
 def sniff(
@@ -115,11 +128,9 @@ def sniff(
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [
-                (s, *_read_head(p, encoding, sep, dirty, apostrophe_as_quote)) for s, p in zip(batch["src"], batch["path"])
+                (s, *read_head(p, encoding, sep, dirty, apostrophe_as_quote)) for s, p in zip(batch["src"], batch["path"])
             ]
-            yield pd.DataFrame(
-                found, columns=["src", "encoding", "sep", "bom", "header", "first_line", "dirty_header", "newline"]
-            )
+            yield pd.DataFrame(found, columns=["src", *Head._fields])
 
     listed = spark.createDataFrame([(f.src, f.path) for f in files], "src int, path string")
     slots = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
