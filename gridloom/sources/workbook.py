@@ -1,15 +1,16 @@
 """Workbooks (.xlsx) as a Spark data source, and tables from their sheets.
 
-``spark.read.format("workbook")`` yields ``(file, sheet, position, row_no, cells)``
-with one input partition per sheet; a sheet cannot be split, and holds 1,048,576
-rows at most.
+``spark.read.format("workbook")`` yields ``(file, sheet, position, row_no, cells)``.
+A sheet is cut by the bytes of its XML, so several tasks read a large one.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -21,70 +22,94 @@ from gridloom.functions.names import canonical_headers, unique_headers
 from gridloom.operators.union import UnionSchema, union_schema
 from gridloom.sinks.workbook import WorkbookSinkWriter
 from gridloom.sources.csv_files import NA_TOKENS, ORD, null_tokens
-from gridloom.sources.files import list_files, open_input
+from gridloom.sources.files import InputFile, list_files, open_input
 from gridloom.sources.xlsx_cells import Workbook
 
 SCHEMA = "file string, sheet string, position int, row_no long, cells array<string>"
+_ROWS = pa.schema([
+    ("file", pa.string()), ("sheet", pa.string()), ("position", pa.int32()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())),
+])
 _BATCH_ROWS = 5_000
+#: Bytes of a sheet's XML that one task parses.
+PART = 32 << 20
 
 # Words that choose every sheet.
 ALL_SHEETS = ("all", "всі", "все", "*")
 
 
 class SheetPartition(InputPartition):
-    def __init__(self, file: str, sheet: str, position: int):
-        super().__init__((file, sheet, position))
-        self.file, self.sheet, self.position = file, sheet, position
+    """Rows of a sheet that start at bytes ``low`` to ``high`` of its XML."""
 
+    def __init__(self, file: str, sheet: str, position: int, low: int, high: int | None):
+        super().__init__((file, sheet, position, low))
+        self.file, self.sheet, self.position, self.low, self.high = file, sheet, position, low, high
 
-def _sheet_names(file: str) -> list[str]:
+
+@dataclass(frozen=True)
+class Sheet:
+    """A sheet, its place in its workbook, and the bytes of its XML."""
+
+    file: str
+    sheet: str
+    position: int
+    bytes: int
+
+    def parts(self, size: int) -> list[SheetPartition]:
+        lows = range(0, max(1, self.bytes), size)
+        return [SheetPartition(self.file, self.sheet, self.position, low, high) for low, high in zip(lows, [*lows[1:], None])]
+
+
+def _sheets_of(file: str) -> list[Sheet]:
     with open_input(file) as stream:
-        return list(Workbook(stream).sheets)
+        book = Workbook(stream)
+        return [Sheet(file, sheet, i, book.size(sheet)) for i, sheet in enumerate(book.sheets)]
+
+
+def _part_rows(part: SheetPartition, first_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    def batch(numbers: list[int], cells: list[list]) -> pa.RecordBatch:
+        n = len(numbers)
+        columns = [[part.file] * n, [part.sheet] * n, [part.position] * n, numbers, cells]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS)
+
+    numbers, cells = [], []
+    # Parsing makes millions of short-lived objects and no cycles; scanning for cycles
+    # would take longer than the parsing.
+    gc.disable()
+    try:
+        with open_input(part.file) as stream:
+            for number, row in Workbook(stream).rows(part.sheet, part.low, part.high):
+                if first_rows is not None and number > first_rows:
+                    break
+                numbers.append(number)
+                cells.append(row)
+                if len(numbers) == _BATCH_ROWS:
+                    yield batch(numbers, cells)
+                    numbers, cells = [], []
+        if numbers:
+            yield batch(numbers, cells)
+    finally:
+        gc.enable()
 
 
 class WorkbookReader(DataSourceReader):
+    """Reads the parts that option ``parts`` lists, or all sheets of ``files``, which are then opened here."""
+
     def __init__(self, options: dict):
-        self._files = options["files"].split("\n")
-        self._sheets = options["sheets"].split("\n") if "sheets" in options else None
         self._first_rows = int(options["rows"]) if "rows" in options else None
+        if "parts" in options:
+            self._parts = [SheetPartition(*p) for p in json.loads(options["parts"])]
+            return
+        files = options["files"].split("\n")
+        wanted = options["sheets"].split("\n") if "sheets" in options else None
+        with ThreadPoolExecutor(min(32, len(files))) as pool:
+            sheets = [s for found in pool.map(_sheets_of, files) for s in found if wanted is None or s.sheet in wanted]
+        self._parts = [p for s in sheets for p in s.parts(PART)]
 
     def partitions(self) -> Sequence[InputPartition]:
-        with ThreadPoolExecutor(min(32, len(self._files))) as pool:
-            names = list(pool.map(_sheet_names, self._files))
-        return [
-            SheetPartition(file, sheet, i) for file, sheets in zip(self._files, names) for i, sheet in enumerate(sheets)
-            if self._sheets is None or sheet in self._sheets
-        ]
+        return self._parts
 
     def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("file", pa.string()), ("sheet", pa.string()), ("position", pa.int32()), ("row_no", pa.int64()),
-            ("cells", pa.list_(pa.string())),
-        ])
-
-        def batch(numbers: list[int], cells: list[list]) -> pa.RecordBatch:
-            n = len(numbers)
-            columns = [[partition.file] * n, [partition.sheet] * n, [partition.position] * n, numbers, cells]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        numbers, cells = [], []
-        # Parsing makes millions of short-lived objects and no cycles; scanning for cycles
-        # would take longer than the parsing.
-        gc.disable()
-        try:
-            with open_input(partition.file) as stream:
-                for number, row in Workbook(stream).rows(partition.sheet):
-                    if self._first_rows is not None and number > self._first_rows:
-                        break
-                    numbers.append(number)
-                    cells.append(row)
-                    if len(numbers) == _BATCH_ROWS:
-                        yield batch(numbers, cells)
-                        numbers, cells = [], []
-            if numbers:
-                yield batch(numbers, cells)
-        finally:
-            gc.enable()
+        yield from _part_rows(partition, self._first_rows)
 
 
 class WorkbookSource(DataSource):
@@ -108,18 +133,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
-def sheet_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``(src, file, sheet, position)`` of every sheet; workbooks are opened in tasks."""
-    files = [f for f in list_files(spark, paths) if f.path.lower().endswith(".xlsx")]
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _catalog(spark: SparkSession, files: Sequence[tuple[int, str]]) -> DataFrame:
+    """``(src, file, sheet, position, bytes)`` of every sheet; workbooks are opened in tasks."""
+    def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(s, p, n, i) for s, p in zip(b["src"], b["file"]) for i, n in enumerate(_sheet_names(p))]
-            yield pd.DataFrame(found, columns=["src", "file", "sheet", "position"])
+            found = [(s, x.file, x.sheet, x.position, x.bytes) for s, p in zip(b["src"], b["file"]) for x in _sheets_of(p)]
+            yield pd.DataFrame(found, columns=["src", "file", "sheet", "position", "bytes"])
 
-    listed = spark.createDataFrame([(f.src, f.path) for f in files], "src int, file string")
+    listed = spark.createDataFrame(list(files), "src int, file string")
     slots = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    return listed.repartition(slots, "file").mapInPandas(names, "src int, file string, sheet string, position int")
+    return listed.repartition(slots, "file").mapInPandas(sheets, "src int, file string, sheet string, position int, bytes long")
+
+
+def _workbooks(spark: SparkSession, paths: str | Sequence[str]) -> list[InputFile]:
+    return [f for f in list_files(spark, paths) if f.path.lower().endswith(".xlsx")]
+
+
+def sheet_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(src, file, sheet, position)`` of every sheet."""
+    return _catalog(spark, [(f.src, f.path) for f in _workbooks(spark, paths)]).drop("bytes")
 
 
 def choose_sheets(names: Sequence[str], selection: str | Sequence[str] | None, on_missing: str = "error") -> list[str]:
@@ -148,31 +180,41 @@ def input_sheets(names: Sequence[str], base: str) -> list[str]:
 
 
 def read_cells(
-    spark: SparkSession, files: Sequence[str], sheets: Sequence[str] | None = None, rows: int | None = None
+    spark: SparkSession, files: Sequence[str], sheets: Sequence[str] | None = None, rows: int | None = None, part: int = PART
 ) -> DataFrame:
-    """Raw rows of sheets (all, or those named), the first ``rows`` of each where given."""
-    register(spark)
-    reader = spark.read.format("workbook").option("files", "\n".join(files))
+    """Raw rows of sheets (all, or those named), the first ``rows`` of each where given. Tasks look up the sheets, too."""
+    listed = _catalog(spark, list(enumerate(files)))
     if sheets is not None:
-        reader = reader.option("sheets", "\n".join(sheets))
+        listed = listed.where(F.col("sheet").isin(list(sheets)))
+    found = listed.orderBy("src", "position").collect()
+    return _read_parts(spark, [Sheet(r.file, r.sheet, r.position, r.bytes) for r in found], rows, part)
+
+
+def _read_parts(spark: SparkSession, sheets: Sequence[Sheet], rows: int | None = None, part: int = PART) -> DataFrame:
+    """One input partition for about ``part`` bytes of XML; first rows alone are read from a sheet's start."""
+    register(spark)
+    parts = [p for s in sheets for p in (s.parts(part) if rows is None else s.parts(part)[:1])]
+    listed = json.dumps([(p.file, p.sheet, p.position, p.low, None if rows is not None else p.high) for p in parts])
+    reader = spark.read.format("workbook").option("parts", listed)
     return (reader if rows is None else reader.option("rows", rows)).load()
 
 
 def sheet_headers(
     spark: SparkSession, paths: str | Sequence[str], sheets: str | Sequence[str] | None = None,
     base: str | None = None, on_missing: str = "error",
-) -> list[tuple[str, str, list[str]]]:
-    """``(file, sheet, header cells)`` in order; only first rows are read. ``base`` leaves own outputs out."""
-    files = [f.path for f in list_files(spark, paths) if f.path.lower().endswith(".xlsx")]
-    by_file: dict[str, list] = {f: [] for f in files}
-    for r in sheet_catalog(spark, paths).orderBy("src", "position").collect():
-        by_file[r.file].append(r.sheet)
+) -> list[tuple[Sheet, list[str]]]:
+    """Chosen sheets and their header cells, in order; only first rows are read. ``base`` leaves own outputs out."""
+    files = _workbooks(spark, paths)
+    by_file: dict[str, list[Sheet]] = {f.path: [] for f in files}
+    for r in _catalog(spark, [(f.src, f.path) for f in files]).orderBy("src", "position").collect():
+        by_file[r.file].append(Sheet(r.file, r.sheet, r.position, r.bytes))
     wanted = []
-    for file, names in by_file.items():
-        chosen = choose_sheets(names, sheets, on_missing)
-        wanted += [(file, s) for s in (input_sheets(chosen, base) if base else chosen)]
-    heads = {(r.file, r.sheet): r.cells for r in read_cells(spark, files, sorted({s for _, s in wanted}) or None, 1).collect()}
-    return [(f, s, canonical_headers(heads.get((f, s), []))) for f, s in wanted]
+    for found in by_file.values():
+        chosen = choose_sheets([s.sheet for s in found], sheets, on_missing)
+        named = {s.sheet: s for s in found}
+        wanted += [named[s] for s in (input_sheets(chosen, base) if base else chosen)]
+    heads = {(r.file, r.sheet): r.cells for r in _read_parts(spark, list(dict.fromkeys(wanted)), 1).collect()}
+    return [(s, canonical_headers(heads.get((s.file, s.sheet), []))) for s in wanted]
 
 
 def read_sheet(
@@ -181,7 +223,7 @@ def read_sheet(
 ) -> DataFrame:
     """One sheet of each workbook (the first by default) as an all-text table, columns by exact name."""
     found = sheet_headers(spark, paths, "0" if sheet is None else [sheet])
-    return _table(spark, found, union_schema([unique_headers(h) for _, _, h in found], exact=True), na_tokens, with_order)
+    return _table(spark, found, union_schema([unique_headers(h) for _, h in found], exact=True), na_tokens, with_order)
 
 
 def read_sheets(
@@ -190,8 +232,8 @@ def read_sheets(
 ) -> dict[str, DataFrame]:
     """Each chosen sheet of one workbook as its own table."""
     return {
-        s: _table(spark, [(f, s, h)], union_schema([unique_headers(h)], exact=True), na_tokens, with_order)
-        for f, s, h in sheet_headers(spark, paths, sheets)
+        s.sheet: _table(spark, [(s, h)], union_schema([unique_headers(h)], exact=True), na_tokens, with_order)
+        for s, h in sheet_headers(spark, paths, sheets)
     }
 
 
@@ -203,18 +245,17 @@ def unite_sheets(
     found = sheet_headers(spark, paths, sheets, base, on_missing)
     if not found:
         raise ValueError("no sheets to unite")
-    return _table(spark, found, union_schema([h for _, _, h in found], norm), None, with_order, with_sheet)
+    return _table(spark, found, union_schema([h for _, h in found], norm), None, with_order, with_sheet)
 
 
 def _table(
-    spark: SparkSession, found: Sequence[tuple[str, str, list[str]]], plan: UnionSchema,
+    spark: SparkSession, found: Sequence[tuple[Sheet, list[str]]], plan: UnionSchema,
     na_tokens: Sequence[str] | None, with_order: bool, with_sheet: bool = False,
 ) -> DataFrame:
     """One scan for any number of sheets: where each column sits in a sheet comes from a table of one row per sheet."""
-    files = list(dict.fromkeys(f for f, _, _ in found))
-    cells = read_cells(spark, files, sorted({s for _, s, _ in found})).where(F.col("row_no") > 1)
+    cells = _read_parts(spark, list(dict.fromkeys(s for s, _ in found))).where(F.col("row_no") > 1)
     places = spark.createDataFrame(
-        [(f, s, i, [-1 if p is None else p for p in pos]) for i, ((f, s, _), pos) in enumerate(zip(found, plan.positions))],
+        [(s.file, s.sheet, i, [-1 if p is None else p for p in pos]) for i, ((s, _), pos) in enumerate(zip(found, plan.positions))],
         "file string, sheet string, src int, places array<int>",
     )
     placed = cells.join(F.broadcast(places), ["file", "sheet"])

@@ -1,4 +1,9 @@
-"""Cells of one sheet of an .xlsx file, streamed as text rows. Runs inside tasks, one sheet at a time."""
+"""Cells of a sheet of an .xlsx file, or of a part of it, streamed as text rows. Runs inside tasks.
+
+A sheet's XML can be unpacked from its start only, but unpacking is many times faster
+than parsing: a task that reads a part of a sheet unpacks what lies before it and
+parses its own rows.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +25,7 @@ DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 _CHUNK = 1 << 20
 _INLINE, _VALUE, _TEXT = f"{MAIN}is", f"{MAIN}v", f"{MAIN}t"
+_PLAIN_ITEM = re.compile(rb"<si><t>([^<>&_\r]*)</t></si>\s*")
 _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _NOT_DATE = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
 
@@ -62,7 +68,7 @@ class Workbook:
         }
         props = book.find(f"{MAIN}workbookPr")
         self._epoch_1904 = props is not None and props.get("date1904") in ("1", "true")
-        self._shared: list[str] | None = None
+        self._shared: tuple | None = None
         self._date_styles: set[int] | None = None
         self._columns: dict[str, int] = {}
 
@@ -70,16 +76,27 @@ class Workbook:
     def _part(target: str) -> str:
         return target.lstrip("/") if target.startswith("/") else normpath(join("xl", target))
 
-    def _shared_strings(self) -> list[str]:
+    def size(self, sheet: str) -> int:
+        """Bytes of a sheet's XML, unpacked."""
+        return self._zip.getinfo(self.sheets[sheet]).file_size
+
+    def _shared_text(self, number: int) -> str:
+        """A shared string. The part is kept as bytes with the places of its items; an item is parsed when it is asked for."""
         if self._shared is None:
-            self._shared = []
-            if "xl/sharedStrings.xml" in self._zip.namelist():
-                with self._zip.open("xl/sharedStrings.xml") as part:
-                    for _, item in ET.iterparse(part):
-                        if item.tag == f"{MAIN}si":
-                            self._shared.append(_inline_text(item))
-                            item.clear()
-        return self._shared
+            data = self._zip.read("xl/sharedStrings.xml")
+            root = re.search(rb"<((?:\w+:)?)sst\b[^>]*>", data)
+            prefix = root.group(1)
+            starts = [m.start() for m in re.finditer(rb"<" + prefix + rb"si[\s/>]", data)]
+            ends = [*starts[1:], data.rfind(b"</" + prefix + b"sst>")]
+            self._shared = data, root.group(), b"</" + prefix + b"sst>", starts, ends, {}
+        data, root, closing, starts, ends, known = self._shared
+        text = known.get(number)
+        if text is None:
+            item = data[starts[number]:ends[number]]
+            plain = _PLAIN_ITEM.fullmatch(item)
+            # Entities and rich text are left to the parser.
+            text = known[number] = plain.group(1).decode() if plain else _inline_text(ET.fromstring(root + item + closing)[0])
+        return text
 
     def _is_date(self, style: int) -> bool:
         if self._date_styles is None:
@@ -111,31 +128,63 @@ class Workbook:
                 return _date_text(value, self._epoch_1904)
             return _number_text(value)
         if kind == "s":
-            return self._shared_strings()[int(value)]
+            return self._shared_text(int(value))
         if kind == "str":
             return unescape(value)
         if kind == "b":
             return "True" if value == "1" else "False"
         return value.replace("T", " ") if kind == "d" else value
 
-    def rows(self, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
-        """``(row number from 1, cells)``; gaps are empty rows, blank rows at the end are left out."""
-        number, emitted = 0, 0
-        for row in self._row_elements(sheet):
-            number = int(row.get("r", number + 1))
-            cells: list[str | None] = []
-            for cell in row:
-                place = cell.get("r")
-                if place is not None:
-                    at = self._index(place.rstrip("0123456789"))
-                    while len(cells) < at:
-                        cells.append(None)
-                cells.append(self._text(cell))
+    def rows(self, sheet: str, low: int = 0, high: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+        """``(row number from 1, cells)``; gaps are empty rows, blank rows at the end are left out.
+
+        With ``low`` and ``high`` only rows that start at such bytes of the sheet's XML,
+        and the gaps behind them up to the next row. All parts together are the sheet.
+        """
+        part = _SheetPart(self._zip, self.sheets[sheet], low, high)
+        number = emitted = None if low else 0
+        for row in part.rows():
+            place = row.get("r")
+            if place is None and number is None:
+                number = part.rows_before()
+            number = int(place) if place is not None else number + 1
+            if emitted is None:
+                emitted = number - 1
+            cells = self._cells(row)
             if cells.count(None) < len(cells):
                 for gap in range(emitted + 1, number):
                     yield gap, []
                 yield number, cells
                 emitted = number
+        if number is None or part.rest is None:
+            return
+        # Rows left blank here are gaps if anything follows.
+        upto = None
+        for row in part.later_rows():
+            number = int(row.get("r", number + 1))
+            upto = number if upto is None else upto
+            cells = self._cells(row)
+            if cells.count(None) < len(cells):
+                for gap in range(emitted + 1, upto):
+                    yield gap, []
+                return
+
+    def _cells(self, row: ET.Element) -> list[str | None]:
+        cells: list[str | None] = []
+        for cell in row:
+            place = cell.get("r")
+            if place is not None:
+                at = self._index(place.rstrip("0123456789"))
+                while len(cells) < at:
+                    cells.append(None)
+            if not len(cell):
+                cells.append(None)
+            elif cell.get("t") == "inlineStr" and len(cell[0]) == 1 and cell[0][0].tag == _TEXT:
+                text = cell[0][0].text or ""
+                cells.append(unescape(text) if "_x" in text else text)
+            else:
+                cells.append(self._text(cell))
+        return cells
 
     def _index(self, letters: str) -> int:
         at = self._columns.get(letters)
@@ -143,34 +192,101 @@ class Workbook:
             at = self._columns[letters] = letters_to_index(letters)
         return at
 
-    def _row_elements(self, sheet: str) -> Iterator[ET.Element]:
-        """Row elements, parsed a chunk of whole rows at a time."""
-        with self._zip.open(self.sheets[sheet]) as part:
-            buffer = part.read(_CHUNK)
+
+class _SheetPart:
+    """Row elements of a sheet's XML that start at bytes ``low`` to ``high``, parsed a chunk of whole rows at a time."""
+
+    def __init__(self, archive: zipfile.ZipFile, name: str, low: int, high: int | None):
+        self._zip, self._name, self._low, self._high = archive, name, low, high
+        #: What was read of the rows behind ``high``; None where the sheet's data ended before.
+        self.rest: bytes | None = None
+
+    def rows(self) -> Iterator[ET.Element]:
+        self._part = self._zip.open(self._name)
+        buffer, opening = b"", None
+        while opening is None:
+            more = self._part.read(_CHUNK)
+            if not more:
+                return
+            buffer += more
             opening = re.search(rb"<(\w+:)?sheetData\s*>", buffer)
-            while opening is None:
-                more = part.read(_CHUNK)
-                if not more:
-                    return
-                buffer += more
-                opening = re.search(rb"<(\w+:)?sheetData\s*>", buffer)
-            prefix = opening.group(1) or b""
-            root = re.search(rb"<(?:\w+:)?worksheet[^>]*>", buffer).group()
-            closing = b"</" + prefix + b"sheetData></" + prefix + b"worksheet>"
-            end_of_row, end_of_data = b"</" + prefix + b"row>", b"</" + prefix + b"sheetData>"
-            buffer = buffer[opening.end():]
+        prefix = opening.group(1) or b""
+        root = re.search(rb"<(?:\w+:)?worksheet[^>]*>", buffer).group()
+        self._around = root + opening.group(), b"</" + prefix + b"sheetData></" + prefix + b"worksheet>"
+        self._row_end, data_end = b"</" + prefix + b"row>", b"</" + prefix + b"sheetData>"
+        self._row_start, self._row_tag = re.compile(b"<" + prefix + rb"row[\s/>]"), re.compile(b"<" + prefix + rb"row(?:[\s/][^>]*)?>")
+        self._data_start = base = opening.end()
+        buffer = buffer[base:]
+        if self._low > base:
+            # Unpacks what lies before; nothing of it is kept.
+            self._part.seek(self._low)
+            base, buffer = self._low, self._part.read(_CHUNK)
             while True:
-                end = buffer.find(end_of_data)
-                cut = end if end >= 0 else buffer.rfind(end_of_row) + len(end_of_row)
-                if end >= 0 or cut >= len(end_of_row):
-                    yield from ET.fromstring(root + opening.group() + buffer[:cut] + closing)[0]
-                    buffer = buffer[cut:]
-                if end >= 0:
+                first, end = self._row_start.search(buffer), buffer.find(data_end)
+                if end >= 0 and (first is None or first.start() > end):
                     return
-                more = part.read(_CHUNK)
+                if first:
+                    break
+                more = self._part.read(_CHUNK)
                 if not more:
                     return
+                base, buffer = base + max(0, len(buffer) - 32), buffer[-32:] + more
+            base, buffer = base + first.start(), buffer[first.start():]
+        self.first_row = base
+        while True:
+            end = buffer.find(data_end)
+            beyond = self._high is not None and self._row_start.search(buffer, max(0, self._high - base), end if end >= 0 else len(buffer))
+            if beyond:
+                yield from self._parsed(buffer[:beyond.start()])
+                self.rest = buffer[beyond.start():]
+                return
+            cut = end if end >= 0 else buffer.rfind(self._row_end) + len(self._row_end)
+            if end >= 0 or cut >= len(self._row_end):
+                yield from self._parsed(buffer[:cut])
+                base, buffer = base + cut, buffer[cut:]
+            if end >= 0:
+                return
+            more = self._part.read(_CHUNK)
+            if not more:
+                return
+            buffer += more
+
+    def _parsed(self, rows: bytes) -> list[ET.Element]:
+        return list(ET.fromstring(self._around[0] + rows + self._around[1])[0]) if rows else []
+
+    def later_rows(self) -> Iterator[ET.Element]:
+        """The rows behind ``high``, one by one."""
+        buffer, data_end = self.rest, self._around[1][: self._around[1].index(b">") + 1]
+        while True:
+            following = self._row_start.search(buffer, 1)
+            end = buffer.find(data_end)
+            if following and (end < 0 or following.start() < end):
+                yield from self._parsed(buffer[:following.start()])
+                buffer = buffer[following.start():]
+            elif end >= 0:
+                yield from self._parsed(buffer[:end])
+                return
+            else:
+                more = self._part.read(_CHUNK)
+                if not more:
+                    return
+                buffer += more
+
+    def rows_before(self) -> int:
+        """The number of the row before the first one here, where rows do not tell their numbers."""
+        number, buffer, base = 0, b"", 0
+        with self._zip.open(self._name) as part:
+            while base < self.first_row:
+                more = part.read(min(_CHUNK, self.first_row - base))
+                base += len(more)
                 buffer += more
+                done = 0
+                for row in self._row_tag.finditer(buffer):
+                    told = re.search(rb'\sr="(\d+)"', row.group())
+                    number = int(told.group(1)) if told else number + 1
+                    done = row.end()
+                buffer = buffer[max(done, len(buffer) - 4_096):]
+        return number
 
 
 def _inline_text(item: ET.Element) -> str:
