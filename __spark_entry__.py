@@ -19,7 +19,7 @@ from gridloom.functions import names, numbers, quoting, text  # noqa: E402
 from gridloom.operators import columns, dedup, membership, profile, summarize, union  # noqa: E402
 from gridloom.operators.ordering import number_rows, split_sheets  # noqa: E402
 from gridloom.operators.predicates import Filter, apply_filters  # noqa: E402
-from gridloom.plans import file_jobs, group_summary, merge, yearly  # noqa: E402
+from gridloom.plans import file_jobs, group_summary, merge, workbook_summary, yearly  # noqa: E402
 from gridloom.session import new_dataset_path  # noqa: E402
 from gridloom.sinks import csv_files as csv_sink  # noqa: E402
 from gridloom.sinks import sheets as sheet_sink  # noqa: E402
@@ -1066,6 +1066,29 @@ def _(spark, sf):
     return group_summary.group_summary(sheets, "C", filters=spec)
 
 
+@query(
+    "workbook_summary",
+    "with o as (select year(o_orderdate)::varchar as sheet, o_orderstatus, row_number() over (partition by year(o_orderdate), o_custkey order by o_orderkey) as rn"
+    " from orders where case year(o_orderdate) % 3 when 0 then o_orderpriority <> '5-LOW' when 1 then o_totalprice between 1000 and 200000 else true end),"
+    " c as (select sheet || ' — status' as block, o_orderstatus as value, count(*) as cnt from o where rn = 1 group by all)"
+    " select * from c union all select 'ЗАГАЛОМ — підсумок', value, count(*) from c group by value",
+)
+def _(spark, sf):
+    # A sheet for each year, its columns in an order of its own; a third of the sheets have one filter, a third another.
+    folder = new_dataset_path(spark, "orders-summary-books")
+    orders = table(spark, sf, "orders").select(
+        F.year("o_orderdate").alias("yr"), "o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderpriority", "o_totalprice")
+    named, even = split_sheets(orders, "yr", order_by="o_orderkey"), F.col("yr") % 2 == 0
+    sheet_sink.export_sheets(named.where(even), folder, "workbook")
+    sheet_sink.export_sheets(named.where(~even).select(*reversed(named.columns)), folder, "workbook")
+    years = [str(y) for y in range(1992, 2030)]
+    low = [{"type": 6, "col_token": "o_orderpriority", "pattern": "^[^5]"}]
+    price = [{"type": 5, "col_token": "totalprice", "num_min": 1000, "num_max": 200000}]
+    filters = {y: low if int(y) % 3 == 0 else price if int(y) % 3 == 1 else [] for y in years}
+    summary = workbook_summary.workbook_summary(spark, folder, "status", filters=filters, dedup_keys="o_custkey")
+    return summary.select("block", "value", "cnt")
+
+
 def _parts_csv(spark, sf):
     folder = new_dataset_path(spark, "part-csv")
     csv_sink.write_csv(table(spark, sf, "part").orderBy("p_partkey"), folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.names import col, free_name
 from gridloom.operators.ordering import ORD
 from gridloom.sinks.csv_files import write_csv
-from gridloom.sources.files import _store, qualified
+from gridloom.sources.files import _store, claim, qualified
 
 
 def export_sheets(df: DataFrame, folder: str, fmt: str = "parquet", drop: Sequence[str] = (ORD,), force_text: Sequence[str] = ()) -> None:
@@ -46,10 +47,25 @@ def sheet_names(folder: str) -> list[str]:
 
 
 def append_sheet(df: DataFrame, folder: str, base: str = "UNIQUE", fmt: str = "parquet") -> str:
-    """Write a new sheet beside the existing ones under a free name, which is returned. Nothing is overwritten."""
-    name = free_name(sheet_names(qualified(df.sparkSession, folder)), base)
-    df.withColumn("sheet", F.lit(name)).write.mode("append").partitionBy("sheet").format(fmt).save(folder)
-    return name
+    """Write a new sheet beside the existing ones under a free name, which is returned. Nothing is overwritten.
+
+    Any number of writers may append at once: a name is claimed, which one of them
+    alone can do, before anything is written, and each sheet is a job with an output
+    folder of its own. A name whose writer fails stays claimed and is not given again.
+    """
+    spark, where = df.sparkSession, qualified(df.sparkSession, folder).rstrip("/")
+    taken = set(sheet_names(where))
+    while True:
+        name = free_name(taken, base)
+        if claim(spark, f"{where}/_claimed/{_escaped(name)}"):
+            df.write.mode("errorifexists").format(fmt).save(f"{where}/sheet={_escaped(name)}")
+            return name
+        taken.add(name)
+
+
+def _escaped(name: str) -> str:
+    """A name as Spark writes it in a partition's folder."""
+    return re.sub(r'[\x00-\x1f"#%\'*/:=?\\\x7f{\[\]^]', lambda c: f"%{ord(c.group()):02X}", name)
 
 
 def write_blocks(stacked: DataFrame, folder: str, sheet: str = "SUMMARY") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -129,6 +130,29 @@ def open_output(path: str) -> BinaryIO:
     return store.open_output_stream(inner)
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file if there is none; False if there is. Of several callers one gets True."""
+    bare = re.sub(r"^file:(//)?", "", path)
+    if "://" not in bare:
+        # Hadoop's local file system looks first and creates then, so two callers may both succeed there.
+        os.makedirs(os.path.dirname(bare), exist_ok=True)
+        try:
+            os.close(os.open(bare, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    from py4j.protocol import Py4JJavaError
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def delete_output(path: str) -> None:
     store, inner = _store(path)
     store.delete_file(inner)

@@ -187,10 +187,10 @@ def read_cells(
     if sheets is not None:
         listed = listed.where(F.col("sheet").isin(list(sheets)))
     found = listed.orderBy("src", "position").collect()
-    return _read_parts(spark, [Sheet(r.file, r.sheet, r.position, r.bytes) for r in found], rows, part)
+    return read_parts(spark, [Sheet(r.file, r.sheet, r.position, r.bytes) for r in found], rows, part)
 
 
-def _read_parts(spark: SparkSession, sheets: Sequence[Sheet], rows: int | None = None, part: int = PART) -> DataFrame:
+def read_parts(spark: SparkSession, sheets: Sequence[Sheet], rows: int | None = None, part: int = PART) -> DataFrame:
     """One input partition for about ``part`` bytes of XML; first rows alone are read from a sheet's start."""
     register(spark)
     parts = [p for s in sheets for p in (s.parts(part) if rows is None else s.parts(part)[:1])]
@@ -213,7 +213,7 @@ def sheet_headers(
         chosen = choose_sheets([s.sheet for s in found], sheets, on_missing)
         named = {s.sheet: s for s in found}
         wanted += [named[s] for s in (input_sheets(chosen, base) if base else chosen)]
-    heads = {(r.file, r.sheet): r.cells for r in _read_parts(spark, list(dict.fromkeys(wanted)), 1).collect()}
+    heads = {(r.file, r.sheet): r.cells for r in read_parts(spark, list(dict.fromkeys(wanted)), 1).collect()}
     return [(s, canonical_headers(heads.get((s.file, s.sheet), []))) for s in wanted]
 
 
@@ -253,7 +253,7 @@ def _table(
     na_tokens: Sequence[str] | None, with_order: bool, with_sheet: bool = False,
 ) -> DataFrame:
     """One scan for any number of sheets: where each column sits in a sheet comes from a table of one row per sheet."""
-    cells = _read_parts(spark, list(dict.fromkeys(s for s, _ in found))).where(F.col("row_no") > 1)
+    cells = read_parts(spark, list(dict.fromkeys(s for s, _ in found))).where(F.col("row_no") > 1)
     places = spark.createDataFrame(
         [(s.file, s.sheet, i, [-1 if p is None else p for p in pos]) for i, ((s, _), pos) in enumerate(zip(found, plan.positions))],
         "file string, sheet string, src int, places array<int>",

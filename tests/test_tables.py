@@ -251,3 +251,15 @@ def test_merge_keeps_the_callers_order_of_mixed_sources(spark, tmp_path):
         merged = merge.merge_files(spark, given, dedup_keys=["k"], keep=keep)
         # Keys of kept rows come in their normal form, in capitals.
         assert merged.where("k = 'SAME'").first().v == kept
+
+
+def test_sheets_appended_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "sheets")
+    with ThreadPoolExecutor(8) as pool:
+        names = list(pool.map(lambda i: append_sheet(spark.range(50 * i, 50 * i + 50, 1, 3), folder, "UNIQUE: all"), range(8)))
+    assert sorted(names) == sorted(["UNIQUE: all", *(f"UNIQUE: all ({n})" for n in range(2, 9))]) == sorted(sheet_names(folder))
+    for i, name in enumerate(names):
+        assert sorted(r.id for r in read_appended(spark, folder, name).collect()) == list(range(50 * i, 50 * i + 50))
+    assert append_sheet(spark.range(1), folder, "UNIQUE: all") == "UNIQUE: all (9)"
