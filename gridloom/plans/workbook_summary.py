@@ -29,14 +29,14 @@ def workbook_summary(
     spark: SparkSession, paths: str | Sequence[str], column: str | Sequence[str], kind: str = "frequency", case: str = "upper",
     strip_ws: bool = True, filters: Sequence[Filter | Mapping] | Mapping[str, Sequence[Filter | Mapping]] | None = None,
     dedup_keys: str | Sequence[str] | None = None, several: bool = False, overall_kind: str = "presence", dialect: str = "summary",
-    sheets: str | Sequence[str] | None = None,
+    sheets: str | Sequence[str] | None = None, manifest: str | None = None,
 ) -> DataFrame:
     """``(block_no, block, value, cnt)`` as :func:`gridloom.plans.group_summary.group_summary` gives it for the sheets read one by one.
 
     A dict names the filters of each sheet. ``dedup_keys`` keep the first row of each
     key, within each sheet. A sheet that lacks the column is left out with a warning.
     """
-    found, letters = sheet_headers(spark, paths, sheets), letters_of(dialect)
+    found, letters = sheet_headers(spark, paths, sheets, manifest=manifest), letters_of(dialect)
     specs: dict[Filter, int] = {}
     titles: list[str] = []
     table = []

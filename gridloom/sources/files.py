@@ -9,14 +9,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import BinaryIO
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class InputFile:
     """``src`` is the file's place among all files, ``arg`` that of its path, folder or glob in the caller's list.
 
-    ``uri`` is how ``_metadata.file_path`` spells the file.
+    ``uri`` is how ``_metadata.file_path`` spells the file, ``modified`` its time of change in milliseconds.
     """
 
     src: int
@@ -24,6 +26,7 @@ class InputFile:
     uri: str
     bytes: int
     arg: int = 0
+    modified: int = 0
 
 
 def _bare(path: str) -> str:
@@ -33,7 +36,8 @@ def _bare(path: str) -> str:
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[InputFile]:
     """The files behind paths, folders and globs: in the caller's order, by path within a folder or glob."""
     given = [paths] if isinstance(paths, str) else list(paths)
-    listing = spark.read.format("binaryFile").load([_as_glob(p) for p in given]).select("path", "_metadata.file_path", "length")
+    listing = spark.read.format("binaryFile").load([_as_glob(p) for p in given]).select(
+        "path", "_metadata.file_path", "length", F.unix_millis("modificationTime").alias("modified"))
     entries = [_bare(p) for p in given]
     exact = {p: i for i, p in reversed(list(enumerate(entries)))}
 
@@ -46,7 +50,7 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[InputFil
 
     rows = {r.path: r for r in listing.collect()}.values()
     ranked = sorted(rows, key=lambda r: (place(r.path), r.path))
-    return [InputFile(i, r.path, r.file_path, r.length, min(place(r.path), len(entries) - 1)) for i, r in enumerate(ranked)]
+    return [InputFile(i, r.path, r.file_path, r.length, min(place(r.path), len(entries) - 1), r.modified) for i, r in enumerate(ranked)]
 
 
 def _as_glob(path: str) -> str:
@@ -92,6 +96,17 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A Parquet dataset, or None where nothing has been written yet; any other fault is an error."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def literal_path(path: str) -> str:
     """A path whose brackets and stars are not globs."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)

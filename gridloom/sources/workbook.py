@@ -22,7 +22,7 @@ from gridloom.functions.names import canonical_headers, unique_headers
 from gridloom.operators.union import UnionSchema, union_schema
 from gridloom.sinks.workbook import WorkbookSinkWriter
 from gridloom.sources.csv_files import NA_TOKENS, ORD, null_tokens
-from gridloom.sources.files import InputFile, list_files, open_input
+from gridloom.sources.files import InputFile, list_files, open_input, read_if_there
 from gridloom.sources.xlsx_cells import Workbook
 
 SCHEMA = "file string, sheet string, position int, row_no long, cells array<string>"
@@ -60,9 +60,15 @@ class Sheet:
 
 
 def _sheets_of(file: str) -> list[Sheet]:
+    return [s for s, _ in _headed_sheets(file, False)]
+
+
+def _headed_sheets(file: str, heads: bool = True) -> list[tuple[Sheet, list[str | None] | None]]:
+    """The sheets of a workbook, each with the cells of its first row."""
     with open_input(file) as stream:
         book = Workbook(stream)
-        return [Sheet(file, sheet, i, book.size(sheet)) for i, sheet in enumerate(book.sheets)]
+        sheets = [Sheet(file, sheet, i, book.size(sheet)) for i, sheet in enumerate(book.sheets)]
+        return [(s, next((cells for n, cells in book.rows(s.sheet) if n == 1), None) if heads else None) for s in sheets]
 
 
 def _part_rows(part: SheetPartition, first_rows: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -199,30 +205,62 @@ def read_parts(spark: SparkSession, sheets: Sequence[Sheet], rows: int | None =
     return (reader if rows is None else reader.option("rows", rows)).load()
 
 
+def headed_catalog(spark: SparkSession, files: Sequence[InputFile], manifest: str | None = None) -> DataFrame:
+    """``(src, file, sheet, position, bytes, head)`` of every sheet, ``head`` being the cells of its first row.
+
+    ``manifest`` is a folder that remembers this for every file by path, size and time of
+    change. Only files it does not know are opened, and added to it; a file that has
+    changed is a new one. Any number of runs may add at once.
+    """
+    def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for file, size, modified in zip(b["file"], b["size"], b["modified"]):
+                headed = _headed_sheets(file)
+                found += [(file, size, modified, s.sheet, s.position, s.bytes, h) for s, h in headed]
+                # A book of charts only is known, too.
+                found += [] if headed else [(file, size, modified, None, None, None, None)]
+            yield pd.DataFrame(found, columns=["file", "size", "modified", "sheet", "position", "bytes", "head"]).astype({"position": "Int32", "bytes": "Int64"})
+
+    schema = "file string, size long, modified long, sheet string, position int, bytes long, head array<string>"
+    keys = ["file", "size", "modified"]
+    listed = spark.createDataFrame([(f.src, f.path, f.bytes, f.modified) for f in files], "src int, file string, size long, modified long")
+    slots = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    if manifest is None:
+        found = listed.repartition(slots, "file").drop("src").mapInPandas(sheets, schema)
+    else:
+        known = read_if_there(spark, manifest, schema)
+        new = listed.drop("src").join(known.select(*keys).distinct(), keys, "left_anti") if known is not None else listed.drop("src")
+        fresh = new.repartition(slots, "file").mapInPandas(sheets, schema)
+        if known is None or not new.isEmpty():
+            fresh.write.mode("append").parquet(manifest)
+        found = spark.read.schema(schema).parquet(manifest).dropDuplicates([*keys, "position"])
+    return listed.join(found, keys).where(F.col("sheet").isNotNull()).select("src", "file", "sheet", "position", "bytes", "head")
+
+
 def sheet_headers(
     spark: SparkSession, paths: str | Sequence[str], sheets: str | Sequence[str] | None = None,
-    base: str | None = None, on_missing: str = "error",
+    base: str | None = None, on_missing: str = "error", manifest: str | None = None,
 ) -> list[tuple[Sheet, list[str]]]:
     """Chosen sheets and their header cells, in order; only first rows are read. ``base`` leaves own outputs out."""
     files = _workbooks(spark, paths)
-    by_file: dict[str, list[Sheet]] = {f.path: [] for f in files}
-    for r in _catalog(spark, [(f.src, f.path) for f in files]).orderBy("src", "position").collect():
-        by_file[r.file].append(Sheet(r.file, r.sheet, r.position, r.bytes))
+    by_file: dict[str, list[tuple[Sheet, list[str]]]] = {f.path: [] for f in files}
+    for r in headed_catalog(spark, files, manifest).orderBy("src", "position").collect():
+        by_file[r.file].append((Sheet(r.file, r.sheet, r.position, r.bytes), canonical_headers(r.head or [])))
     wanted = []
     for found in by_file.values():
-        chosen = choose_sheets([s.sheet for s in found], sheets, on_missing)
-        named = {s.sheet: s for s in found}
+        chosen = choose_sheets([s.sheet for s, _ in found], sheets, on_missing)
+        named = {s.sheet: (s, h) for s, h in found}
         wanted += [named[s] for s in (input_sheets(chosen, base) if base else chosen)]
-    heads = {(r.file, r.sheet): r.cells for r in read_parts(spark, list(dict.fromkeys(wanted)), 1).collect()}
-    return [(s, canonical_headers(heads.get((s.file, s.sheet), []))) for s in wanted]
+    return wanted
 
 
 def read_sheet(
     spark: SparkSession, paths: str | Sequence[str], sheet: str | None = None,
-    na_tokens: Sequence[str] | None = NA_TOKENS, with_order: bool = False,
+    na_tokens: Sequence[str] | None = NA_TOKENS, with_order: bool = False, manifest: str | None = None,
 ) -> DataFrame:
     """One sheet of each workbook (the first by default) as an all-text table, columns by exact name."""
-    found = sheet_headers(spark, paths, "0" if sheet is None else [sheet])
+    found = sheet_headers(spark, paths, "0" if sheet is None else [sheet], manifest=manifest)
     return _table(spark, found, union_schema([unique_headers(h) for _, h in found], exact=True), na_tokens, with_order)
 
 
@@ -240,9 +278,10 @@ def read_sheets(
 def unite_sheets(
     spark: SparkSession, paths: str | Sequence[str], sheets: str | Sequence[str] | None = None, norm: str = "safe",
     base: str | None = None, on_missing: str = "error", with_order: bool = False, with_sheet: bool = False,
+    manifest: str | None = None,
 ) -> DataFrame:
     """All chosen sheets as one table, columns matched by normalised header."""
-    found = sheet_headers(spark, paths, sheets, base, on_missing)
+    found = sheet_headers(spark, paths, sheets, base, on_missing, manifest)
     if not found:
         raise ValueError("no sheets to unite")
     return _table(spark, found, union_schema([h for _, h in found], norm), None, with_order, with_sheet)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +18,7 @@ from gridloom.functions.names import col
 from gridloom.functions.text import norm_key
 from gridloom.operators.columns import resolve_column
 from gridloom.sources.csv_files import ORD
+from gridloom.sources.files import read_if_there
 
 KEY = "_key"
 PORTION = "_portion"
@@ -36,12 +36,7 @@ class KeyLedger:
         self._fold = (upper, True, drop_spaces, drop_dashes)
 
     def _portions(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            return spark.read.option("basePath", self.folder).parquet(f"{self.folder}/{PORTION}=*")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+        return read_if_there(spark, self.folder)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """All rows kept so far, each key once."""

@@ -1,12 +1,13 @@
 """A sheet read in parts against the sheet read whole."""
 
 import io
+import os
 import random
 import zipfile
 
 import pytest
 
-from gridloom.sources.workbook import read_cells
+from gridloom.sources.workbook import read_cells, sheet_headers, unite_sheets
 from gridloom.sources.xlsx_cells import Workbook
 from tests.test_workbook import book
 
@@ -90,3 +91,24 @@ def test_a_sheet_is_read_by_several_tasks(spark, tmp_path):
     assert [r.row_no for r in read_cells(spark, [path], ["one"], 2, 20_000).collect()] == [1, 2]
     direct = spark.read.format("workbook").option("files", path).load()
     assert direct.count() == 3_003
+
+
+def test_a_manifest_opens_known_books_no_more(spark, tmp_path):
+    paths = [book(tmp_path / f"b{i}.xlsx", {"S": [["k", f"c{i}"], ["x", i]], "T": [["k"], ["y"]]}) for i in range(5)]
+    manifest = str(tmp_path / "manifest")
+    first = sheet_headers(spark, paths, manifest=manifest)
+    assert first == sheet_headers(spark, paths) and len(first) == 10
+    # Known books are not opened: these bytes are no workbook, but size and time of change are as before.
+    for path in paths[:4]:
+        was = os.stat(path)
+        with open(path, "r+b") as file:
+            file.write(b"\0" * was.st_size)
+        os.utime(path, ns=(was.st_atime_ns, was.st_mtime_ns))
+    more = book(tmp_path / "b9.xlsx", {"U": [["new"]]})
+    again = sheet_headers(spark, [*paths, more], manifest=manifest)
+    assert again[:10] == first and [(s.sheet, h) for s, h in again[10:]] == [("U", ["new"])]
+    # A book that has changed is read anew.
+    book(paths[4], {"S": [["other", "header"], ["x", "y"]]})
+    os.utime(paths[4], ns=(1, 10 ** 18))
+    assert [(s.sheet, h) for s, h in sheet_headers(spark, [paths[4]], manifest=manifest)] == [("S", ["other", "header"])]
+    assert [tuple(r) for r in unite_sheets(spark, [paths[4]], manifest=manifest).collect()] == [("x", "y")]
