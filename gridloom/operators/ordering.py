@@ -105,39 +105,43 @@ def number_rows(
     it, else row content; equal rows of a frequent value are counted, numbered as runs and
     written out again by many tasks.
     """
+    cells = {c: F.col(f"__c{i}") for i, c in enumerate(df.columns)}
     if order_by in (None, ORD):
         if ORD not in df.columns:
             raise ValueError(f"numbering needs an order: give order_by, or scan with {ORD}")
         keyed = df.withColumns({
             _BUCKET[0]: F.lit(0), _BUCKET[1]: col(ORD)["src"].cast("long"), _BUCKET[2]: col(ORD)["block"],
         })
-        inner = [col(ORD)["seq"]]
+        inner = [cells[ORD]["seq"]]
     else:
         n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keyed = _by_quantiles(df, order_by, max(2, n))
-        inner = [col(order_by).asc_nulls_last(), *([col(ORD)] if ORD in df.columns else [])]
+        inner = [cells[order_by].asc_nulls_last(), *([cells[ORD]] if ORD in df.columns else [])]
 
-    groups = [col(g) for g in group]
+    groups = [f"__g{i}" for i in range(len(group))]
     many = _COPIES in keyed.columns
-    counted = keyed.groupBy(*groups, *_BUCKET).agg((F.sum(_COPIES) if many else F.count(F.lit(1))).alias("__n"))
+    copies = F.col(_COPIES) if many else F.lit(1).cast("long")
+    keyed = keyed.select(
+        *[col(g).alias(name) for g, name in zip(group, groups)], *_BUCKET, copies.alias(_COPIES), F.lit(None).cast("long").alias("__offset"),
+        *[col(c).alias(f"__c{i}") for i, c in enumerate(df.columns)],
+    )
+    counted = keyed.groupBy(*groups, *_BUCKET).agg(F.sum(_COPIES).alias("__n"))
     before = Window.partitionBy(*groups).orderBy(*_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    # Null-safe on the group; names are made distinct so that both sides can be told apart.
-    right = offsets.select(*[g.alias(f"__g{i}") for i, g in enumerate(groups)], *[F.col(b).alias(f"{b}r") for b in _BUCKET], "__offset")
-    same = [col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col(b) == F.col(f"{b}r") for b in _BUCKET]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    in_bucket = Window.partitionBy(*groups, *_BUCKET).orderBy(*inner)
-    passed = F.coalesce(F.sum(_COPIES).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if many else None
-    local = passed + 1 if many else F.row_number().over(in_bucket)
-    numbered = keyed.withColumn("__local", local).join(right, condition, "left")
+    offsets = counted.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")))
+    # A bucket's offset goes to its rows as the first row among them, so the rows are shuffled once.
+    nothing = [F.lit(None).cast(f.dataType).alias(f"__c{i}") for i, f in enumerate(df.schema.fields)]
+    heads = offsets.select(*groups, *_BUCKET, F.lit(0).cast("long").alias(_COPIES), "__offset", *nothing)
+    in_order = Window.partitionBy(*groups, *_BUCKET).orderBy(F.col("__offset").isNull(), *inner)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = keyed.union(heads).select(
+        *cells.values(), _COPIES, F.sum(_COPIES).over(so_far).alias("__upto"), F.first("__offset").over(so_far).alias("__offset")
+    ).where(F.col(_COPIES) > 0)
     # Every bucket was counted; should an input split be cut otherwise in this pass, fail rather than misnumber.
     offset = F.coalesce("__offset", F.raise_error(F.lit("input splits changed between two passes")).cast("long"))
-    number = offset + F.col("__local")
+    number = offset + F.col("__upto")
     if many:
-        number = F.explode(F.sequence(number, number + F.col(_COPIES) - 1))
-    return numbered.select(*[col(c) for c in df.columns], number.alias(out))
+        number = F.explode(F.sequence(number - F.col(_COPIES) + 1, number))
+    return numbered.select(*[cell.alias(c) for c, cell in cells.items()], number.alias(out))
 
 
 def sheet_name(group: Column, number: Column) -> Column:
