@@ -118,9 +118,8 @@ def fold_lookalikes(c: Column) -> Column:
 
 def norm_header_column(c: Column, norm: str = "safe") -> Column:
     """:func:`norm_header` on a text column (headers that arrive as data)."""
-    from gridloom.functions.text import as_text, strip
-
-    folded = F.lower(strip(fold_lookalikes(as_text(c))))
-    snake = F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f\-]+", "_")
-    kept = F.regexp_replace(snake, "[^0-9a-z_]+" if norm == "compat" else r"(?U)[^\p{L}\p{N}_]+", "")
-    return F.btrim(F.regexp_replace(kept, "__+", "_"), F.lit("_"))
+    text = fold_lookalikes(F.lower(F.coalesce(c.cast("string"), F.lit(""))))
+    kept = {"safe": r"\p{L}\p{N}", "compat": "a-z0-9"}[norm]
+    # What is neither kept nor parts words goes; what is left between the parting characters are the words.
+    lean = F.regexp_replace(text, rf"(?U)[^{kept}_\-\s\x1c-\x1f]", "")
+    return F.array_join(F.regexp_extract_all(lean, F.lit(rf"(?U)[{kept}]+"), F.lit(0)), "_")
