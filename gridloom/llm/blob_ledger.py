@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.tables import stash
+from gridloom.llm.tables import packed, stash
 from gridloom.session import new_dataset_path
+from gridloom.sources.files import read_if_there
 
 
 @dataclass(frozen=True)
@@ -95,10 +95,9 @@ def _lengths(content: Column, rule: Rule) -> Column:
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # the first scan has no ledger yet
-        return spark.createDataFrame([], schema)
+    found = read_if_there(spark, path, schema)
+    # The first scan has no ledger yet.
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def spans_by_blob(spark: SparkSession, ledger: str, rules=RULES) -> DataFrame:
@@ -135,19 +134,19 @@ def count_of(spans: Column, rule: Rule) -> Column:
 def redact(docs: DataFrame, ledger: str, rules=RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are one. Rows and other columns stay."""
     scan(docs.select(F.col("text").alias("content"), digest(F.col("text")).alias("digest")), ledger, rules)
-    spans = spans_by_blob(docs.sparkSession, ledger, rules).select(F.col("digest").alias("__blob"), F.col("spans").alias("__spans"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*names, digest(F.col("text")).alias("__digest"))
-    text, start = F.col("text"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    spans = spans_by_blob(docs.sparkSession, ledger, rules)
+    marked = docs.select(packed(docs), digest(F.col("text")).alias("digest"))
+    text, start = F.col("row")["text"], F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
         gap = F.when(span["start"] < done["at"], F.lit("")).otherwise(
             F.concat(F.substring(text, (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int")), F.lit(mark)))
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], gap).alias("out"))
 
-    clean = F.aggregate("__spans", start, step, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.lit(2147483647))))
-    joined = marked.join(spans, marked["__digest"] == spans["__blob"], "left")
-    return joined.select(*[F.when(F.col("__spans").isNull(), text).otherwise(clean).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("spans", start, step, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.lit(2147483647))))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    joined = marked.join(spans, "digest", "left")
+    return joined.select(*[(clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: What the query over ``documents`` returns. Runs of digits or capitals are maximal, so their least length may stand in the pattern.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import new_dataset_path
@@ -31,16 +31,24 @@ def row_count_parts(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
+def packed(frame: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that none of their names meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("row")
+
+
 def keep_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` (doc_id, row_hash) names, each once even where whole rows repeat.
 
-    Both keys take part in the join, so a frequent id (null, say) does not gather in one task.
+    Both keys take part in the join, so a frequent id (null, say) does not gather in one task; and they are
+    plain columns, so the numbering of repeats finds the rows where the join has put them.
     """
-    from pyspark.sql import Window
-
-    names = docs.columns
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], row_hash(docs).alias("__hash"))
-    wanted = chosen.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__wanted")).distinct()
-    joined = marked.join(wanted, marked["doc_id"].eqNullSafe(wanted["__id"]) & (marked["__hash"] == wanted["__wanted"]))
-    order = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))
-    return joined.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*[F.col(f"`{c}`") for c in names])
+    kind = docs.schema["doc_id"].dataType
+
+    def keys(doc_id: Column, hashed: Column) -> list[Column]:
+        return [doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast(kind)).alias("id"), hashed.alias("hash")]
+
+    names = ["none", "id", "hash"]
+    wanted = chosen.select(*keys(F.col("doc_id"), F.col("row_hash"))).distinct()
+    joined = docs.select(packed(docs), *keys(F.col("doc_id"), row_hash(docs))).join(wanted, names, "left_semi")
+    order = Window.partitionBy(*names).orderBy(F.lit(0))
+    return joined.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")

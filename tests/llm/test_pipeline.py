@@ -3,12 +3,17 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
+import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gridloom.llm import queries
+from gridloom.llm import mixing, queries
+from test_operators import spans_of
 from tests_llm_data import DOCS, SCHEMA
 
 
@@ -89,3 +94,62 @@ def test_mixed_and_short_clean_texts_stay(spark):
     # Where nothing is learned, no language can be held against a text.
     plain = frame.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.language(spark, plain, "").collect()} == got
+
+
+def _components(docs):
+    """Smallest id of each component of (doc_id, text) rows, by all pairs of fingerprints."""
+    prints = [(i, _fingerprint(t)) for i, t in docs]
+    low = {i: i for i, _ in docs}
+    while True:
+        pairs = [(a, b) for (a, x), (b, y) in itertools.permutations(prints, 2) if (x ^ y).bit_count() <= 2 and low[b] > low[a]]
+        if not pairs:
+            return low
+        for a, b in pairs:
+            low[b] = min(low[b], low[a])
+
+
+def _redacted(text):
+    at, out = 0, ""
+    for start, _, _, end in spans_of(text):
+        out += text[at:start] + "[secret]" if start >= at else ""
+        at = max(at, end)
+    return None if text is None else out + text[at:]
+
+
+def test_run_row_by_row(spark, tmp_path):
+    """What the language stage keeps, through plain versions of the four others: all pairs, patterns, the mix's SQL, the library's tokenizer."""
+    texts = [t for t in dict.fromkeys(d[1] for d in DOCS)]
+    rows = [(i, t, ["en", "de", None, "fr"][i % 4], ["a", "b", None, "c"][i * i % 4], "x", "y") for i, t in enumerate(texts + texts[3:9] + [f"{t} api_key={'k7' * 6}" for t in texts[:4]])]
+    schema = "doc_id long, text string, lang string, source string, told string, row string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [tuple(r) for r in corpus_pipeline.language(spark, docs, "").collect()]
+    assert 0 < len(kept) < len(rows) and set(kept) <= set(rows)
+    low = _components([r[:2] for r in kept])
+    alone = [r for r in kept if low[r[0]] == r[0]]
+    clean = [(r[0], _redacted(r[1]), *r[2:]) for r in alone]
+    assert len(alone) < len(kept) and clean != alone
+    spark.createDataFrame(clean, schema).write.parquet(f"{tmp_path}/clean.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/clean.parquet/*.parquet'")
+    taken = {r[0]: (r[1], r[2]) for r in con.execute(f"select doc_id, size, taken from ({mixing.SQL})").fetchall()}
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    library.no_truncation()
+    library.no_padding()
+    want = Counter()
+    for doc_id, text, _, source, *_ in clean:
+        size, words = taken[doc_id]
+        ids = tuple(library.encode(text or "", add_special_tokens=False).ids)
+        want[doc_id, source, len(ids), ids] += words // size if size else 0
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids)) for r in got) == +want and len(got) > 20
+
+
+def test_columns_that_clash(spark):
+    names = ["row", "told", "none", "id", "hash", "n", "digest", "spans", "fp", "root", "key", "taken", "__hash", "__told", "__blob", "__spans"]
+    frame = spark.createDataFrame(DOCS, SCHEMA).withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, "")
+        assert out.columns == frame.columns
+        assert out.select("doc_id", *names).distinct().count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, "").count() == frame.count()
