@@ -1,15 +1,19 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Vectors are cut in halves, each half has a codebook, and the two nearest words
-are a vector's cell in the product grid. A neighbour within the radius lies in a
-cell whose Voronoi border is near in both halves; cells are visited from the
-nearest on until the squared border distances of the halves exceed the squared
-reach, and every vector met there is verified in double precision.
+are a vector's cell in the product grid. A vector visits cells in multi-sequence
+order, the nearest first by the squared distances of its halves to the words'
+borders, until the target recall is reached; every vector met there is verified
+in double precision. A target of 1 is reached where the distance exceeds the
+radius, for no neighbour can lie behind it. A lower target is reached at the
+distance that holds this part of the links of a sample of vectors to all others.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +26,19 @@ from gridloom.llm.tables import stash
 THRESHOLD = 0.98
 #: Vectors the codebooks are fitted on at most; all vectors are indexed.
 FIT_ON = 20_000
-#: Part of the radius within which cells are visited. 1 visits every cell that can hold a neighbour; a neighbour that is
-#: off in no particular direction crosses a border by far less (measured recall in the README).
-REACH = 0.6
+#: Links that are to be found. At 1 the stop follows from the radius alone and none is lost, whatever the data.
+TARGET = 1.0
+#: Below a target of 1: vectors whose links to all others are measured, the links this takes (with fewer the stop is that
+#: of target 1), and the distances told apart.
+PROBES = 512
+LEAST_LINKS = 1_000
+STEPS = 200
 #: Vectors that meet in one task; larger cells are dealt into pairs of parts.
 CELL = 4_096
-WORDS = (4, 256)
+#: Words of a codebook, the fewest and the most: as many as leave some 500 vectors to a cell of the grid.
+WORDS = (4, 1_024)
+#: Border distances held at once while cells are visited.
+BLOCK = 1 << 20
 
 _ROWS = "label long, dim int, cell int, home boolean, node long, n long, vector array<double>"
 
@@ -42,35 +53,70 @@ class Codebooks:
     def _halves(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, :self._cut], x[:, self._cut:]]
 
-    def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Home cells, and (row, cell) of the other cells each unit vector has to visit."""
-        home, sides = [], []
-        for half, book in zip(self._halves(x), self.books):
-            far = ((half[:, None, :] - book[None]) ** 2).sum(axis=2) if len(book) * half.size < 1 << 22 else _squares(half, book)
+    @cached_property
+    def _apart(self) -> list[np.ndarray]:
+        """Distances between the words of each half."""
+        return [np.stack([np.sqrt(((book - word) ** 2).sum(axis=1)) for word in book]) for book in self.books]
+
+    def borders(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each half, the nearest word of every row and the squared distances to the borders of all words."""
+        out = []
+        for half, book, apart in zip(self._halves(x), self.books, self._apart):
+            far = _squares(half, book)
             own = far.argmin(axis=1)
-            apart = np.sqrt(_squares(book, book))[own]
+            between = apart[own]
             with np.errstate(divide="ignore", invalid="ignore"):
-                border = (far - far[np.arange(len(far)), own][:, None]) / (2 * apart)
-            border = np.where(apart > 0, np.maximum(border, 0), 0.0) ** 2
+                border = (far - far[np.arange(len(far)), own][:, None]) / (2 * between)
+            out.append((own, np.where(between > 0, np.maximum(border, 0), 0.0) ** 2))
+        return out
+
+    def cell(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first * len(self.books[1]) + second
+
+    def visits(self, x: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Home cells, and (row, cell) of the other cells that unit vectors visit up to the distance ``stop``.
+
+        Of two cells that would visit each other the lower one does, which finds their links as well.
+        """
+        home, rows, cells = [], [], []
+        some = max(1, BLOCK // max(map(len, self.books)))
+        for at in range(0, len(x), some):
+            (own1, near1), (own2, near2) = self.borders(x[at:at + some])
+            own = self.cell(own1, own2)
+            for row, first, second in _multi_sequence(near1, near2, stop ** 2 + 1e-9):
+                cell = self.cell(first, second)
+                later = cell > own[row]
+                rows.append(row[later] + at)
+                cells.append(cell[later])
             home.append(own)
-            sides.append((np.argsort(border, axis=1, kind="stable"), np.sort(border, axis=1)))
-        (first, near1), (second, near2) = sides
-        width = len(self.books[1])
-        rows, cells = [], []
-        # The multi-sequence staircase: the i-th nearest word of one half goes with ever fewer of the other's.
-        for i in range(near1.shape[1]):
-            room = reach ** 2 - near1[:, i]
-            ok = near2 <= room[:, None]
-            if not ok.any():
-                break
-            row, j = np.nonzero(ok)
-            rows.append(row)
-            cells.append(first[row, i] * width + second[row, j])
-        home_cell = home[0] * width + home[1]
-        row, cell = np.concatenate(rows), np.concatenate(cells)
-        # Of two cells that visit each other one is enough.
-        later = cell > home_cell[row]
-        return home_cell, row[later], cell[later]
+        return np.concatenate(home), np.concatenate(rows), np.concatenate(cells)
+
+
+def _multi_sequence(near1: np.ndarray, near2: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of words (row, first, second) by growing sum of the two distances, up to ``limit``; a step gives each row its next pair.
+
+    ``taken`` has, for each rank of the first half, how many ranks of the second have gone with it. The next pair is the
+    nearest of those whose predecessors in both halves have been given.
+    """
+    order1, order2 = np.argsort(near1, axis=1, kind="stable"), np.argsort(near2, axis=1, kind="stable")
+    near1, near2 = np.take_along_axis(near1, order1, axis=1), np.take_along_axis(near2, order2, axis=1)
+    # Words that are too far by themselves are never given, so their ranks are left out.
+    wide1, wide2 = (max(1, int((near <= limit).sum(axis=1).max())) for near in (near1, near2))
+    near1, near2 = near1[:, :wide1], np.pad(near2[:, :wide2], ((0, 0), (0, 1)), constant_values=np.inf)
+    active = np.arange(len(near1))
+    taken = np.zeros(near1.shape, dtype=np.int64)
+    while len(active):
+        cost = near1 + np.take_along_axis(near2, taken, axis=1)
+        cost[:, 1:][taken[:, 1:] >= taken[:, :-1]] = np.inf
+        first = cost.argmin(axis=1)
+        here = np.arange(len(active))
+        go = cost[here, first] <= limit
+        if not go.all():
+            active, near1, near2, taken, first = active[go], near1[go], near2[go], taken[go], first[go]
+            here = here[:len(active)]
+        second = taken[here, first]
+        yield active, order1[active, first], order2[active, second]
+        taken[here, first] += 1
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,8 +141,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding, label).
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding, label); no rows give none, other columns play no part.
+
+    ``target`` is the part of the links that is to be found; 1 finds all of them.
 
     Rows link if labels are equal and the cosine is ``threshold`` or more. Null
     labels, unusable vectors and vectors of different lengths link with nothing;
@@ -110,7 +158,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
     points = stash(points.withColumn("node", F.monotonically_increasing_id()), "vector-points")
 
     codebooks = _fit(points)
-    met = points.select("label", "vector", "node", "n").mapInArrow(lambda b: _place(b, codebooks, reach * np.sqrt(2 - 2 * threshold)), _ROWS)
+    stop = _stop(points, codebooks, threshold, target)
+    met = points.select("label", "vector", "node", "n").mapInArrow(lambda b: _place(b, codebooks, stop), _ROWS)
     found = stash(_deal(stash(met, "vector-cells")).mapInArrow(lambda b: _verify(b, threshold), "a long, b long, n long"), "vector-links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = connected(found.where("b is not null").select("a", "b"))
@@ -136,12 +185,58 @@ def _fit(points: DataFrame) -> dict[int, Codebooks]:
     return {d: Codebooks(_unit(np.array(vs)), words) for d, vs in by_size.items() if d > 1}
 
 
+def _stop(points: DataFrame, codebooks: dict[int, Codebooks], threshold: float, target: float) -> float:
+    """The distance up to which cells are visited: that within which ``target`` of the links of sampled vectors to all others lie."""
+    radius = float(np.sqrt(2 - 2 * threshold))
+    if target >= 1:
+        return radius
+    order = F.xxhash64("node", F.lit("probe"))
+    probes: dict[tuple[int, int], list] = defaultdict(list)
+    for label, node, vector in points.orderBy(order, "node").limit(PROBES).select("label", "node", "vector").collect():
+        probes[label, len(vector)].append((node, vector))
+    measured = points.select("label", "vector", "node", "n").mapInArrow(lambda b: _needed(b, codebooks, dict(probes), threshold, radius), "step int, links long")
+    links = np.zeros(STEPS + 1)
+    for step, count in measured.groupBy("step").agg(F.sum("links")).collect():
+        links[step] = count
+    if links.sum() < LEAST_LINKS:
+        return radius
+    return radius * int(np.searchsorted(np.cumsum(links), target * links.sum())) / STEPS
+
+
+def _needed(batches: Iterator[pa.RecordBatch], codebooks: dict[int, Codebooks], probes: dict, threshold: float, radius: float) -> Iterator[pa.RecordBatch]:
+    """Links between a batch and the probes, counted by the distance, in steps, up to which the lower cell has to visit."""
+    for batch in batches:
+        sizes, labels = np.array(batch["vector"].value_lengths()), batch["label"].to_numpy(zero_copy_only=False)
+        node, n = batch["node"].to_numpy(), batch["n"].to_numpy()
+        flat = batch["vector"].flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        links = np.zeros(STEPS + 1, dtype=np.int64)
+        for (label, size), held in probes.items():
+            rows = np.flatnonzero((sizes == size) & (labels == label))
+            if not len(rows) or size not in codebooks:
+                continue
+            x = _unit(flat[(ends[rows] - size)[:, None] + np.arange(size)])
+            p = _unit(np.array([vector for _, vector in held]))
+            i, j = np.nonzero((x @ p.T >= threshold) & (node[rows][:, None] != np.array([each for each, _ in held])[None]))
+            book = codebooks[size]
+            (own1, near1), (own2, near2) = book.borders(x[i])
+            (to1, back1), (to2, back2) = book.borders(p[j])
+            at = np.arange(len(i))
+            ahead, back = near1[at, to1] + near2[at, to2], back1[at, own1] + back2[at, own2]
+            own, to = book.cell(own1, own2), book.cell(to1, to2)
+            distance = np.sqrt(np.where(own == to, 0.0, np.where(own < to, ahead, back)))
+            step = np.minimum(np.ceil(distance / radius * STEPS), STEPS).astype(np.int64)
+            np.add.at(links, step, n[rows][i])
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_pydict({"step": pa.array(some, pa.int32()), "links": pa.array(links[some], pa.int64())})
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
 
 
-def _place(batches: Iterator[pa.RecordBatch], codebooks: dict[int, Codebooks], reach: float) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], codebooks: dict[int, Codebooks], stop: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = np.array(batch["vector"].value_lengths())
         flat = batch["vector"].flatten().to_numpy(zero_copy_only=False)
@@ -152,7 +247,7 @@ def _place(batches: Iterator[pa.RecordBatch], codebooks: dict[int, Codebooks], r
             x = flat[(ends[rows] - size)[:, None] + np.arange(size)]
             row, cell, home = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64), np.ones(len(rows), dtype=bool)
             if size in codebooks:
-                own, to, other = codebooks[size].visits(_unit(x), reach)
+                own, to, other = codebooks[size].visits(_unit(x), stop)
                 row, cell, home = np.concatenate([row, to]), np.concatenate([own, other]), np.concatenate([home, np.zeros(len(to), dtype=bool)])
             for at in range(0, len(row), 20_000):
                 some = slice(at, at + 20_000)
