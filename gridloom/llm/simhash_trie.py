@@ -169,7 +169,7 @@ def trie_pairs(mask: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarra
 
     A trie node is a range of the sorted fingerprints that share all bits above
     the current one. Pairs of nodes are kept as four range ends and the bits in
-    which they differ so far.
+    which they differ so far, and followed down to single fingerprints.
     """
     # Bits a group agrees on cannot tell its members apart: a sort by the bit pattern orders each group.
     bits = fp.astype(np.int64).view(np.uint64)
@@ -185,7 +185,7 @@ def trie_pairs(mask: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarra
     for bit in range(63, -2, -1):
         same = pairs[0] == pairs[2]
         sizes = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
-        leaf = (sizes <= 64) if bit >= 0 else np.ones(len(same), dtype=bool)
+        leaf = (sizes <= 1) & ~same if bit >= 0 else np.ones(len(same), dtype=bool)
         a, b = _leaf_pairs(pairs[:, leaf])
         near = np.bitwise_count(bits[a] ^ bits[b]) <= budget
         out_a.append(fp[a[near]])
