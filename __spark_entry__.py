@@ -209,6 +209,14 @@ def _(spark, sf):
     return summarize.frequency(table(spark, sf, "lineitem"), "l_partkey", top=20)
 
 
+@query(
+    "frequency_top_candidates",
+    "select cast(l_partkey as varchar) as l_partkey, count(*) as cnt from lineitem group by 1 order by cnt desc, l_partkey limit 20",
+)
+def _(spark, sf):
+    return summarize.top_frequency(table(spark, sf, "lineitem"), "l_partkey", 20)
+
+
 @query(
     "unique_values",
     "select distinct upper(trim(p_type)) as p_type from part where trim(coalesce(p_type,''))<>''",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,12 @@ from gridloom.functions.text import is_filled, norm_text
 from gridloom.operators.columns import resolve_column, resolve_columns
 
 
+#: Values a sketch of :func:`top_frequency` keeps, round by round. Eight bytes each; the last is the most that Spark's sketch takes.
+TRACKED = (1 << 14, 1 << 17, 1_000_000)
+#: A value that a sketch of n values does not name has this many n-ths of all rows at most: 3.5 is its error for each of
+#: the two bounds that a named value has to tell apart.
+UNNAMED = 7
+
 #: Types of which different values never print alike once normalised.
 _DISTINCT_TYPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -53,6 +61,35 @@ def frequency(
     return out if top is None else out.limit(top)
 
 
+def top_frequency(
+    df: DataFrame, column: str, top: int, case: str = "upper", strip_ws: bool = True, drop_empty: bool = True, count_name: str = "cnt",
+) -> DataFrame:
+    """:func:`frequency` with ``top``, exact, for columns of very many values: what is shuffled does not grow with them.
+
+    A sketch of each task's value hashes names candidates, and a second scan counts only these. If the last of the first
+    ``top`` is not more frequent than a value that the sketch leaves out can be, and the candidates are not all there is, a
+    larger sketch is made; where none tells (all values about as rare) all are counted. Runs jobs; no rows give none.
+    """
+    plain = frequency(df, column, case, strip_ws, drop_empty, count_name, top)
+    name = resolve_column(df.columns, column)
+    group, keep = _grouping_cell(df, name, case, strip_ws, drop_empty)
+    cells = df.where(keep).select(group.alias("__g")).withColumn("__h", F.xxhash64("__g"))
+    for tracked in TRACKED:
+        if top > tracked:
+            continue
+        named = F.transform(F.expr(f"approx_top_k(__h, {tracked}, {tracked})"), lambda x: x["item"])
+        rows, hashes = cells.agg(F.count(F.lit(1)), named).first()
+        candidates = df.sparkSession.createDataFrame(pd.DataFrame({"__h": np.array(hashes, dtype=np.int64)}), "__h long")
+        # At most ``tracked`` numbers, so the broadcast is bounded.
+        counts = cells.join(F.broadcast(candidates), "__h", "left_semi").groupBy("__g").agg(F.count(F.lit(1)).alias(count_name))
+        values = counts.select(_as_value(df, name, F.col("__g"), case, strip_ws).alias(name), col(count_name))
+        first = values.orderBy(col(count_name).desc(), col(name).asc()).limit(top).collect()
+        certain = len(first) == top and (top == 0 or first[-1][1] > UNNAMED * rows / tracked)
+        if certain or counts.agg(F.coalesce(F.sum(count_name), F.lit(0))).first()[0] == rows:
+            return df.sparkSession.createDataFrame(first, plain.schema)
+    return plain
+
+
 def unique_values(
     df: DataFrame, column: str, case: str = "upper", strip_ws: bool = True, drop_empty: bool = True,
     count_name: str | None = None, ordered: bool = True,
