@@ -3,8 +3,11 @@
 A word's evidence is the sum of its features' weights: the word itself (a
 lexicon), its first and last one to three letters, and its letter trigrams, all
 hashed. Transitions between the languages of neighbouring words are learned with
-them. Forward-backward gives each word a language, so texts may switch; a text's
-score for a language is the mean over its words.
+them, from lines of one language and from lines joined out of two. Forward-backward
+gives each word a language, so texts may switch (``runs``); a text's score for a
+language is the mean over its words. A long text is one chain too: its pieces
+advance side by side, and what reaches a piece from its neighbours is composed
+from the pieces' transfer matrices.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from gridloom.llm.tables import stash
 
@@ -28,7 +31,9 @@ LONGEST = 1 << 16
 FEATURES = 1 << 18
 EPOCHS = 3
 BATCH = 1_000
-#: Words of a chain; longer texts are several chains.
+#: One of so many training lines is joined with one of another language, so that switches are learned.
+JOINED = 4
+#: Words that follow one another in one piece; longer texts are several pieces with messages between them.
 CHAIN = 1_024
 #: Words labelled at once, and words whose evidence a task remembers.
 WORDS = 500_000
@@ -36,6 +41,7 @@ MEMORY = 400_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+RUNS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))
 RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("sure", DoubleType())])
 
 
@@ -69,11 +75,15 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     for text, label in zip(texts, labels):
         for line in text.splitlines():
             words = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(line)]
-            chains += [(words[i:i + 64], place[label]) for i in range(0, len(words), 64)]
+            chains += [(words[i:i + 64], [place[label]] * len(words[i:i + 64])) for i in range(0, len(words), 64)]
+    random = np.random.default_rng(0)
+    for words, gold in chains[::JOINED]:
+        more, other = chains[random.integers(len(chains))]
+        if other[0] != gold[0]:
+            chains.append((words[:32] + more[:32], gold[:32] + other[:32]))
     table = [features(w) for w in vocabulary]
     weights, step_w = np.zeros((FEATURES, size)), np.full((FEATURES, size), 1e-2)
     transitions, step_t = np.zeros((size, size)), np.full((size, size), 1e-2)
-    random = np.random.default_rng(0)
     for _ in range(EPOCHS):
         order = random.permutation(len(chains))
         for at in range(0, len(order), BATCH):
@@ -85,7 +95,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
             evidence = np.zeros((len(used), size))
             np.add.at(evidence, owner, weights[flat])
             length = np.array([len(c[0]) for c in batch])
-            gold = np.repeat([c[1] for c in batch], length)
+            gold = np.concatenate([c[1] for c in batch])
             marginals, pairs = forward_backward(evidence, ids, length, transitions, want_pairs=True)
             error = -marginals
             error[np.arange(len(gold)), gold] += 1
@@ -97,17 +107,22 @@ def fit(texts: list[str], labels: list[str]) -> Model:
             step_w[some] += grad ** 2
             weights[some] += 0.3 * grad / np.sqrt(step_w[some])
             seen = np.zeros((size, size))
-            np.add.at(seen, ([c[1] for c in batch], [c[1] for c in batch]), length - 1)
+            after = np.delete(np.arange(len(gold)), np.cumsum(length) - length)
+            np.add.at(seen, (gold[after - 1], gold[after]), 1)
             grad = seen - pairs - 1e-3 * len(batch) * transitions
             step_t += grad ** 2
             transitions += 0.1 * grad / np.sqrt(step_t)
     return Model(languages, weights.astype(np.float32), transitions)
 
 
-def forward_backward(evidence: np.ndarray, ids: np.ndarray, length: np.ndarray, transitions: np.ndarray, want_pairs: bool = False):
+def forward_backward(
+    evidence: np.ndarray, ids: np.ndarray, length: np.ndarray, transitions: np.ndarray, want_pairs: bool = False,
+    enter: np.ndarray | None = None, leave: np.ndarray | None = None,
+):
     """Marginals of every word; ``ids`` has the words of one chain after another, of the given lengths (1 or more).
 
-    Chains advance together, a word at a time; messages are scaled to sum to 1.
+    Chains advance together, a word at a time; messages are scaled to sum to 1. ``enter`` and ``leave`` are the messages
+    that reach the first and the last word of each chain from outside.
     """
     likely = np.exp(evidence - evidence.max(axis=1, keepdims=True))
     move = np.exp(transitions - transitions.max())
@@ -116,14 +131,14 @@ def forward_backward(evidence: np.ndarray, ids: np.ndarray, length: np.ndarray,
     start, length = start[order], length[order]
     active = np.searchsorted(-length, -np.arange(length[0]), side="left") if len(length) else []
     alpha = np.empty((len(ids), evidence.shape[1]))
-    message = None
+    message = np.ones((len(length), evidence.shape[1])) if enter is None else enter[order]
     for t, n in enumerate(active):
         word = likely[ids[start[:n] + t]]
-        message = word if t == 0 else (message[:n] @ move) * word
+        message = message * word if t == 0 else (message[:n] @ move) * word
         message = message / message.sum(axis=1, keepdims=True)
         alpha[start[:n] + t] = message
     pairs = np.zeros_like(move)
-    beta = np.ones((len(length), evidence.shape[1]))
+    beta = np.ones((len(length), evidence.shape[1])) if leave is None else leave[order]
     for t in range(len(active) - 1, 0, -1):
         n = active[t]
         at = start[:n] + t
@@ -141,6 +156,44 @@ def forward_backward(evidence: np.ndarray, ids: np.ndarray, length: np.ndarray,
     return (alpha, pairs) if want_pairs else alpha
 
 
+def through(evidence: np.ndarray, ids: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Transfer matrices of chains, each up to a factor: row s is the message behind a chain whose preceding word is in s, the last row that of a chain that begins a text."""
+    likely = np.exp(evidence - evidence.max(axis=1, keepdims=True))
+    move = np.exp(transitions - transitions.max())
+    start = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    begin, sizes = start[order], length[order]
+    state = np.broadcast_to(np.concatenate([move, np.ones((1, len(move)))]), (len(length), len(move) + 1, len(move))).copy()
+    for t in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -t, side="left"))
+        now = state[:n] if t == 0 else state[:n] @ move
+        now = now * likely[ids[begin[:n] + t]][:, None]
+        state[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def messages_between(matrices: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters and leaves each piece of texts, from the pieces' transfer matrices; ``first`` marks the piece that begins a text."""
+    move = np.exp(transitions - transitions.max())
+    size = len(move)
+    enter, leave = np.ones((len(matrices), size)), np.ones((len(matrices), size))
+    behind = None
+    for i, matrix in enumerate(matrices):
+        if first[i]:
+            behind = matrix[size]
+        else:
+            enter[i] = behind @ move
+            behind = behind @ matrix[:size]
+        behind = behind / behind.sum()
+    for i in range(len(matrices) - 2, -1, -1):
+        if not first[i + 1]:
+            ahead = matrices[i + 1][:size] @ leave[i + 1]
+            leave[i] = ahead / ahead.sum()
+    return enter, leave
+
+
 class Labeller:
     def __init__(self, model: Model):
         self._model, self._ids, self._evidence = model, {}, []
@@ -191,8 +244,30 @@ class Labeller:
         used, ids = np.unique(np.fromiter(map(known.__getitem__, every), np.int64, len(every)), return_inverse=True)
         evidence = np.array([self._evidence[i] for i in used])
         length = [len(words) for words in texts]
-        chains = np.array([min(CHAIN, n - i) for n in length for i in range(0, n, CHAIN)])
-        return forward_backward(evidence, ids, chains, self._model.transitions), length
+        pieces = np.array([min(CHAIN, n - i) for n in length for i in range(0, n, CHAIN)])
+        first = np.array([i == 0 for n in length for i in range(0, n, CHAIN)])
+        shape = (len(pieces), evidence.shape[1])
+        enter, leave = np.ones(shape), np.ones(shape)
+        # Only the pieces of texts that have several exchange messages.
+        joined = ~first
+        joined[:-1] |= ~first[1:]
+        if joined.any():
+            some = ids[np.repeat(joined, pieces)]
+            matrices = through(evidence, some, pieces[joined], self._model.transitions)
+            enter[joined], leave[joined] = messages_between(matrices, first[joined], self._model.transitions)
+        return forward_backward(evidence, ids, pieces, self._model.transitions, enter=enter, leave=leave), length
+
+    def runs(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """Stretches (start, end, language) of each text, code points, the end exclusive."""
+        return [self._runs_of(text) if text and self._model.languages else [] for text in texts]
+
+    def _runs_of(self, text: str) -> list[tuple[int, int, str]]:
+        found = list(_WORD.finditer(text))
+        if not found:
+            return []
+        best = self._marginals([[m.group().lower() for m in found]])[0].argmax(axis=1)
+        starts = np.flatnonzero(np.diff(best, prepend=-1)).tolist()
+        return [(found[i].start(), found[j - 1].end(), self._model.languages[best[i]]) for i, j in zip(starts, starts[1:] + [len(found)])]
 
 
 def _by_text(values: np.ndarray, length: list[int]) -> np.ndarray:
@@ -243,3 +318,18 @@ def identify(text: Column, model: Model) -> Column:
             yield pd.DataFrame({"lang_pred": names, "score": scores, "sure": sure})
 
     return label(text)
+
+
+def runs(text: Column, model: Model) -> Column:
+    """Stretches (start, end, lang) of neighbouring words in one language, in code points, from the first word's start to the last word's end.
+
+    Null, texts without a letter, and a model that has learned nothing give an empty array.
+    """
+
+    @F.pandas_udf(RUNS)
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeller = Labeller(model)
+        for texts in batches:
+            yield pd.Series([[{"start": a, "end": b, "lang": lang} for a, b, lang in each] for each in labeller.runs(list(texts))], dtype=object)
+
+    return told(text)
