@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,9 @@ SHEET_ROWS = 1_048_575
 # Equal rows that are numbered, and written out again, at once.
 EQUAL_ROWS = 10_000
 
+# Rows a task writes out again, on average.
+ROWS_A_TASK = 500_000
+
 _BUCKET = ["__b0", "__b1", "__b2"]
 _COPIES = "__copies"
 
@@ -32,19 +35,30 @@ def _position(df: DataFrame, order_by: str) -> Column:
     raise ValueError(f"order_by must be a number, date or time, or {ORD}; {order_by!r} is {dtype.simpleString()}")
 
 
-def _by_quantiles(df: DataFrame, order_by: str, buckets: int) -> DataFrame:
+def tasks_for(rows: int) -> int:
+    """Tasks that rows are dealt over so that none has many more than ``ROWS_A_TASK``."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def _quantiles(df: DataFrame, order_by: str, buckets: int) -> Row:
+    """Cuts between buckets of nearly equal size, NULL order values and rows."""
+    position = _position(df, order_by)
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = F.approx_percentile(position, steps, max(10_000, 10 * buckets))
+    return df.agg(cuts.alias("cuts"), F.count_if(position.isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows")).first()
+
+
+def _by_quantiles(df: DataFrame, order_by: str, buckets: int, seen: Row | None = None) -> DataFrame:
     """Buckets of nearly equal size along ``order_by``; a value too frequent for one bucket is cut further.
 
     Where the frame has no ``_ord``, the rows of such values come once each, with the number of their copies
     in ``__copies``: equal rows may take any of their numbers.
     """
-    position = _position(df, order_by)
-    steps = [i / buckets for i in range(1, buckets)]
-    seen = df.agg(F.approx_percentile(position, steps, max(10_000, 10 * buckets)).alias("cuts"), F.count_if(position.isNull()).alias("nulls")).first()
+    seen = seen or _quantiles(df, order_by, buckets)
     cuts = seen.cuts or []
     hot = {a for a, b in zip(cuts, cuts[1:]) if a == b}
     edges = sorted({*cuts, *(math.nextafter(v, math.inf) for v in hot)} - {math.inf, -math.inf})
-    placed = df.withColumn("__position", position)
+    placed = df.withColumn("__position", _position(df, order_by))
     if edges:
         bucketizer = Bucketizer(
             splits=[-math.inf, *edges, math.inf], inputCol="__position", outputCol=_BUCKET[0], handleInvalid="keep"
@@ -86,8 +100,11 @@ def _equal_rows(rows: DataFrame, fields: Sequence[T.StructField], finer: Column)
     # Grouping makes one zero of the two there are; their texts differ.
     keys = [(col(f.name).cast("string") if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name)).alias(f"__k{i}")
             for i, f in enumerate(fields)]
-    kept = [F.first(col(f.name)).alias(f.name) for f in fields]
+    # A flat key is its value as it is; a first text would make Spark sort the rows instead of counting them by hash.
+    flat = [not isinstance(f.dataType, (T.FloatType, T.DoubleType, T.ArrayType, T.StructType)) for f in fields]
+    kept = [F.first(col(f.name)).alias(f.name) for f, whole in zip(fields, flat) if not whole]
     counted = rows.groupBy(*keys).agg(*kept, F.first(_BUCKET[0]).alias(_BUCKET[0]), F.count(F.lit(1)).alias("__n"))
+    counted = counted.withColumnsRenamed({f"__k{i}": f.name for i, (f, whole) in enumerate(zip(fields, flat)) if whole})
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / EQUAL_ROWS).cast("long")))
     cut = counted.select(*[col(f.name) for f in fields], _BUCKET[0], finer.cast("long").alias(_BUCKET[1]), runs.alias(_BUCKET[2]), "__n")
     return cut.withColumn(_COPIES, F.least(F.lit(EQUAL_ROWS).cast("long"), F.col("__n") - F.col(_BUCKET[2]) * EQUAL_ROWS)).drop("__n")
@@ -103,7 +120,7 @@ def number_rows(
     place in the bucket. So a group may hold any share of the rows: only its bucket
     counts meet in one task. Ties of ``order_by`` follow ``_ord`` where the frame has
     it, else row content; equal rows of a frequent value are counted, numbered as runs and
-    written out again by many tasks.
+    written out again by tasks of ``ROWS_A_TASK`` rows or so.
     """
     cells = {c: F.col(f"__c{i}") for i, c in enumerate(df.columns)}
     if order_by in (None, ORD):
@@ -114,8 +131,9 @@ def number_rows(
         })
         inner = [cells[ORD]["seq"]]
     else:
-        n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keyed = _by_quantiles(df, order_by, max(2, n))
+        n = max(2, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        seen = _quantiles(df, order_by, n)
+        keyed = _by_quantiles(df, order_by, n, seen)
         inner = [cells[order_by].asc_nulls_last(), *([cells[ORD]] if ORD in df.columns else [])]
 
     groups = [f"__g{i}" for i in range(len(group))]
@@ -133,7 +151,11 @@ def number_rows(
     heads = offsets.select(*groups, *_BUCKET, F.lit(0).cast("long").alias(_COPIES), "__offset", *nothing)
     in_order = Window.partitionBy(*groups, *_BUCKET).orderBy(F.col("__offset").isNull(), *inner)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = keyed.union(heads).select(
+    met = keyed.union(heads)
+    if many:
+        # Runs are few and small until they are written out, so tasks follow from the rows; by the runs' bytes there would be one.
+        met = met.repartition(max(n, tasks_for(seen["rows"])), *groups, *_BUCKET)
+    numbered = met.select(
         *cells.values(), _COPIES, F.sum(_COPIES).over(so_far).alias("__upto"), F.first("__offset").over(so_far).alias("__offset")
     ).where(F.col(_COPIES) > 0)
     # Every bucket was counted; should an input split be cut otherwise in this pass, fail rather than misnumber.

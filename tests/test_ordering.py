@@ -50,3 +50,22 @@ def test_equal_rows_are_split(spark, monkeypatch):
 def test_text_order_is_refused(spark):
     with pytest.raises(ValueError):
         number_rows(spark.createDataFrame([("a", "b")], "g string, v string"), ["g"], "v")
+
+
+def test_runs_are_written_out_by_many_tasks(spark, monkeypatch):
+    """Runs are small, so tasks sized by their bytes would write a whole table's copies out in one."""
+    monkeypatch.setattr(ordering, "EQUAL_ROWS", 500)
+    monkeypatch.setattr(ordering, "ROWS_A_TASK", 5_000, raising=False)
+    df = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 4).alias("v"))
+    got = number_rows(df, ["g"], "v")
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) >= 10 and max(r.n for r in tasks) <= 20_000
+    seen = got.groupBy("g", "v").agg(F.min("_rn").alias("lo"), F.max("_rn").alias("hi"), F.count_distinct("_rn").alias("n")).orderBy("g", "v").collect()
+    assert all(r.hi - r.lo + 1 == r.n for r in seen) and sum(r.n for r in seen) == 100_000
+    assert [r.lo for r in seen if r.v == 0] == [1, 1]
+
+
+def test_equal_rows_are_counted_by_hash(spark):
+    df = spark.range(1_000).select(F.lit("a").alias("g"), (F.col("id") % 2).alias("v"), F.lit(1.5).alias("w"))
+    plan = ordering._by_quantiles(df, "v", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
