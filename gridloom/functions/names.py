@@ -17,6 +17,8 @@ LOOKALIKES = {
 }
 # The letters the sheet-summary report folds, in its order (a subset of the above).
 SUMMARY_LETTERS = "авсеноркхтім"
+# Fixed value: what a free name, or a sheet that goes on where one is full, has behind its name.
+NUMBERED = r"(?: \((?:[2-9]|[1-9][0-9]+)\))+"
 
 #: What each header form keeps; white space, dashes and underscores part words, anything else goes.
 _KEPT = {"safe": str.isalnum, "compat": frozenset("0123456789abcdefghijklmnopqrstuvwxyz").__contains__}

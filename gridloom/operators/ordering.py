@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.names import col
+from gridloom.functions.names import NUMBERED, col
 
 ORD = "_ord"
 # Fixed value: data rows a sheet holds below its header.
@@ -171,6 +171,11 @@ def sheet_name(group: Column, number: Column) -> Column:
     return F.concat(group.cast("string"), F.when(number > 1, F.concat(F.lit(" ("), number.cast("string"), F.lit(")"))).otherwise(""))
 
 
+def sheet_group(sheet: Column) -> Column:
+    """``2023`` of ``2023``, ``2023 (2)``, ``2023 (3)`` …"""
+    return F.regexp_replace(sheet, rf"{NUMBERED}\z", "")
+
+
 def split_sheets(
     df: DataFrame, group: str, cap: int = SHEET_ROWS, order_by: str | None = None, buckets: int | None = None
 ) -> DataFrame:

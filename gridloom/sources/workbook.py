@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridloom.functions.names import canonical_headers, unique_headers
+from gridloom.functions.names import NUMBERED, canonical_headers, unique_headers
 from gridloom.operators.union import UnionSchema, union_schema
 from gridloom.sinks.workbook import WorkbookSinkWriter
 from gridloom.sources.csv_files import NA_TOKENS, ORD, null_tokens
@@ -160,8 +161,20 @@ def sheet_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return _catalog(spark, [(f.src, f.path) for f in _workbooks(spark, paths)]).drop("bytes")
 
 
-def choose_sheets(names: Sequence[str], selection: str | Sequence[str] | None, on_missing: str = "error") -> list[str]:
-    """Sheets by ``all``, position from 0, exact name, or a comma list of those."""
+def sheet_parts(names: Sequence[str], base: str) -> list[str]:
+    """``base`` and the sheets it goes on in where it is full: ``base (2)``, ``base (3)`` …"""
+    found = [n for n in names if n == base or n.startswith(base) and re.fullmatch(NUMBERED, n[len(base):])]
+    return sorted(found, key=lambda n: [int(x) for x in re.findall("[0-9]+", n[len(base):])])
+
+
+def choose_sheets(
+    names: Sequence[str], selection: str | Sequence[str] | None, on_missing: str = "error", parts: bool = False
+) -> list[str]:
+    """Sheets by ``all``, position from 0, exact name, or a comma list of those.
+
+    With ``parts`` a sheet is chosen with those it goes on in, each of them once. These may be
+    here without it: the sheets of a split table lie in several workbooks.
+    """
     if selection is None or (isinstance(selection, str) and selection.strip().lower() in ALL_SHEETS):
         return list(names)
     tokens = selection.split(",") if isinstance(selection, str) else selection
@@ -170,13 +183,13 @@ def choose_sheets(names: Sequence[str], selection: str | Sequence[str] | None, o
         if not token:
             continue
         by_place = token.isdigit() and int(token) < len(names)
-        if by_place:
-            chosen.append(names[int(token)])
-        elif token in names and not token.isdigit():
-            chosen.append(token)
+        base = names[int(token)] if by_place else token
+        found = sheet_parts(names, base) if parts else [base] if base in names else []
+        if found and (by_place or not token.isdigit()):
+            chosen += found
         elif on_missing == "error":
             raise KeyError(f"no sheet {token!r} among {list(names)}")
-    return chosen
+    return list(dict.fromkeys(chosen)) if parts else chosen
 
 
 def input_sheets(names: Sequence[str], base: str) -> list[str]:
@@ -240,7 +253,7 @@ def headed_catalog(spark: SparkSession, files: Sequence[InputFile], manifest: st
 
 def sheet_headers(
     spark: SparkSession, paths: str | Sequence[str], sheets: str | Sequence[str] | None = None,
-    base: str | None = None, on_missing: str = "error", manifest: str | None = None,
+    base: str | None = None, on_missing: str = "error", manifest: str | None = None, parts: bool = False,
 ) -> list[tuple[Sheet, list[str]]]:
     """Chosen sheets and their header cells, in order; only first rows are read. ``base`` leaves own outputs out."""
     files = _workbooks(spark, paths)
@@ -249,7 +262,7 @@ def sheet_headers(
         by_file[r.file].append((Sheet(r.file, r.sheet, r.position, r.bytes), canonical_headers(r.head or [])))
     wanted = []
     for found in by_file.values():
-        chosen = choose_sheets([s.sheet for s, _ in found], sheets, on_missing)
+        chosen = choose_sheets([s.sheet for s, _ in found], sheets, on_missing, parts)
         named = {s.sheet: (s, h) for s, h in found}
         wanted += [named[s] for s in (input_sheets(chosen, base) if base else chosen)]
     return wanted
@@ -278,10 +291,10 @@ def read_sheets(
 def unite_sheets(
     spark: SparkSession, paths: str | Sequence[str], sheets: str | Sequence[str] | None = None, norm: str = "safe",
     base: str | None = None, on_missing: str = "error", with_order: bool = False, with_sheet: bool = False,
-    manifest: str | None = None,
+    manifest: str | None = None, parts: bool = False,
 ) -> DataFrame:
-    """All chosen sheets as one table, columns matched by normalised header."""
-    found = sheet_headers(spark, paths, sheets, base, on_missing, manifest)
+    """All chosen sheets as one table, columns matched by normalised header. ``parts``: with the sheets they go on in."""
+    found = sheet_headers(spark, paths, sheets, base, on_missing, manifest, parts)
     if not found:
         raise ValueError("no sheets to unite")
     return _table(spark, found, union_schema([h for _, h in found], norm), None, with_order, with_sheet)

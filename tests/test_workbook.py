@@ -1,6 +1,7 @@
 """Workbooks: codec, source, sink, sheet choice, union of sheets."""
 
 import datetime as dt
+import functools
 import io
 import zipfile
 
@@ -69,6 +70,28 @@ def test_sheet_choice():
     assert input_sheets(names, "UNIQUE") == ["Jan", "Feb", "Uniques"]
 
 
+def test_choice_with_parts():
+    names = ["F (10)", "F (2)", "F", "F (1)", "F (x)", "FF (2)", "P (3)", "2023 (2)"]
+    assert choose_sheets(names, "F") == ["F"]
+    assert choose_sheets(names, "P, F (2), F, 6", "ignore", parts=True) == ["P (3)", "F (2)", "F", "F (10)"]
+    assert choose_sheets(names, "2", parts=True) == ["F", "F (2)", "F (10)"]
+    for bad in ("9", "2023", "X"):
+        with pytest.raises(KeyError):
+            choose_sheets(names, bad, parts=True)
+
+
+def test_query_reads_all_parts_of_its_sheets(spark, tmp_path, monkeypatch):
+    """More rows of a status than a sheet holds; a status named like a part; no status."""
+    import __spark_entry__ as entry
+
+    statuses = [*["F"] * 23, *["P"] * 2, *["O"] * 5, *["F (2)"] * 3, *["F (x)"] * 3, None]
+    spark.createDataFrame([(s, i, i % 3) for i, s in enumerate(statuses)], "o_orderstatus string, o_orderkey long, o_custkey long").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(entry, "split_sheets", functools.partial(entry.split_sheets, cap=2))
+    got = sorted(map(tuple, entry.queries()["sheet_selection"](spark, str(tmp_path)).collect()))
+    assert got == sorted((s, str(i), str(i % 3)) for i, s in enumerate(statuses) if s in ("F", "P"))
+
+
 @pytest.fixture
 def registry(tmp_path):
     return book(tmp_path / "reg.xlsx", {
